@@ -57,10 +57,10 @@ def _remove_all() -> None:
             _OWNED.pop(path, None)
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, compression: str = "lz4_raw") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -198,3 +198,40 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
         acc = acc * np.uint64(0x2545F4914F6CDD1D) + words[k : k + m]
         acc ^= acc >> np.uint64(29)
     return mix(acc)
+
+
+# --------------------------------------------------------------------- joins and components
+
+BROADCAST_IDS = 2_000_000
+
+
+def small_side(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """``ids`` (a written table of single longs) with a broadcast hint if it has ``most`` rows or fewer."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node and root (the least node) of every connected component; roots themselves have no row.
+
+    Large-star and small-star steps in turn, each round a written table, until no edge changes. Both
+    are joins and partial minima on the edges, so no component is ever gathered in one task.
+    """
+    e = table(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    state = _edge_state(e)
+    while state[0]:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        # the node itself keeps its edge to the least neighbour
+        e_next = table(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
+        was, state = state, _edge_state(e_next)
+        e = e_next
+        if was == state:
+            break
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _edge_state(e: DataFrame) -> tuple:
+    return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
