@@ -172,19 +172,22 @@ def decode(tokens: DataFrame, shared, key: str = "doc_id") -> DataFrame:
     return tokens.select(key, "input_ids").mapInArrow(run, f"`{key}` {key_type}, text string")
 
 
-def round_trip(docs: DataFrame, shared) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded, then decoded from its ids."""
+def round_trip(docs: DataFrame, shared, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and input_ids): texts encoded, then decoded from ids."""
     key_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for b in batches:
-            n, ids, back = [], [], []
+            n, ids, back, lists = [], [], [], []
             for value in b.column(1):
                 row = codec.encode(value.as_py() or "")
                 n.append(row.count(b" ") + 1 if row else 0)
                 ids.append(hashlib.sha256(row).hexdigest())
                 back.append(hashlib.sha256(codec.decode(row)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                if with_ids:
+                    lists.append(np.array(row.split(), dtype=np.int32))
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(lists, pa.list_(pa.int32()))] * with_ids, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["input_ids"] * with_ids)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", input_ids array<int>" * with_ids)

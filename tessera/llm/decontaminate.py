@@ -86,6 +86,7 @@ def _hits(index: dict, data: np.ndarray, s: np.ndarray, e: np.ndarray, words: np
 def _scan(rows: DataFrame, index: dict, key_type: str) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(index)
     schema = f"id {key_type}, t string, n_words bigint, hit array<int>, items array<string>"
+    schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[5:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -103,8 +104,8 @@ def _scan(rows: DataFrame, index: dict, key_type: str) -> DataFrame:
                     hit[lo + row].update(range(k - begin[row], k - begin[row] + n))
                     items[lo + row].add(name)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array([sorted(x) for x in hit], pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                names=["id", "t", "n_words", "hit", "items"],
+                [b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array([sorted(x) for x in hit], pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.string())), *b.columns[5:]],
+                names=b.schema.names,
             )
 
     return rows.mapInArrow(run, schema)
@@ -120,13 +121,14 @@ def _shards(benchmark: DataFrame, shard_bytes: int) -> Iterator[list[tuple[str,
         yield [(r[0], r[1]) for r in part.collect()]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, text, n_words, hit (numbers of the words inside occurrences), items (sorted ids as text)."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, rest: bool = False) -> DataFrame:
+    """doc_id, text, n_words, hit (numbers of the words inside occurrences), items (sorted ids as text);
+    with ``rest`` also a struct ``rest`` of the whole row."""
     key_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t"), F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<int>").alias("hit"), F.array().cast("array<string>").alias("items"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t"), F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<int>").alias("hit"), F.array().cast("array<string>").alias("items"), *([F.struct(*docs.columns).alias("rest")] if rest else []))
     for k, items in enumerate(_shards(benchmark, shard_bytes)):
         rows = _scan(table(rows, "decontaminate") if k else rows, window_index(items, window), key_type)
-    return rows.select(F.col("id").alias("doc_id"), F.col("t").alias("text"), "n_words", "hit", "items")
+    return rows.select(F.col("id").alias("doc_id"), F.col("t").alias("text"), "n_words", "hit", "items", *(["rest"] if rest else []))
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -142,6 +144,11 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no window occurs."""
+    return find_contamination(docs, benchmark, rest=True).where(F.size("hit") == 0).select("rest.*")
+
+
 def remove_hit_words(texts: pa.Array, hits: list) -> list:
     """Each text without its hit words (and the separators inside a run of them)."""
     offsets, data = byte_view(texts)

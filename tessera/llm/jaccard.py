@@ -101,8 +101,11 @@ def _word_lists(column: pa.Array) -> Iterator[np.ndarray]:
             yield h[cut[i] : cut[i + 1]]
 
 
-def signed(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
-    """Written table: nid (a number of the row), the row's doc_id and text, n_shingles, key, sigs."""
+def signed(docs: DataFrame, n: int, t: tuple[int, int], rest: bool = False) -> DataFrame:
+    """Written table: nid (a number of the row), the row's doc_id and text, n_shingles, key, sigs; with
+    ``rest`` a struct of the row's other columns."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")] if rest else []
+    kept = [F.struct(*others).alias("rest")] if others else []
     key_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,9 +118,11 @@ def signed(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
                 keys.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
                 sigs.append(plan.sign(s) if len(s) else np.zeros(0, dtype=np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in sigs]), pa.int32()), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], names=["doc_id", "text", "n_shingles", "key", "sigs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists, *b.columns[2:]], names=["doc_id", "text", "n_shingles", "key", "sigs"] + b.schema.names[2:])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key_type}, text string, n_shingles bigint, key binary, sigs array<bigint>")
+    source = docs.select("doc_id", "text", *kept)
+    schema = f"doc_id {key_type}, text string, n_shingles bigint, key binary, sigs array<bigint>" + "".join(f", rest {f.dataType.simpleString()}" for f in source.schema.fields[2:])
+    rows = source.mapInArrow(run, schema)
     return table(rows.select(F.monotonically_increasing_id().alias("nid"), "*"), "signed", compression="zstd")
 
 
@@ -313,6 +318,20 @@ def jaccard_components(docs: DataFrame, n: int = NGRAM, t: tuple[int, int] = THR
     return rows.join(named, "key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("nid").alias("n_row"))
 
 
+def keep_one(docs: DataFrame, n: int = 5, t: tuple[int, int] = (80, 100), block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs``, all columns, without those linked to an earlier one: of each component the row
+    with the least doc_id stays (of rows with equal ids one of them); empty sets all stay."""
+    signs = signed(docs, n, t, rest=True)
+    comps = components(link_classes(signs, n, t, block))
+    rows = signs.where("n_shingles > 0").select("nid", "key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "nid").alias("first"))
+    classes = rows.groupBy("key").agg(F.min("nid").alias("rep"), F.min("first").alias("first"))
+    rooted = classes.join(comps, classes["rep"] == comps["node"], "left").select("key", F.coalesce("root", "rep").alias("root"), "first")
+    stays = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("best")), "root").select("key", F.col("best.nid").alias("stay"))
+    dropped = table(rows.select("nid", "key").join(stays, "key").where("nid != stay").select("nid"), "dropped")
+    kept = signs.join(small_side(dropped), "nid", "left_anti")
+    return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns])
+
+
 def jaccard_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     return jaccard_components(docs).drop("n_row")

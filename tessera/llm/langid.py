@@ -115,41 +115,54 @@ def learn(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "
     return langs, np.log(matrix / matrix.sum(axis=0)).astype(np.float32)
 
 
+def score_column(column: pa.Array, names: list[str], m: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The language of each text and its posterior, priors equal."""
+    n = len(column)
+    sums, letters = np.zeros((n, len(names))), np.zeros(n, dtype=bool)
+    for rows, codes in _pieces(column):
+        joined, starts = _joined(codes)
+        np.logical_or.at(letters, rows, np.logical_or.reduceat(joined != 32, starts[:-1]))
+        if not names:
+            continue
+        part = np.zeros((len(codes), len(names)), dtype=np.float64)
+        for order in range(1, ORDERS + 1):
+            at = np.append(_buckets(joined, order), np.zeros(order - 1, np.uint32))
+            for k in range(len(names)):
+                part[:, k] += np.add.reduceat(m[at, k], starts[:-1], dtype=np.float64)
+        np.add.at(sums, rows, part)
+    if not names:
+        return [UNKNOWN] * n, np.zeros(n)
+    best = sums.argmax(axis=1)
+    post = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+    return [names[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)], np.where(letters, post, 0.0)
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, lang_pred, score) for every row; score is the posterior of the language, priors equal."""
-    langs, matrix = model
-    shared = docs.sparkSession.sparkContext.broadcast((langs, matrix))
+    """(key, lang_pred, score) for every row; score is the posterior of the language."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     key_type = docs.schema[key].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, m = shared.value
         for b in batches:
-            n = b.num_rows
-            sums = np.zeros((n, len(names)))
-            letters = np.zeros(n, dtype=bool)
-            for rows, codes in _pieces(b.column(1)):
-                joined, starts = _joined(codes)
-                np.logical_or.at(letters, rows, np.logical_or.reduceat(joined != 32, starts[:-1]))
-                if not names:
-                    continue
-                part = np.zeros((len(codes), len(names)), dtype=np.float64)
-                for order in range(1, ORDERS + 1):
-                    at = np.append(_buckets(joined, order), np.zeros(order - 1, np.uint32))
-                    for k in range(len(names)):
-                        part[:, k] += np.add.reduceat(m[at, k], starts[:-1], dtype=np.float64)
-                np.add.at(sums, rows, part)
-            if names:
-                best = sums.argmax(axis=1)
-                post = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-                pred = [names[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)]
-                post = np.where(letters, post, 0.0)
-            else:
-                pred, post = [UNKNOWN] * n, np.zeros(n)
+            pred, post = score_column(b.column(1), *shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(post, pa.float64())], names=[key, "lang_pred", "score"])
 
     return docs.select(key, text).mapInArrow(score, f"`{key}` {key_type}, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known with a posterior of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pred, post = score_column(b.column(at), *shared.value)
+            yield b.filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(pred, post, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_id(docs: DataFrame, bound: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; learned from the other folds only."""
     model = learn(docs.where(remainder("doc_id", FOLDS) != 0), bound=bound)

@@ -176,11 +176,12 @@ def _tight(rule: Rule) -> Rule:
     return Rule(rule.kind, f"{m['head']}{m['set']}{{{max(1, rule.least - len(m['head']))},}}", 0, 1, rule.any_case)
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, text and ``found``: one struct (kind, spans) for each rule, for every row of ``docs``."""
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", key: str = "doc_id", rest: bool = False) -> DataFrame:
+    """doc_id, text and the spans of each rule in a column of its kind, for every row of ``docs``; with
+    ``rest`` also a struct ``rest`` of the whole row."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
     grams = sorted({g for q in queries.values() for c in q for g in c})
-    docs = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([F.struct(*docs.columns).alias("rest")] if rest else []))
     hits = query_index(build_index(docs, grams), queries).withColumnRenamed("id", "hit_id")
     rows = docs.join(hits, F.col("doc_id") == F.col("hit_id"), "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
@@ -190,7 +191,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "
         if r.kind in queries:
             spans = F.when(F.array_contains("rules", r.kind) | F.col("doc_id").isNull(), spans).otherwise(none)
         found.append(spans.alias(r.kind))
-    return rows.select("doc_id", "text", *found)
+    return rows.select("doc_id", "text", *(["rest"] if rest else []), *found)
 
 
 def _as_text(kind: str, order: int) -> Column:
@@ -215,9 +216,12 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
-    """(doc_id, text) with each found span replaced; overlapping spans are replaced as one."""
+    """The rows of ``docs``, all columns, with each found span of ``text`` replaced by ``mark``.
+
+    Overlapping spans are replaced as one; a null text stays null.
+    """
     kinds = [r.kind for r in rules]
-    found = find_secrets(docs, rules)
+    found = find_secrets(docs, rules, rest=True)
     spans = F.array_sort(F.concat(*[F.col(k) for k in kinds]))
     text = F.col("text")
     walk = F.aggregate(
@@ -229,4 +233,5 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
         ),
         lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))),
     )
-    return found.select("doc_id", F.when(F.size(spans) > 0, walk).otherwise(text).alias("text"))
+    clean = F.when(F.size(spans) > 0, walk).otherwise(F.col("rest.text"))
+    return found.select(*[clean.alias("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])
