@@ -25,10 +25,10 @@ def nearest_rank(c: str, q: float) -> Column:
     Sorts the group in memory: for stage timings of a run, not for unbounded groups.
     """
     values = F.sort_array(F.collect_list(c))
-    return F.try_element_at(values, (F.bround(F.lit(q) * (F.size(values) - 1)) + 1).cast("int"))
+    return F.get(values, F.bround(F.lit(q) * (F.size(values) - 1)).cast("int"))
 
 
 def upper_median(c: str) -> Column:
     """AGG-14: the value at position n div 2 of the sorted values."""
     values = F.sort_array(F.collect_list(c))
-    return F.try_element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
