@@ -10,8 +10,8 @@ long lists by binary search, and those that reach the overlap the threshold asks
 1. Equal sets are one class before anything is compared; classes stand for their documents.
 2. Every member of a block is first searched from one pivot per block (a star, linear in the block, dealt
    over many tasks when large); components are formed.
-3. Blocks that still hold more than one component are searched in full, once for each different list of
-   members, large ones in pairs of bounded parts. Pairs inside one component are skipped: they change
+3. Blocks that still hold more than one component are searched in full, those with the same least member
+   as one, large ones in pairs of bounded parts. Pairs inside one component are skipped: they change
    nothing. No link between components is lost, and no list of all pairs is made.
 
 Defined results: words are maximal runs without blanks (space, tab to carriage return), A-Z lower-cased;
@@ -295,14 +295,13 @@ def link_classes(signs: DataFrame, n: int, t: tuple[int, int], block: int = BLOC
     first = table(_search(_with_texts(table(spokes.unionByName(hubs), "spokes"), signs), n, t), "links")
     comps = components(first)
 
-    # blocks that still hold several components
+    # blocks that still hold several components; those with the same least member are searched as one
     rooted = table(_roots(members.select("sig", "nid").distinct(), comps), "rooted")
-    mixed = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("sig", F.ceil(F.col("size") / block).alias("parts"))
-    rest = rooted.join(mixed, "sig").select("sig", "parts", F.pmod(F.xxhash64("nid"), F.col("parts")).alias("part"), F.struct("nid", "root").alias("m"))
-    other = F.sequence(F.lit(0), F.col("parts") - 1)
-    paired = rest.select("sig", "m", F.col("part"), F.explode(other).alias("other")).select("sig", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"), "m")
-    lists = paired.groupBy("sig", "p", "q").agg(F.array_sort(F.collect_list(F.struct(F.col("m.nid").alias("nid"), F.col("m.root").alias("root"), "side"))).alias("ms")).where(F.array_min("ms.root") != F.array_max("ms.root"))
-    lists = lists.select("ms").distinct().select(F.xxhash64("ms").alias("block"), F.explode("ms").alias("m")).select("block", "m.nid", "m.root", "m.side", F.lit(False).alias("star"))
+    mixed = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("nid").alias("pivot")).where("lo != hi").select("sig", "pivot")
+    rest = table(rooted.join(mixed, "sig").select("pivot", "nid", "root").distinct(), "rest")
+    sizes = rest.groupBy("pivot").agg(F.ceil(F.count("*") / block).alias("parts"))
+    dealt = rest.join(sizes, "pivot").withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    lists = dealt.select(F.xxhash64("pivot", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "nid", "root", (F.col("part") > F.col("other")).cast("int").alias("side"), F.lit(False).alias("star"))
     second = _search(_with_texts(table(lists, "mixed"), signs), n, t)
     return table(first.unionByName(second), "links")
 
