@@ -1,10 +1,13 @@
 """Operator 5: toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's probability is the logistic of a bias and the weights
-of its distinct hashed words; a document's is the noisy-or of its sentences, 1 - prod(1 - p). Only
-documents have labels: weights are fitted to those through the noisy-or (proximal Adam with an L1
-term), so the sentences that carry the label find themselves. Fitting uses a bounded sample of
-labelled rows, about ``bound`` a label; scoring reads every whole text.
+A document is a bag of sentences. A sentence's probability is the logistic of a bias and the weights of
+its distinct hashed features, words and the beginnings of words (``PREFIXES`` bytes: many languages build
+words from stems). A document's is the noisy-or of its sentences, 1 - prod(1 - p). Only documents have
+labels: weights, none below zero, are fitted to those through the noisy-or (proximal Adam; an L1 term
+selects features that ``LEAST_DOCS`` documents or more have, then the selected ones are fitted again
+nearly without it), so the sentences that carry the label find themselves. Fitting uses a bounded sample
+of labelled rows, about ``bound`` a label, weighted to the labels' own shares; scoring reads every whole
+text.
 
 Defined results: null and empty texts (no words) have no sentence and score 0; without any labelled
 row every score is the score of the bias alone; rows are scored one by one, so repeated rows and
@@ -20,13 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_sample, byte_view, remainder, slices, word_hashes, word_spans
+from tessera.llm.common import bounded_sample, byte_view, mix, remainder, slices, word_hashes, word_spans
 
-BITS = 17
-SAMPLE_PER_LABEL = 2500
+BITS = 18
+PREFIXES = (4, 5, 6, 7)
+SAMPLE_PER_LABEL = 1000
 STEPS = 250
 RATE = 0.05
-L1 = 2e-5
+L1 = 5e-4
+REFIT_L1 = 1e-5
+SELECTED = 0.3
+LEAST_DOCS = 4
 BIAS = -5.0
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
@@ -54,8 +61,12 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     new = np.ones(len(s), dtype=bool)
     new[1:] = (part[1:] != part[:-1]) | (row[1:] != row[:-1])
     sentence = np.cumsum(new) - 1
-    feature = (word_hashes(data, s, e) >> np.uint64(64 - BITS)).astype(np.int64)
-    pair = np.unique((sentence << BITS) | feature)
+    pairs = [(sentence << BITS) | (word_hashes(data, s, e) >> np.uint64(64 - BITS)).astype(np.int64)]
+    for n in PREFIXES:
+        on = e - s > n
+        start = mix(word_hashes(data, s[on], s[on] + n) + np.uint64(n))
+        pairs.append((sentence[on] << BITS) | (start >> np.uint64(64 - BITS)).astype(np.int64))
+    pair = np.unique(np.concatenate(pairs))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(s)) - 1 if len(s) else first
     return pair >> BITS, pair & ((1 << BITS) - 1), row[first], s[first], e[last]
@@ -65,37 +76,53 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def fit(pairs: tuple[np.ndarray, np.ndarray], row_of: np.ndarray, labels: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias from bags: (sentence, feature) pairs, the bag of each sentence, labels of bags."""
+def _descend(pairs: tuple[np.ndarray, np.ndarray], row_of: np.ndarray, positive: np.ndarray, weight: np.ndarray, l1: float, steps: int) -> tuple[np.ndarray, float]:
+    """Weights from zero by proximal Adam on the noisy-or's log loss."""
     w, bias = np.zeros(1 << BITS), BIAS
-    if not len(labels) or not len(row_of):
-        return w.astype(np.float32), bias
     sentence, feature = pairs
     used, feature = np.unique(feature, return_inverse=True)
     v = np.zeros(len(used))
     m1, m2, b1, b2 = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
-    positive = labels.astype(bool)
     for t in range(1, steps + 1):
         z = bias + np.bincount(sentence, v[feature], minlength=len(row_of))
-        total = np.bincount(row_of, _softplus(z), minlength=len(labels))
+        total = np.bincount(row_of, _softplus(z), minlength=len(positive))
         # d loss / d total: 1 for a clean bag, -1 / (e**total - 1) for a toxic one
-        pull = np.where(positive, -1.0 / np.expm1(np.clip(total, 1e-4, 50.0)), 1.0) / len(labels)
+        pull = np.where(positive, -1.0 / np.expm1(np.clip(total, 1e-4, 50.0)), 1.0) * weight
         g = pull[row_of] / (1.0 + np.exp(-z))
         gv, gb = np.bincount(feature, g[sentence], minlength=len(used)), g.sum()
         m1, m2 = 0.9 * m1 + 0.1 * gv, 0.999 * m2 + 0.001 * gv * gv
         b1, b2 = 0.9 * b1 + 0.1 * gb, 0.999 * b2 + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t
         rate = RATE / (np.sqrt(m2 / c2) + 1e-6)
-        v -= rate * (m1 / c1)
-        v = np.sign(v) * np.maximum(np.abs(v) - L1 * rate, 0.0)
+        v = np.maximum(v - rate * (m1 / c1 + l1), 0.0)
         bias -= RATE * (b1 / c1) / (np.sqrt(b2 / c2) + 1e-6)
     w[used] = v
-    return w.astype(np.float32), float(bias)
+    return w, float(bias)
+
+
+def fit(pairs: tuple[np.ndarray, np.ndarray], row_of: np.ndarray, labels: np.ndarray, shares: tuple[float, float] | None = None, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights and bias from bags: (sentence, feature) pairs, the bag of each sentence, labels of bags, and
+    the labels' shares where the bags were sampled (else those of the bags)."""
+    if not len(labels) or not len(row_of):
+        return np.zeros(1 << BITS, dtype=np.float32), BIAS
+    positive = labels.astype(bool)
+    own = np.array([(~positive).sum(), positive.sum()])
+    shares = np.array(shares if shares is not None else own / own.sum())
+    weight = (shares / np.maximum(own, 1))[positive.astype(int)]
+    sentence, feature = pairs
+    held = np.unique((row_of[sentence].astype(np.int64) << BITS) | feature) & ((1 << BITS) - 1)
+    often = (np.bincount(held, minlength=1 << BITS) >= LEAST_DOCS)[feature]
+    sentence, feature = sentence[often], feature[often]
+    w, _ = _descend((sentence, feature), row_of, positive, weight, L1, steps)
+    chosen = (w > SELECTED)[feature]
+    w, bias = _descend((sentence[chosen], feature[chosen]), row_of, positive, weight, REFIT_L1, steps)
+    return w.astype(np.float32), bias
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_PER_LABEL) -> tuple[np.ndarray, float]:
     """Fit to the documents that ``labels`` (doc_id, toxic) marks; about ``bound`` rows a label."""
-    marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") == 1).cast("int").alias("y"))
+    counts = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     chosen = bounded_sample(marked, "y", "doc_id", bound, 2)
     bags = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
 
@@ -107,22 +134,23 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_PER_LABEL) ->
                 sent, feat, row, _, _ = sentences(data, offsets[lo : hi + 1])
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
                 at = np.searchsorted(sent, cut)
-                for i in range(hi - lo):
-                    sel = slice(at[i], at[i + 1])
-                    yield pa.RecordBatch.from_arrays([pa.array([y[lo + i]], pa.int32()), pa.array([(sent[sel] - cut[i]).tolist()], pa.list_(pa.int32())), pa.array([feat[sel].tolist()], pa.list_(pa.int32()))], names=["y", "s", "f"])
+                s = [(sent[at[i] : at[i + 1]] - cut[i]).astype(np.int32).tobytes() for i in range(hi - lo)]
+                f = [feat[at[i] : at[i + 1]].astype(np.int32).tobytes() for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([pa.array(y[lo:hi], pa.int32()), pa.array(s, pa.binary()), pa.array(f, pa.binary())], names=["y", "s", "f"])
 
-    rows = bags.mapInArrow(features, "y int, s array<int>, f array<int>").collect()
-    sents, feats, row_of, y, base = [], [], [], [], 0
+    rows = bags.mapInArrow(features, "y int, s binary, f binary").collect()
+    rows.sort(key=lambda r: (r["y"], bytes(r["f"])))  # the same sums in whatever order rows come
+    sents, feats, row_of, y, base = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [], 0
     for i, r in enumerate(rows):
-        n = (max(r["s"]) + 1) if r["s"] else 0
-        sents.append(np.array(r["s"], dtype=np.int64) + base)
-        feats.append(np.array(r["f"], dtype=np.int64))
-        row_of.append(np.full(n, i))
-        y.append(1 if r["y"] == 1 else 0)
+        own = np.frombuffer(r["s"], dtype=np.int32)
+        n = int(own.max(initial=-1)) + 1
+        sents.append(own + np.int32(base))
+        feats.append(np.frombuffer(r["f"], dtype=np.int32))
+        row_of.append(np.full(n, i, dtype=np.int32))
+        y.append(r["y"])
         base += n
-    if not rows:
-        return fit((np.zeros(0, int), np.zeros(0, int)), np.zeros(0, int), np.zeros(0))
-    return fit((np.concatenate(sents), np.concatenate(feats)), np.concatenate(row_of), np.array(y))
+    total = max(1, sum(counts.values()))
+    return fit((np.concatenate(sents), np.concatenate(feats)), np.concatenate(row_of), np.array(y), (counts.get(0, 0) / total, counts.get(1, 0) / total))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id", least: float = 0.5) -> DataFrame:
