@@ -95,11 +95,11 @@ def smp01(spark, d):
     return sampling.batches(docs, "doc_id", 8, 4, SEED, docs.count()).select("doc_id", "shard", "batch")
 
 
-@query("smp04_padded", f"WITH p AS ({_ORD.format(k='s_suppkey', t='supplier')}), n AS (SELECT count(*) AS n FROM supplier), q AS (SELECT s_suppkey, pos FROM p UNION ALL SELECT s_suppkey, pos + n FROM p, n WHERE pos + n < (n + 47) // 48 * 48) SELECT s_suppkey, pos % 6 AS shard, (pos // 6) // 8 AS batch FROM q")
+@query("smp04_padded", f"WITH p AS ({_ORD.format(k='c_custkey', t='customer')}), n AS (SELECT count(*) AS n FROM customer), q AS (SELECT c_custkey, pos FROM p UNION ALL SELECT c_custkey, pos + n FROM p, n WHERE pos + n < (n + 47) // 48 * 48) SELECT c_custkey, pos % 6 AS shard, (pos // 6) // 8 AS batch FROM q")
 def smp04(spark, d):
     """SMP-04: as many rows of the front again as fill the last batch."""
-    s = read(spark, d, "supplier").select("s_suppkey")
-    return sampling.batches(s, "s_suppkey", 8, 6, SEED, s.count(), drop_last=False).select("s_suppkey", "shard", "batch")
+    s = read(spark, d, "customer").select("c_custkey")
+    return sampling.batches(s, "c_custkey", 8, 6, SEED, s.count(), drop_last=False).select("c_custkey", "shard", "batch")
 
 
 @query("smp05_ranges", "WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents) SELECT doc_id, pos // ((n + 6) // 7) AS worker FROM p")
