@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,17 +25,26 @@ def reconcile(left: DataFrame, right: DataFrame, on: list[str], names: tuple[str
     return a.join(b, on, "full_outer").select(*on, status.alias("status"))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written once to the session's checkpoint folder (a temporary one where none is set, as in
+    tests), so that what depends on how rows were dealt is the same each time it is read."""
+    sc, at = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def positions(df: DataFrame, order: list[str], name: str = "pos", blocks: int = 64) -> DataFrame:
     """A dense position from 0 over the whole frame without one global window.
 
-    Rows are range-partitioned by ``order``; counts of the partitions (small) give each one's offset.
+    Rows are range-partitioned by ``order`` and numbered within partitions; the partitions' sizes (``blocks``
+    rows) give the offsets. Ranges come from a sample, so the dealt rows are settled before both are read.
     """
-    sorted_ = df.repartitionByRange(blocks, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    w = Window.partitionBy("_p").orderBy("_i")
-    local = sorted_.withColumn("_r", F.row_number().over(w))
+    dealt = df.repartitionByRange(blocks, *order).withColumn("_p", F.spark_partition_id())
+    local = settled(dealt).withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     counts = local.groupBy("_p").agg(F.max("_r").alias("_n"))
     offsets = counts.withColumn("_o", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(offsets.select("_p", "_o")), "_p").withColumn(name, (F.col("_o") + F.col("_r") - 1).cast("bigint")).drop("_p", "_i", "_r", "_o")
+    return local.join(F.broadcast(offsets.select("_p", "_o")), "_p").withColumn(name, (F.col("_o") + F.col("_r") - 1).cast("bigint")).drop("_p", "_r", "_o")
 
 
 def zip_rows(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
