@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, byte_view, mix, remainder, slices, table
+from tessera.llm.common import LOWER, byte_view, mix, remainder, slices, small_side, table
 
 ORDER = 5
 SHARD_ROWS = 4_000_000
@@ -175,7 +175,7 @@ def _shards(model: list[tuple[DataFrame, DataFrame]], shard_rows: int) -> list[n
     load = np.zeros(1 << 16, dtype=np.int64)
     load[top["b"].to_numpy(dtype=int)] = top["count"].to_numpy()
     shard = (np.cumsum(load) - load) // max(1, shard_rows)
-    return [np.flatnonzero(shard == s) for s in range(int(shard.max()) + 1)]
+    return [np.flatnonzero(shard == s) for s in np.unique(shard)]
 
 
 def _fetch(model: list[tuple[DataFrame, DataFrame]], pairs: np.ndarray) -> list[tuple[Lookup, Lookup]]:
@@ -234,7 +234,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shar
     """doc_id, lang, perplexity, threshold, kept of every document."""
     trusted = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     left_out = remainder("doc_id", FOLDS) == 0
-    model = train(docs.select("doc_id", "text").join(trusted.where(~left_out), "doc_id", "left_semi"))
+    model = train(docs.select("doc_id", "text").join(small_side(trusted.where(~left_out)), "doc_id", "left_semi"))
     scored = table(perplexity(docs, model, ("lang",), shard_rows).drop("text"), "perplexity")
     sample = scored.join(trusted.where(left_out), "doc_id", "left_semi").where("perplexity is not null").withColumn("x", F.round("perplexity", 4))
     by_lang = sample.where("lang is not null").groupBy("lang").agg(F.percentile("x", F.lit(quantile)).alias("t"), F.count("*").alias("n")).where(F.col("n") >= LEAST).select("lang", "t")
