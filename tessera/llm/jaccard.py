@@ -59,7 +59,8 @@ class Segments:
 
     Linked sets of up to ``hi`` shingles differ in at most k = 2 * hi * (1 - t) / (1 + t) of them, so they
     agree in ``1 + spare`` or more of ``k + 1 + spare`` segments. A segment without shingles says little;
-    it is signed only by sets that have more than ``spare`` of those.
+    it is signed only by sets that have more than ``spare`` of those. A set that shares fewer signatures
+    than ``needs`` with all others together has no link.
     """
 
     def __init__(self, t: tuple[int, int]):
@@ -71,17 +72,27 @@ class Segments:
         while len(self.plan) < len(self.edges) - 1:
             lo, hi = self.edges[len(self.plan)], self.edges[len(self.plan) + 1] - 1
             k = 2 * hi * (self.t[1] - self.t[0]) // (self.t[1] + self.t[0])
-            spare = 1 + math.ceil(2 * (k + 1) * math.exp(-max(1, lo) / (k + 1))) if k else 0
+            spare = 2 + (k + 1) // 8 + math.ceil(2 * (k + 1) * math.exp(-max(1, lo) / (k + 1))) if k else 0
             self.plan.append((k + 1 + spare, spare))
         return int(np.searchsorted(self.edges, size, side="right")) - 1
 
+    @staticmethod
+    def _deal(s: np.ndarray, n: int) -> np.ndarray:
+        return (((s * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
+
+    def needs(self, s: np.ndarray) -> int:
+        at, out = self.band(len(s)), []
+        for n, spare in self.plan[at : at + 2]:
+            empty = int((np.bincount(self._deal(s, n), minlength=n) == 0).sum())
+            out.append(1 + spare - (empty if empty <= spare else 0))
+        return min(out)
+
     def sign(self, s: np.ndarray) -> np.ndarray:
         out, at = [], self.band(len(s))
         low, high = (s & np.uint64(0xFFFFFFFF)).astype(np.float64), (s >> np.uint64(32)).astype(np.float64)
-        spread = (s * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
         for band in (at, at + 1):
             n, spare = self.plan[band]
-            seg = (spread % np.uint64(n)).astype(np.int64)
+            seg = self._deal(s, n)
             count = np.bincount(seg, minlength=n)
             total = np.bincount(seg, low, minlength=n).astype(np.uint64) + (np.bincount(seg, high, minlength=n).astype(np.uint64) << np.uint64(32))
             keep = np.arange(n) if (count == 0).sum() > spare else np.flatnonzero(count)
@@ -102,7 +113,7 @@ def _word_lists(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def signed(docs: DataFrame, n: int, t: tuple[int, int], rest: bool = False) -> DataFrame:
-    """Written table: nid (a number of the row), the row's doc_id and text, n_shingles, key, sigs; with
+    """Written table: nid (a number of the row), the row's doc_id and text, n_shingles, key, needs; with
     ``rest`` a struct of the row's other columns."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")] if rest else []
     kept = [F.struct(*others).alias("rest")] if others else []
@@ -111,21 +122,41 @@ def signed(docs: DataFrame, n: int, t: tuple[int, int], rest: bool = False) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = Segments(t)
         for b in batches:
-            sizes, keys, sigs = [], [], []
+            sizes, keys, least = [], [], []
             for words in _word_lists(b.column(1)):
                 s = shingle_set(words, n)
                 sizes.append(len(s))
                 keys.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
-                sigs.append(plan.sign(s) if len(s) else np.zeros(0, dtype=np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in sigs]), pa.int32()), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists, *b.columns[2:]], names=["doc_id", "text", "n_shingles", "key", "sigs"] + b.schema.names[2:])
+                least.append(plan.needs(s) if len(s) else 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(least, pa.int32()), *b.columns[2:]], names=["doc_id", "text", "n_shingles", "key", "needs"] + b.schema.names[2:])
 
     source = docs.select("doc_id", "text", *kept)
-    schema = f"doc_id {key_type}, text string, n_shingles bigint, key binary, sigs array<bigint>" + "".join(f", rest {f.dataType.simpleString()}" for f in source.schema.fields[2:])
+    schema = f"doc_id {key_type}, text string, n_shingles bigint, key binary, needs int" + "".join(f", rest {f.dataType.simpleString()}" for f in source.schema.fields[2:])
     rows = source.mapInArrow(run, schema)
     return table(rows.select(F.monotonically_increasing_id().alias("nid"), "*"), "signed", compression="zstd")
 
 
+def signatures(texts: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
+    """sig and nid of every signature of the rows (nid, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = Segments(t)
+        for b in batches:
+            nid = b.column(0).to_numpy()
+            sigs, who, size = [], [], 0
+            for i, words in enumerate(_word_lists(b.column(1))):
+                s = shingle_set(words, n)
+                if len(s):
+                    sigs.append(plan.sign(s))
+                    who.append(np.full(len(sigs[-1]), nid[i]))
+                    size += len(sigs[-1])
+                if size > _CHUNK // 8 or (size and i == b.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(who))], names=["sig", "nid"])
+                    sigs, who, size = [], [], 0
+
+    return texts.select("nid", "text").mapInArrow(run, "sig bigint, nid bigint")
+
+
 def _blocks(sigs: DataFrame) -> DataFrame:
     """sig, nid and pivot (least nid) of the members of each block of two or more.
 
@@ -281,8 +312,12 @@ def link_classes(signs: DataFrame, n: int, t: tuple[int, int], block: int = BLOC
     """Links (a, b) between the representatives of classes; as many as join every component."""
     classes = signs.where("n_shingles > 0").groupBy("key").agg(F.min("nid").alias("rep"))
     copies = table(signs.where("n_shingles > 0").select("nid", "key").join(classes, "key").where("nid != rep").select("nid"), "copies")
-    sigs = signs.where("n_shingles > 0").select("nid", "sigs").join(small_side(copies), "nid", "left_anti").select(F.explode("sigs").alias("sig"), "nid")
-    members = table(_blocks(sigs), "members")
+    reps = signs.where("n_shingles > 0").join(small_side(copies), "nid", "left_anti")
+    members = _blocks(signatures(reps, n, t)).select("sig", "nid")
+    enough = members.groupBy("nid").count().join(signs.select("nid", "needs"), "nid").where("count >= needs").select("nid")
+    members = members.join(small_side(table(enough, "enough")), "nid", "left_semi")
+    pivots = members.groupBy("sig").agg(F.min("nid").alias("pivot"), F.max("nid").alias("top")).where("pivot < top").select("sig", "pivot")
+    members = table(members.join(pivots, "sig").distinct(), "members")
 
     # one pivot per set: that of most of its blocks
     shared = members.where("nid != pivot").groupBy("nid", "pivot").count()
@@ -296,7 +331,7 @@ def link_classes(signs: DataFrame, n: int, t: tuple[int, int], block: int = BLOC
     comps = components(first)
 
     # blocks that still hold several components; those with the same least member are searched as one
-    rooted = table(_roots(members.select("sig", "nid").distinct(), comps), "rooted")
+    rooted = table(_roots(members.select("sig", "nid"), comps), "rooted")
     mixed = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("nid").alias("pivot")).where("lo != hi").select("sig", "pivot")
     rest = table(rooted.join(mixed, "sig").select("pivot", "nid", "root").distinct(), "rest")
     sizes = rest.groupBy("pivot").agg(F.ceil(F.count("*") / block).alias("parts"))
