@@ -27,6 +27,28 @@ def frames_last(values: pd.Series, shape: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else np.asarray(v, dtype=np.float32).reshape(*s).transpose(3, 0, 1, 2).ravel() for v, s in zip(values, shape, strict=True)])
 
 
+def ssim_score(x: np.ndarray, y: np.ndarray, size: int = 11, sigma: float = 1.5, peak: float = 1.0) -> float:
+    """Mean structural similarity of two grey images under a Gaussian window (smaller for small images)."""
+    size = min(size, *x.shape)
+    taps = np.exp(-((np.arange(size) - (size - 1) / 2) ** 2) / (2 * sigma * sigma))
+    taps /= taps.sum()
+
+    def blur(m: np.ndarray) -> np.ndarray:
+        rows = np.lib.stride_tricks.sliding_window_view(m, size, axis=1) @ taps
+        return np.lib.stride_tricks.sliding_window_view(rows, size, axis=0) @ taps
+
+    mx, my = blur(x), blur(y)
+    vx, vy, cov = blur(x * x) - mx * mx, blur(y * y) - my * my, blur(x * y) - mx * my
+    c1, c2 = (0.01 * peak) ** 2, (0.03 * peak) ** 2
+    return float((((2 * mx * my + c1) * (2 * cov + c2)) / ((mx * mx + my * my + c1) * (vx + vy + c2))).mean())
+
+
+@F.pandas_udf(T.DoubleType())
+def ssim(a: pd.Series, b: pd.Series, shape: pd.Series) -> pd.Series:
+    """ARR-09: of two flat images of one shape (h, w); null where either is null."""
+    return pd.Series([None if x is None or y is None else ssim_score(np.asarray(x, dtype=float).reshape(*s), np.asarray(y, dtype=float).reshape(*s)) for x, y, s in zip(a, b, shape, strict=True)], dtype="float64")
+
+
 def pad(c: Column, length: int, fill: float = 0.0) -> Column:
     """ARR-03: cropped or filled to ``length``."""
     return F.slice(F.concat(c, F.array_repeat(F.lit(fill).cast("float"), length)), 1, length)

@@ -91,6 +91,14 @@ def arr08_psnr(spark, d):
     return x.select("vec_id", F.round(arrays.psnr(F.col("embedding"), F.col("o")), 4).alias("psnr"))
 
 
+@query("arr09_ssim")
+def arr09(spark, d):
+    """ARR-09: each vector as an image of eight by eight against the next one."""
+    f = _frames(spark, d)
+    x = f.join(f.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("o")), "vec_id")
+    return x.select("vec_id", F.round(arrays.ssim("embedding", "o", F.array(F.lit(8), F.lit(8))), 6).alias("ssim"))
+
+
 @query("arr10_mask_iou", "SELECT a.vec_id, round(list_sum(list_transform(list_zip(embedding, o), lambda z: (z[1] > 0 AND z[2] > 0)::INT)) / list_sum(list_transform(list_zip(embedding, o), lambda z: (z[1] > 0 OR z[2] > 0)::INT)), 6) AS iou FROM embeddings a JOIN (SELECT vec_id - 1 AS vec_id, embedding AS o FROM embeddings) b USING (vec_id)")
 def arr10(spark, d):
     """ARR-10: overlap of two binary masks."""

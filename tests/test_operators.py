@@ -119,6 +119,13 @@ def test_arrays(spark):
     assert one(t.select(arrays.frames_last("v", "s"))) == [0, 2, 4, 6, 8, 10, 1, 3, 5, 7, 9, 11]
 
 
+def test_ssim(spark):
+    a = [((i * 7) % 11) / 11 for i in range(16 * 16)]
+    df = spark.createDataFrame([(a, a), (a, [1 - x for x in a]), (None, a)], "x array<double>, y array<double>")
+    same, other, none = (r[0] for r in df.select(arrays.ssim("x", "y", F.array(F.lit(16), F.lit(16)))).collect())
+    assert same == pytest.approx(1.0) and other < 0 and none is None
+
+
 def test_frechet(spark):
     rows = [(g, [x + g, y]) for g in (0, 1) for x, y in ((0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (1.0, 1.0))] + [(2, [0.0, float("nan")]), (3, None)]
     df = spark.createDataFrame(rows, "g int, v array<double>")
