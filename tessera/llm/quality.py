@@ -1,19 +1,18 @@
 """Operator 9: a quality classifier by the perplexity of an interpolated modified Kneser-Ney model.
 
-Symbols are UTF-8 bytes (A-Z lower-cased), n-grams of up to ``ORDER`` bytes packed in a long, so a model
-is exact and its size is bounded by the language, not by the corpus. Counts are taken over all trusted
-texts: tasks count, Spark sums. The lower orders' continuation counts, the contexts' totals and the
-interpolated probabilities come from joins of the count tables. For scoring, the tables are dealt into
-shards of ``SHARD_ROWS`` n-grams by the two bytes before the last, so that all orders of a position meet
-in one shard; each shard is broadcast and joined with the texts in turn (one shard is the usual case).
+The model is one of word trigrams over all trusted texts (``word_model``), counted, and looked up for every
+n-gram of every document, by Spark joins; it grows with the trusted text and is never gathered.
 
 Trusted texts are those that ``labels`` marks with quality 1. One fold of them in ``FOLDS`` is left out of
 the counts, and its perplexities give each language's quantile; documents up to the quantile are kept.
 
-Defined results: null and empty texts have no perplexity and are not kept; a language with fewer than
-``LEAST`` left-out trusted documents, or none, takes the quantile of all; without any trusted text all
-probabilities are equal and every text that is not empty is kept; rows are scored one by one; labels that
+Defined results: null texts and texts without words have no perplexity and are not kept; a language with fewer
+than ``LEAST`` left-out trusted documents, or none, takes the quantile of all; without any trusted text all
+probabilities are equal and every text with words is kept; rows are scored one by one; labels that
 contradict count by the lowest quality.
+
+The functions over bytes below (``count_grams`` to ``perplexity``) are a model of n-grams of up to ``ORDER``
+UTF-8 bytes packed in a long, broadcast in shards of ``SHARD_ROWS``; ``quality`` no longer uses them.
 """
 
 from __future__ import annotations
@@ -26,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import word_model
 from tessera.llm.common import LOWER, byte_view, mix, remainder, slices, small_side, table
 
 ORDER = 5
@@ -230,12 +230,12 @@ def perplexity(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], keep:
     return rows.select("doc_id", "text", F.when(n > 0, F.exp(-F.col("ln_p") / n)).alias("perplexity"), *keep)
 
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, perplexity, threshold, kept of every document."""
     trusted = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     left_out = remainder("doc_id", FOLDS) == 0
-    model = train(docs.select("doc_id", "text").join(small_side(trusted.where(~left_out)), "doc_id", "left_semi"))
-    scored = table(perplexity(docs, model, ("lang",), shard_rows).drop("text"), "perplexity")
+    model = word_model.train(docs.select("doc_id", "text").join(small_side(trusted.where(~left_out)), "doc_id", "left_semi"))
+    scored = table(word_model.perplexity(docs.select("doc_id", "text", "lang"), model), "perplexity")
     sample = scored.join(trusted.where(left_out), "doc_id", "left_semi").where("perplexity is not null").withColumn("x", F.round("perplexity", 4))
     by_lang = sample.where("lang is not null").groupBy("lang").agg(F.percentile("x", F.lit(quantile)).alias("t"), F.count("*").alias("n")).where(F.col("n") >= LEAST).select("lang", "t")
     overall = sample.agg(F.percentile("x", F.lit(quantile))).first()[0]  # one number
