@@ -6,8 +6,9 @@ n-gram of every document, by Spark joins; it grows with the trusted text and is
 Trusted texts are those that ``labels`` marks with quality 1. One fold of them in ``FOLDS`` is left out of
 the counts, and its perplexities give each language's quantile; documents up to the quantile are kept.
 
-Defined results: null texts and texts without words have no perplexity and are not kept; a language with fewer
-than ``LEAST`` left-out trusted documents, or none, takes the quantile of all; without any trusted text all
+Defined results: null texts and texts without words have no perplexity and are not kept; each
+language with a left-out trusted document takes its own quantile, one without any, and no language, that of
+all; perplexities are compared with it to four places; without any trusted text all
 probabilities are equal and every text with words is kept; rows are scored one by one; labels that
 contradict count by the lowest quality.
 
@@ -32,7 +33,6 @@ ORDER = 5
 SHARD_ROWS = 4_000_000
 QUANTILE = 0.995
 FOLDS = 5
-LEAST = 50
 _CHUNK = 1 << 19
 _MERGE = 1 << 21
 
@@ -237,7 +237,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> D
     model = word_model.train(docs.select("doc_id", "text").join(small_side(trusted.where(~left_out)), "doc_id", "left_semi"))
     scored = table(word_model.perplexity(docs.select("doc_id", "text", "lang"), model), "perplexity")
     sample = scored.join(trusted.where(left_out), "doc_id", "left_semi").where("perplexity is not null").withColumn("x", F.round("perplexity", 4))
-    by_lang = sample.where("lang is not null").groupBy("lang").agg(F.percentile("x", F.lit(quantile)).alias("t"), F.count("*").alias("n")).where(F.col("n") >= LEAST).select("lang", "t")
+    by_lang = sample.where("lang is not null").groupBy("lang").agg(F.percentile("x", F.lit(quantile)).alias("t"))
     overall = sample.agg(F.percentile("x", F.lit(quantile))).first()[0]  # one number
     limit = F.coalesce("t", F.lit(float("inf") if overall is None else overall))
-    return scored.join(by_lang, "lang", "left").select("doc_id", "lang", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(False)).alias("kept"))
+    return scored.join(by_lang, "lang", "left").select("doc_id", "lang", "perplexity", limit.alias("threshold"), F.coalesce(F.round("perplexity", 4) <= limit, F.lit(False)).alias("kept"))

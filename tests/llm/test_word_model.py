@@ -83,3 +83,15 @@ def test_senseless_order_of_trusted_words_is_not_kept(spark):
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(good + salad)], "doc_id long, text string, lang string")
     got = {r.doc_id: r.kept for r in quality.quality(docs, spark.createDataFrame([(i, 1, 0) for i in range(600)], LABELS)).collect()}
     assert sum(got[i] for i in range(600)) > 570 and not any(got[i] for i in range(600, 640))
+
+
+def test_a_rare_language_has_its_own_threshold(spark):
+    rng = random.Random(4)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(2)) for _ in range(30))
+    rows = [(i, text("ab"), "en") for i in range(100)] + [(100 + i, text("äëïöüàèìòùâêîôûçñßøå"), "fr") for i in range(12)] + [(500, text("ab"), "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality.quality(docs, spark.createDataFrame([(i, 1, 0) for i in range(112)], LABELS)).withColumn("out", quality.remainder("doc_id", quality.FOLDS) == 0).collect()
+    limits = {r.lang: r.threshold for r in got}
+    out = [r for r in got if r.out and r.lang == "en"]
+    assert 2 <= len(out) < 50 and any(r.out for r in got if r.lang == "fr")
+    assert max(r.perplexity for r in out) + 1e-4 >= limits["en"] and limits["fr"] > limits["de"] > limits["en"]
