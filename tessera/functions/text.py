@@ -58,6 +58,13 @@ def word_error_rate(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([rate(a, b) for a, b in zip(ref, hyp, strict=True)])
 
 
+def char_error_rate(ref: Column, hyp: Column) -> Column:
+    """STRF-05 by characters: edits between whole normalised texts, blanks left out, over characters of the
+    reference; without reference characters 0 for none, else 1."""
+    a, b = (F.replace(normalised(F.coalesce(c, F.lit(""))), F.lit(" "), F.lit("")) for c in (ref, hyp))
+    return F.when(F.length(a) == 0, (F.length(b) > 0).cast("double")).otherwise(F.levenshtein(a, b) / F.length(a))
+
+
 def slug(c: Column, default: str = "preset") -> Column:
     """STRF-18: lower case, runs of other characters than a-z and 0-9 as one _, none at the ends."""
     s = F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "_")

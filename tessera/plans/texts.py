@@ -52,6 +52,15 @@ def strf05_char(spark, d):
     return both.select("conv_id", "turn", F.levenshtein(F.substring("x", 1, 60), F.substring("y", 1, 60)).cast("bigint").alias("edits"))
 
 
+@query("strf05_char_rate")
+def strf05_char_rate(spark, d):
+    """STRF-05 by characters: the rate of every pair, whole texts in any script (DuckDB's levenshtein counts bytes)."""
+    c = read(spark, d, "conversations")
+    a = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("ref"))
+    b = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp"))
+    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(text.char_error_rate(F.col("ref"), F.col("hyp")), 6).alias("cer"))
+
+
 @query("strf06_parse", "SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '/([a-z]{2})/(\\d+)', 1) AS lang, try_cast(regexp_extract(url, '/([a-z]{2})/(\\d+)', 2) AS BIGINT) AS number FROM pages")
 def strf06(spark, d):
     """STRF-06: parts of a name."""
