@@ -27,6 +27,12 @@ def strf03(spark, d):
     return docs.select("doc_id", text.normalised(F.col("text")).alias("norm"))
 
 
+@query("strf03_normalised_all")
+def strf03_all(spark, d):
+    """STRF-03 over every document (DuckDB has no NFKC)."""
+    return read(spark, d, "documents").select("doc_id", text.normalised(F.col("text")).alias("norm"))
+
+
 @query("strf04_cjk", "SELECT lang, count(*) FILTER (WHERE regexp_matches(text, '[぀-ヿ㐀-䶿一-鿿가-힯]')) AS n_cjk, count(*) AS n FROM documents GROUP BY 1")
 def strf04(spark, d):
     """STRF-04."""

@@ -29,3 +29,12 @@ def test_character_rate_of_whole_texts(spark, data):
         assert r.x == (edits(a, b) / len(a) if a else float(bool(b)))
     turns = {(r.conv_id, r.turn, r.role) for r in spark.read.parquet(f"{data}/conversations.parquet").collect()}
     assert plans.QUERIES["strf05_char_rate"](spark, data).count() == sum(r == "user" and (c, t + 1, "assistant") in turns for c, t, r in turns)
+
+
+def test_normalised_covers_every_document(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    got = {r.doc_id: r.norm for r in plans.QUERIES["strf03_normalised_all"](spark, data).collect()}
+    want = {r.doc_id: r.text and norm(r.text) for r in docs.collect()}
+    assert got == want and any(not r.isascii() for r in want.values() if r)
+    odd = spark.createDataFrame([("ＡＢＣ ﬁ ①",), (None,)], "t string").select(text.normalised(text.F.col("t")).alias("n")).collect()
+    assert [r.n for r in odd] == ["abc fi 1", None]
