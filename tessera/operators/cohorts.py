@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.joins import positions
+
 
 def latest(df: DataFrame, cohort: list[str], order: list[Column]) -> DataFrame:
     """WIN-01: the last row of each cohort; ``order`` is descending."""
@@ -39,6 +43,15 @@ def trend(df: DataFrame, cohort: list[str], point: list[str]) -> DataFrame:
     return df.groupBy(*cohort).agg(F.array_sort(F.collect_list(F.struct(*point))).alias("points"))
 
 
+def trend_points(df: DataFrame, cohort: list[str], order: list[str]) -> DataFrame:
+    """AGG-05 for cohorts of any size: every row with its position in its cohort, from 0. Rows are dealt by
+    range, so no cohort is gathered in one task or array."""
+    at = positions(df, [*cohort, *order])
+    first = at.groupBy(*[F.col(c).alias(f"_{c}") for c in cohort]).agg(F.min("pos").alias("_first"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cohort])
+    return at.join(first, same).withColumn("pos", F.col("pos") - F.col("_first")).select(*df.columns, "pos")
+
+
 def eligible_for_baseline(flag: Column, source: Column) -> Column:
     """FLT-07: marked eligible, or from before there were marks and sources."""
     return F.coalesce(flag, F.lit(False)) | (flag.isNull() & source.isNull())

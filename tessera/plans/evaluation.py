@@ -169,6 +169,14 @@ def win09(spark, d):
     return a.join(x.where("vec_id = 4").select("i", F.col("v").alias("b")), "i").groupBy("lag").agg(F.round(F.corr("a", "b"), 4).alias("r"))
 
 
+@query("win09_lagged_pairs", "WITH x AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) t(i)) SELECT a.vec_id, lag, round(corr(a.v, b.v), 4) + 0.0::DOUBLE AS r FROM (SELECT unnest([5, 17, 41]) AS lag), x a JOIN x b ON b.vec_id = a.vec_id + 1 AND b.i = (a.i + lag) % 64 GROUP BY 1, 2")
+def win09_pairs(spark, d):
+    """WIN-09 for every vector and the next one."""
+    x = _frames(spark, d).select("vec_id", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
+    a = x.select("vec_id", F.explode(F.array(F.lit(5), F.lit(17), F.lit(41))).alias("lag"), "i", "v").select("vec_id", "lag", ((F.col("i") + F.col("lag")) % 64).alias("i"), F.col("v").alias("a"))
+    return a.join(x.select((F.col("vec_id") - 1).alias("vec_id"), "i", F.col("v").alias("b")), ["vec_id", "i"]).groupBy("vec_id", "lag").agg((F.round(F.corr("a", "b"), 4) + F.lit(0.0)).alias("r"))  # no -0.0
+
+
 @query("win10_prefix", "WITH r AS (SELECT vec_id, i, x, row_number() OVER (PARTITION BY vec_id ORDER BY x, i) AS k FROM (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS x FROM embeddings, range(64) t(i))), b AS (SELECT vec_id, median(x) FILTER (WHERE k <= 12) AS lo, median(x) FILTER (WHERE k > 52) AS hi FROM r GROUP BY 1) SELECT vec_id, min(i)::INT AS onset FROM r JOIN b USING (vec_id) WHERE x > lo + 0.25 * (hi - lo) GROUP BY 1")
 def win10(spark, d):
     """WIN-10: the first value a quarter of the way from the low fifth's median to the high fifth's."""

@@ -365,6 +365,13 @@ def srt07(spark, d):
     return read(spark, d, "customer").where("c_nationkey = 3").select("c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(n, "c_custkey")).cast("bigint").alias("pos"))
 
 
+@query("srt07_numeric_suffix_all", "SELECT c_custkey, row_number() OVER (ORDER BY coalesce(try_cast(regexp_extract(c_name, '(\\d+)$', 1) AS INT), -1), c_custkey) AS pos FROM customer")
+def srt07_all(spark, d):
+    """SRT-07 over the whole table."""
+    n = F.coalesce(F.regexp_extract("c_name", r"(\d+)$", 1).try_cast("int"), F.lit(-1))
+    return joins.positions(read(spark, d, "customer").select("c_custkey", n.alias("n")), ["n", "c_custkey"]).select("c_custkey", (F.col("pos") + 1).alias("pos"))
+
+
 @query("srt09_first_healthy", "SELECT s_nationkey, arg_min(s_suppkey, (s_acctbal < 5000, s_suppkey)) AS chosen FROM supplier WHERE s_acctbal > 0 GROUP BY 1")
 def srt09(spark, d):
     """SRT-09, SRT-10: the first healthy primary, else the first healthy one."""

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import policy
-from tessera.operators import cohorts
+from tessera.operators import cohorts, joins
 from tessera.plans.registry import query, read
 
 WINDOW = 5
@@ -61,6 +61,12 @@ def agg05(spark, d):
     return t.select("event_type", F.array_join(F.transform("points", lambda p: p["event_id"].cast("string")), ",").alias("ids"), F.size("points").cast("bigint").alias("n_points"), F.round(F.col("points")[0]["value"], 6).alias("first_value"))
 
 
+@query("agg05_trend_points", "SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS pos, event_id, ts, value FROM events")
+def agg05_points(spark, d):
+    """AGG-05 over all runs: the points of each cohort as rows with their positions."""
+    return cohorts.trend_points(_records(spark, d).select("event_type", "event_id", "ts", "value"), ["event_type"], ["ts", "event_id"])
+
+
 @query("agg06_status_counts", "SELECT count(*) FILTER (WHERE event_type <> 'error') AS n_pass, count(*) FILTER (WHERE event_type = 'error') AS n_fail FROM events")
 def agg06(spark, d):
     """AGG-06."""
@@ -275,3 +281,10 @@ def srt08(spark, d):
     """SRT-08: by time, undated rows after them in the order of input."""
     e = read(spark, d, "events").where("user_id = 3").withColumn("at", F.when(F.col("event_id") % 4 != 0, F.col("ts")))
     return e.select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("at").asc_nulls_last(), "event_id")).cast("bigint").alias("pos"))
+
+
+@query("srt08_undated_last_all", "SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id % 4 = 0 THEN NULL ELSE ts END NULLS LAST, event_id) AS pos FROM events")
+def srt08_all(spark, d):
+    """SRT-08 over the whole table."""
+    e = read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("ts")).alias("at"))
+    return joins.positions(e.withColumn("undated", F.col("at").isNull()), ["undated", "at", "event_id"]).select("event_id", (F.col("pos") + 1).alias("pos"))

@@ -38,3 +38,10 @@ def test_normalised_covers_every_document(spark, data):
     assert got == want and any(not r.isascii() for r in want.values() if r)
     odd = spark.createDataFrame([("ＡＢＣ ﬁ ①",), (None,)], "t string").select(text.normalised(text.F.col("t")).alias("n")).collect()
     assert [r.n for r in odd] == ["abc fi 1", None]
+
+
+def test_orders_and_trends_cover_their_tables(spark, data):
+    for name, table, times in (("agg05_trend_points", "events", 1), ("srt08_undated_last_all", "events", 1), ("srt07_numeric_suffix_all", "customer", 1)):
+        assert plans.QUERIES[name](spark, data).count() == times * spark.read.parquet(f"{data}/{table}.parquet").count()
+    ids = {r.vec_id for r in spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id").collect()}
+    assert plans.QUERIES["win09_lagged_pairs"](spark, data).count() == 3 * sum(i + 1 in ids for i in ids)
