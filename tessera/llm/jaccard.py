@@ -84,7 +84,7 @@ class Segments:
         at, out = self.band(len(s)), []
         for n, spare in self.plan[at : at + 2]:
             empty = int((np.bincount(self._deal(s, n), minlength=n) == 0).sum())
-            out.append(1 + spare - (empty if empty <= spare else 0))
+            out.append(1 + spare - empty if empty <= spare else 1)  # a fuller partner signs none of the empty segments
         return min(out)
 
     def sign(self, s: np.ndarray) -> np.ndarray:

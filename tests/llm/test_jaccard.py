@@ -1,6 +1,7 @@
 import re
 
 import common_rows
+import numpy as np
 import pytest
 
 from tessera.llm import jaccard as j
@@ -58,3 +59,30 @@ def test_overlap_bound():
         for b in range(1, 40):
             least = j.needed(a, b, (90, 100))
             assert all((100 * i >= 90 * (a + b - i)) == (i >= least) for i in range(min(a, b) + 1))
+
+
+def small_pairs():
+    """Texts of 4 to 50 shingles of five, each with its near copy of one word more; most of them of 4."""
+    for k in range(4, 51):
+        for v in range(1500 if k == 4 else 20):
+            w = [f"k{k}v{v}w{i}" for i in range(k + 5)]
+            yield " ".join(w[:-1]), " ".join(w)
+
+
+def shared_and_needed(pairs):
+    """Of each pair, compared alone: the signatures in common, and the larger of the numbers asked for."""
+    plan = j.Segments((80, 100))
+    sets = [j.shingle_set(w, 5) for w in j._word_lists(j.pa.array([t for p in pairs for t in p]))]
+    for a, b in zip(sets[::2], sets[1::2], strict=True):
+        yield len(np.intersect1d(plan.sign(a), plan.sign(b))), max(plan.needs(a), plan.needs(b))
+
+
+def test_each_linked_pair_shares_what_it_needs():
+    assert all(shared >= needed >= 1 for shared, needed in shared_and_needed(list(small_pairs())))
+
+
+def test_a_sparse_pair_alone_is_found(spark):
+    pairs = list(small_pairs())
+    pair = pairs[489]  # 2 signatures in common
+    docs = spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")
+    assert [r.doc_id for r in j.keep_one(docs).collect()] == [0]
