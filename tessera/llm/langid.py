@@ -1,13 +1,17 @@
 """Operator 6: language identification by multinomial naive Bayes over hashed character n-grams.
 
 Learning counts hashed n-grams (orders 1 to ``ORDERS``) of a bounded sample of labelled rows, about
-``bound`` documents a language. The matrix of log-probabilities (buckets x languages) is broadcast;
-its size is ``BUCKETS * languages * 4`` bytes with at most ``MAX_LANGUAGES`` languages, whatever the
-corpus. Scoring reads whole texts in Arrow batches and adds matrix rows per document in numpy.
+``bound`` documents a language; every language is learned. The matrix of log-probabilities (buckets x
+languages) is broadcast: ``BUCKETS * 4`` bytes (256 KB) a language, whatever the corpus. Scoring reads whole
+texts in Arrow batches and adds matrix rows per document in numpy.
 
-Defined results: a null text, or one without any letter, is ``und`` with score 0; repeated rows are
-scored one by one; without any labelled row every text is ``und``; equal scores go to the language
-that sorts first; very long texts are added up in pieces of ``PIECE`` characters.
+An n-gram lies in one text: none crosses to the next row, and a long text is read in parts of ``PIECE``
+characters that carry the characters which n-grams across the cut need. Log-probabilities are integers in
+units of 1 / ``UNIT``, so a score depends on its text alone, exactly.
+
+Defined results: a null text, or one without any letter, is ``und`` with score 0; repeated rows have equal
+scores; without any labelled row every text is ``und``; equal scores go to the language that sorts first;
+rows with a null doc_id are scored, never learned from, and count as held out; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,12 +27,12 @@ from tessera.llm.common import bounded_sample, remainder
 
 BUCKETS = 1 << 16
 ORDERS = 4
-MAX_LANGUAGES = 256
 SAMPLE_PER_LANGUAGE = 1500
 SMOOTHING = 0.5
 FOLDS = 5
 UNKNOWN = "und"
 PIECE = 1 << 18
+UNIT = 1 << 20
 
 _TABLES: dict[str, np.ndarray] = {}
 
@@ -55,85 +59,98 @@ def _codes(text: str | None) -> np.ndarray:
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
 
 
-def _buckets(codes: np.ndarray, order: int) -> np.ndarray:
-    """Bucket of each n-gram of ``codes`` (blank-padded where texts meet)."""
-    m = len(codes) - order + 1
-    acc = np.full(max(m, 0), order * 0x51ED270B & 0xFFFFFFFF, dtype=np.uint32)
-    for k in range(order):
-        acc = (acc ^ codes[k : k + max(m, 0)]) * _MULTIPLIERS[k]
-        acc ^= acc >> np.uint32(15)
-    return acc >> np.uint32(32 - BUCKETS.bit_length() + 1)
-
-
-def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts one after the other, each followed by ORDERS blanks, and where each begins."""
-    pad = np.full(ORDERS, 32, dtype=np.uint32)
-    parts = [x for t in texts for x in (t, pad)]
-    starts = np.cumsum([0] + [len(t) + ORDERS for t in texts])
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint32), starts
-
-
-def _pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """Row numbers and code arrays of about PIECE characters at once; a long text comes in parts."""
-    rows, codes, size = [], [], 0
+def features(codes: list[np.ndarray], carried: np.ndarray) -> Iterator[np.ndarray]:
+    """For each order, the bucket of the n-gram that ends at each character of the parts, one part after the
+    other; BUCKETS where none ends: its first characters are not in the part, or its last was carried over
+    from the part before. Learning and scoring both count these."""
+    joined = np.concatenate(codes)
+    length = np.array([len(c) for c in codes])
+    place = np.arange(len(joined)) - np.repeat(np.cumsum(length) - length, length)
+    carried = np.repeat(carried, length)
+    for order in range(1, ORDERS + 1):
+        m = max(len(joined) - order + 1, 0)
+        acc = np.full(m, order * 0x51ED270B & 0xFFFFFFFF, dtype=np.uint32)
+        for k in range(order):
+            acc = (acc ^ joined[k : k + m]) * _MULTIPLIERS[k]
+            acc ^= acc >> np.uint32(15)
+        out = np.full(len(joined), BUCKETS)
+        out[len(joined) - m :] = acc >> np.uint32(32 - BUCKETS.bit_length() + 1)
+        out[place < np.maximum(carried, order - 1)] = BUCKETS
+        yield out
+
+
+def _pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    """Row numbers, code arrays and carried characters of about PIECE characters at once; a long text comes in
+    parts, each with the last characters of the part before."""
+    rows, codes, carried, size = [], [], [], 0
     for i, value in enumerate(column):
         c = _codes(value.as_py())
-        for at in range(0, max(len(c), 1), PIECE):
-            part = c[at : at + PIECE]
+        for at in range(0, len(c), PIECE):
+            back = min(at, ORDERS - 1)
             rows.append(i)
-            codes.append(part)
-            size += len(part)
+            codes.append(c[at - back : at + PIECE])
+            carried.append(back)
+            size += len(codes[-1])
             if size >= PIECE:
-                yield np.array(rows), codes
-                rows, codes, size = [], [], 0
+                yield np.array(rows), codes, np.array(carried)
+                rows, codes, carried, size = [], [], [], 0
     if rows:
-        yield np.array(rows), codes
+        yield np.array(rows), codes, np.array(carried)
 
 
 def learn(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", bound: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Languages (sorted) and the float32 matrix [BUCKETS, languages] of log-probabilities."""
-    rows = bounded_sample(docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l")).where("l is not null and t is not null"), "l", "k", bound, MAX_LANGUAGES)
+    """Languages (sorted) and the matrix [BUCKETS + 1, languages] of log-probabilities in units of 1 / UNIT.
+
+    Rows whose label, text or key is null are not learned from. Counts reach the driver one language at a
+    time; the matrix is ``4 * BUCKETS`` bytes a language.
+    """
+    rows = bounded_sample(docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l")).where("k is not null and l is not null and t is not null"), "l", "k", bound)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             langs = b.column(1).to_pylist()
-            for rows_, codes in _pieces(b.column(0)):
-                for i, c in zip(rows_, codes, strict=True):
-                    acc = sums.setdefault(langs[i], np.zeros(BUCKETS))
-                    for order in range(1, ORDERS + 1):
-                        acc += np.bincount(_buckets(c, order), minlength=BUCKETS)
+            for rows_, codes, carried in _pieces(b.column(0)):
+                names, which = np.unique([langs[i] for i in rows_], return_inverse=True)
+                which = np.repeat(which, [len(c) for c in codes]) * (BUCKETS + 1)
+                for at in features(codes, carried):
+                    n = np.bincount(which + at, minlength=len(names) * (BUCKETS + 1)).reshape(len(names), -1)
+                    for k, lang in enumerate(names.tolist()):
+                        sums[lang] = sums.get(lang, 0) + n[k, :BUCKETS]
         for lang, acc in sums.items():
             at = np.flatnonzero(acc)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(acc[at], pa.float64())], names=["l", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(acc[at], pa.int64())], names=["l", "b", "n"])
 
-    counts = rows.select("t", "l").mapInArrow(count, "l string, b int, n double").groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counts["l"].unique())
-    matrix = np.full((BUCKETS, len(langs)), SMOOTHING)
-    column = {x: i for i, x in enumerate(langs)}
-    matrix[counts["b"].to_numpy(), counts["l"].map(column).to_numpy(dtype=int) if len(langs) else []] += counts["n"].to_numpy()
-    return langs, np.log(matrix / matrix.sum(axis=0)).astype(np.float32)
+    counts = rows.select("t", "l").mapInArrow(count, "l string, b int, n bigint").groupBy("l", "b").agg(F.sum("n").alias("n"))
+    columns = {}
+    for row in counts.groupBy("l").agg(F.collect_list(F.struct("b", "n")).alias("c")).toLocalIterator():
+        n = np.full(BUCKETS, SMOOTHING)
+        n[[c[0] for c in row["c"]]] += [c[1] for c in row["c"]]
+        columns[row["l"]] = np.rint(np.log(n / n.sum()) * UNIT).astype(np.int32)
+    langs = sorted(columns)
+    matrix = np.zeros((BUCKETS + 1, len(langs)), dtype=np.int32)
+    for k, lang in enumerate(langs):
+        matrix[:BUCKETS, k] = columns[lang]
+    return langs, matrix
 
 
 def score_column(column: pa.Array, names: list[str], m: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The language of each text and its posterior, priors equal."""
+    """The language of each text and its posterior, priors equal. Sums are of integers, so they do not depend
+    on what else is in the batch nor on where a long text is cut."""
     n = len(column)
-    sums, letters = np.zeros((n, len(names))), np.zeros(n, dtype=bool)
-    for rows, codes in _pieces(column):
-        joined, starts = _joined(codes)
-        np.logical_or.at(letters, rows, np.logical_or.reduceat(joined != 32, starts[:-1]))
-        if not names:
-            continue
-        part = np.zeros((len(codes), len(names)), dtype=np.float64)
-        for order in range(1, ORDERS + 1):
-            at = np.append(_buckets(joined, order), np.zeros(order - 1, np.uint32))
+    sums, letters = np.zeros((n, len(names)), dtype=np.int64), np.zeros(n, dtype=bool)
+    for rows, codes, carried in _pieces(column):
+        starts = np.cumsum([0] + [len(c) for c in codes])[:-1]
+        np.logical_or.at(letters, rows, np.logical_or.reduceat(np.concatenate(codes) != 32, starts))
+        part = np.zeros((len(codes), len(names)), dtype=np.int64)
+        for at in features(codes, carried):
             for k in range(len(names)):
-                part[:, k] += np.add.reduceat(m[at, k], starts[:-1], dtype=np.float64)
+                part[:, k] += np.add.reduceat(m[at, k], starts, dtype=np.int64)
         np.add.at(sums, rows, part)
     if not names:
         return [UNKNOWN] * n, np.zeros(n)
     best = sums.argmax(axis=1)
-    post = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+    post = 1.0 / np.exp((sums - sums.max(axis=1, keepdims=True)) / UNIT).sum(axis=1)
     return [names[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)], np.where(letters, post, 0.0)
 
 

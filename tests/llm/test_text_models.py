@@ -1,7 +1,11 @@
 """Operators 5, 6 and 9: held-out accuracy on the small tables, and rows at the edges."""
 
+import math
+import random
+
 import common_rows
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import langid, quality, toxicity
@@ -38,6 +42,64 @@ def test_language_edges(spark, docs):
     assert kept.columns == both.columns and not {9001, 9002, 9003} & {r.doc_id for r in kept.collect()}
 
 
+def brute_bayes(learned, texts):
+    """Naive Bayes over the same buckets, character by character."""
+    letter = lambda c: (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " "
+    mask = 0xFFFFFFFF
+
+    def buckets(text):
+        codes = [ord(letter(c)) for c in text]
+        for order in range(1, 5):
+            for i in range(len(codes) - order + 1):
+                acc = order * 0x51ED270B & mask
+                for k in range(order):
+                    acc = (acc ^ codes[i + k]) * int(langid._MULTIPLIERS[k]) & mask
+                    acc ^= acc >> 15
+                yield acc >> 16
+
+    counts = {}
+    for text, lang in learned:
+        own = counts.setdefault(lang, {})
+        for b in buckets(text):
+            own[b] = own.get(b, 0) + 1
+    out = []
+    for text in texts:
+        sums = {}
+        for lang, own in sorted(counts.items()):
+            total = sum(own.values()) + 0.5 * 65536
+            sums[lang] = sum(round(math.log((own.get(b, 0) + 0.5) / total) * (1 << 20)) for b in buckets(text)) / (1 << 20)
+        best = max(sums, key=sums.get)
+        out.append((best, 1 / sum(math.exp(s - sums[best]) for s in sums.values())) if any(c.isalpha() for c in text) else ("und", 0.0))
+    return out
+
+
+def test_language_against_brute_force(spark):
+    rng = random.Random(1)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 7)))
+    text = lambda letters: " ".join(word(letters) for _ in range(rng.randint(1, 12)))
+    learned = [(text(x), lang) for lang, x in (("aa", "abcde"), ("bb", "bcdéf"), ("cc", "cdeXyz")) for _ in range(20)]
+    texts = ["", "a", "12", "bé"] + [text("abcdefXyz") for _ in range(150)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(learned)], "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts in (1, 7, 200):
+        got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(rows.repartition(parts), model).collect()}
+        for i, (lang, score) in enumerate(brute_bayes(learned, texts)):
+            assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=1e-9), texts[i]
+
+
+def test_language_parts_of_long_texts(spark, monkeypatch):
+    """A text that is cut scores as one that is not, alone or among others."""
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abé d") for _ in range(5)) for _ in range(n)) for n in (1, 3, 60, 200)]
+    model = langid.learn(spark.createDataFrame([(i, t, "xy"[i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    whole = [langid.score_column(pa.array([t]), *model) for t in texts]
+    for piece in (1, 3, 7, 64):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        names, scores = langid.score_column(pa.array(texts), *model)
+        assert names == [w[0][0] for w in whole] and list(scores) == [w[1][0] for w in whole]
+
+
 def test_toxicity_accuracy(spark, docs, labels):
     y = {r.doc_id: r.toxic for r in labels.collect()}
     rows = [(y[r.doc_id], r.predicted) for r in toxicity.toxicity(docs, labels).collect() if r.held_out and r.doc_id in y]
@@ -103,3 +165,19 @@ def test_quality_without_labels(spark):
     rows = quality.quality(common_rows.frame(spark), spark.createDataFrame([], LABELS)).collect()
     assert all(r.kept == (r.perplexity is not None) for r in rows) and len(rows) == len(common_rows.rows())
     assert quality.quality(common_rows.empty(spark), spark.createDataFrame([], LABELS)).count() == 0
+
+
+def test_noisy_or_against_brute_force(spark):
+    """A document's score is 1 - prod(1 - p) over its sentences, each p from its own distinct features."""
+    rng = np.random.default_rng(3)
+    w, bias = rng.random(1 << toxicity.BITS).astype(np.float32), -2.0
+    parts = [["One two, three"], ["Ab cd ef", "Gh ij kl", "abcdefgh"], ["x"] * 5, ["Straße größer", "no"]]
+    docs = spark.createDataFrame([(i, ". ".join(p) + ".") for i, p in enumerate(parts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(docs, (w, bias)).collect()}
+    for i, sentences in enumerate(parts):
+        clean = 1.0
+        for one in sentences:
+            data = np.frombuffer(one.encode(), dtype=np.uint8)
+            _, features, *_ = toxicity.sentences(data, np.array([0, len(data)]))
+            clean *= 1 - 1 / (1 + math.exp(-(bias + sum(float(w[f]) for f in set(features.tolist())))))
+        assert got[i].score == pytest.approx(1 - clean, abs=1e-6) and got[i].n_sentences == len(sentences)
