@@ -73,18 +73,18 @@ def remainder(doc_id: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(n))
 
 
-def bounded_sample(df: DataFrame, by: str, key: str, bound: int, groups: int = 512) -> DataFrame:
-    """About ``bound`` rows at most for each value of ``by``, taken by hash of ``key``.
+def bounded_sample(df: DataFrame, by: str, key: str, bound: int, size: str | None = None, most: int = 0) -> DataFrame:
+    """About ``bound`` rows at most for each value of ``by``, taken by hash of ``key``, whose column ``size``
+    (if named) adds up to about ``most``.
 
-    The bound is the one documented parameter of the classifiers fitted here. Each group keeps the
-    rows whose hash is under bound / size, so no sort, window or exchange of rows is needed.
+    The bounds are the documented parameters of the classifiers fitted here. Each group keeps the
+    rows whose hash is under bound / its size, so no sort, window or exchange of rows is needed; ``by`` is a
+    column of labels, and a row a label reaches every task.
     """
-    sizes = df.groupBy(by).count().orderBy(F.desc("count"), by).limit(groups).collect()
-    rate = F.lit(0.0)
-    for row in sizes:
-        rate = F.when(F.col(by) == F.lit(row[0]), F.lit(min(1.0, bound / row[1]))).otherwise(rate)
+    rates = [F.lit(float(bound)) / F.count("*")] + ([F.lit(float(most)) / F.greatest(F.sum(size), F.lit(1))] if size else [])
+    sizes = df.groupBy(by).agg((F.least(*rates) if size else rates[0]).alias("_rate"))
     unit = F.pmod(F.xxhash64(F.lit(20), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return df.where(unit < rate)
+    return df.join(F.broadcast(sizes), by).where(unit < F.col("_rate")).drop("_rate")
 
 
 # --------------------------------------------------------------------- bytes of text columns

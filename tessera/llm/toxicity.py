@@ -6,12 +6,13 @@ words from stems). A document's is the noisy-or of its sentences, 1 - prod(1 - p
 labels: weights, none below zero, are fitted to those through the noisy-or (proximal Adam; an L1 term
 selects features that ``LEAST_DOCS`` documents or more have, then the selected ones are fitted again
 nearly without it), so the sentences that carry the label find themselves. Fitting uses a bounded sample
-of labelled rows, about ``bound`` a label, weighted to the labels' own shares; scoring reads every whole
-text.
+of labelled rows, about ``bound`` and ``SAMPLE_BYTES`` of text a label, weighted to the labels' own shares;
+what reaches the driver is bounded by those. Scoring reads every whole text.
 
 Defined results: null and empty texts (no words) have no sentence and score 0; without any labelled
 row every score is the score of the bias alone; rows are scored one by one, so repeated rows and
-ties do not matter; documents with a null id, or whose labels contradict, count by the highest label.
+ties do not matter; a document whose labels contradict counts by the highest label; rows with a null doc_id
+are scored, never learned from, and count as held out; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from tessera.llm.common import bounded_sample, byte_view, mix, remainder, slices
 BITS = 18
 PREFIXES = (4, 5, 6, 7)
 SAMPLE_PER_LABEL = 1000
+SAMPLE_BYTES = 1 << 25
 STEPS = 250
 RATE = 0.05
 L1 = 5e-4
@@ -123,7 +125,8 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_PER_LABEL) ->
     """Fit to the documents that ``labels`` (doc_id, toxic) marks; about ``bound`` rows a label."""
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") == 1).cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
-    chosen = bounded_sample(marked, "y", "doc_id", bound, 2)
+    sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).join(marked, "doc_id")
+    chosen = bounded_sample(sized, "y", "doc_id", bound, "bytes", SAMPLE_BYTES).select("doc_id", "y").distinct()
     bags = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
