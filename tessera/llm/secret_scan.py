@@ -1,27 +1,33 @@
 """Operator 1: secret scans over a trigram inverted index, with DataFrame functions only.
 
-Each rule is a regular expression. A Boolean query over trigrams is derived from it: an OR of ANDs
-that every match must satisfy. The index has one posting list for each trigram and block of
-``BLOCK`` document ids; lists are intersected and united by the query, and the candidates that come
-out are verified with the expression on the whole text. A rule whose expression has no mandatory
-trigram scans every text.
+Each rule is a regular expression. A Boolean query over trigrams, ANDs of ORs of ANDs, is derived from it
+that the text of every match satisfies. The index has one posting list for each trigram and block of
+documents; lists are intersected and united by the query, and the candidates that come out are verified with
+the expression on the whole text. A rule whose expression has no mandatory trigram scans every text: of
+``RULES`` that is ``hex`` alone.
+
+A literal run asks for every third of its trigrams, side by side, not for all of them; the index holds the
+trigrams that the queries ask for. Texts are lowered once for each document.
 
 Defined results: null and empty texts have no spans (digest of the empty string); rows that repeat a
 doc_id share its postings and are each verified; rows with a null doc_id are in no posting list and
-are verified in full; equal starts order by kind as the rules are listed; other columns are not read.
+are verified in full; a doc_id may be of any type; equal starts order by kind as the rules are listed; other
+columns are not read.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.llm.common import small_side, table
 
 BLOCK = 1024
-MOST_CLAUSES = 64
+MOST_RUNS = 64
 
 
 @dataclass(frozen=True)
@@ -43,95 +49,158 @@ BASE_RULES = (
 )
 MORE_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    Rule("private_key", r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----"),
+    Rule("github_pat", r"github_pat_[A-Za-z0-9_]+", 0, 60),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]+", 0, 26),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
+    Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39),
+    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]+", 0, 24),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    # the whole block; without an end line, the header and the unbroken base-64 lines after it
+    Rule("private_key", r"-----BEGIN (?:[A-Z]{1,20} ){0,3}PRIVATE KEY-----(?:\s*(?:[A-Za-z-]{1,30}:[^\n]*\n){0,8}[A-Za-z0-9+/=\s]*-----END (?:[A-Z]{1,20} ){0,3}PRIVATE KEY-----|[A-Za-z0-9+/=\r\n]*)"),
 )
 RULES = BASE_RULES + MORE_RULES
 
 
 # ------------------------------------------------------------------ regex -> Boolean trigram query
 
+#: A query is a trigram (str), ("and", *queries) or ("or", *queries); ALL, an AND of nothing, holds anywhere.
+ALL = ("and",)
+
+
+def _cover(run: str) -> tuple:
+    """The AND of every third trigram of a literal run; ALL for shorter runs. A longer run asks for what its
+    beginning asks for, so it drops out beside it in an OR."""
+    return ("and", *dict.fromkeys(run[i : i + 3] for i in range(0, len(run) - 2, 3)))
+
+
+def _all_of(queries: list) -> tuple:
+    parts = [*dict.fromkeys(p for q in queries for p in (q[1:] if q[0] == "and" else (q,)))]
+    return parts[0] if len(parts) == 1 and parts[0][0] == "or" else ("and", *parts)
+
 
-def _fragments(tree) -> list[tuple[str | None, ...]]:
-    """Every alternative of an expression as literal text with None where anything may stand."""
-    out: list[tuple[str | None, ...]] = [()]
+def _any_of(queries: list) -> tuple:
+    """ALL if one of the alternatives asks for nothing; alternatives that ask for more than another go."""
+    asked = [frozenset(q[1:]) if q[0] == "and" else frozenset([q]) for q in queries]
+    kept = [q for i, q in enumerate(queries) if not any(o < asked[i] or (o == asked[i] and j < i) for j, o in enumerate(asked))]
+    return ALL if ALL in kept else kept[0] if len(kept) == 1 else ("or", *kept)
+
+
+def _strings(op: str, arg) -> list[str] | None:
+    """All strings that a node can match, if few."""
+    if op == "LITERAL":
+        return [chr(arg)]
+    if op == "IN" and len(arg) <= 8 and all(str(o) == "LITERAL" for o, _ in arg):
+        return [chr(c) for _, c in arg]
+    if op == "SUBPATTERN":
+        return _sequence_strings(arg[-1])
+    if op == "BRANCH":
+        options = [_sequence_strings(branch) for branch in arg[1]]
+        return None if None in options else [x for o in options for x in o]
+    if op in ("MAX_REPEAT", "MIN_REPEAT") and arg[1] <= 3:
+        one = _sequence_strings(arg[2])
+        out, last = [], [""]
+        for n in range(arg[1] + 1 if one is not None else 0):
+            out += last if n >= arg[0] else []
+            last = [a + b for a in last for b in one][: MOST_RUNS + 1]
+        return out or None
+    return None
+
+
+def _sequence_strings(tree) -> list[str] | None:
+    out = [""]
     for op, arg in tree:
-        name = str(op)
-        if name == "LITERAL":
-            options = [(chr(arg),)]
+        one = _strings(str(op), arg)
+        if one is None or len(out) * len(one) > MOST_RUNS:
+            return None
+        out = [a + b for a in out for b in one]
+    return out
+
+
+def _query(tree) -> tuple:
+    """The query of a sequence: runs of nodes with few strings give an OR of their trigrams; other nodes give
+    what they ask for themselves and end the run."""
+    asked, runs = [], [""]
+
+    def end_run() -> None:
+        nonlocal runs
+        asked.append(_any_of([_cover(r.lower()) for r in runs]))
+        runs = [""]
+
+    for op, arg in tree:
+        name, strings = str(op), _strings(str(op), arg)
+        if strings is not None and len(runs) * len(strings) <= MOST_RUNS:
+            runs = [a + b for a in runs for b in strings]
+            continue
+        end_run()
+        if strings is not None and len(strings) <= MOST_RUNS:
+            runs = strings
         elif name == "SUBPATTERN":
-            options = _fragments(arg[-1])
+            asked.append(_query(arg[-1]))
         elif name == "BRANCH":
-            options = [x for branch in arg[1] for x in _fragments(branch)]
-        elif name == "IN" and len(arg) <= 8 and all(str(o) == "LITERAL" for o, _ in arg):
-            options = [(chr(c),) for _, c in arg]
-        elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[:2] == (0, 1):
-            options = [(), *_fragments(arg[2])]
+            asked.append(_any_of([_query(branch) for branch in arg[1]]))
         elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] >= 1:
-            options = [(*x, None) for x in _fragments(arg[2])]
-        else:  # a class, a star, an assertion: no literal text is certain here
-            options = [(None,)]
-        out = [a + b for a, b in itertools.product(out, options)]
-        if len(out) > MOST_CLAUSES:
-            out = [(None,)]
-    return out
+            asked.append(_query(arg[2]))
+    end_run()
+    return _all_of(asked)
 
 
-def trigram_query(pattern: str) -> list[frozenset[str]] | None:
-    """Clauses (sets of lower-case trigrams) of which each match satisfies one; None: scan fully."""
-    clauses = set()
-    for pieces in _fragments(re._parser.parse(pattern)):
-        text = "".join("\n" if p is None else p.lower() for p in pieces)
-        grams = frozenset(run[i : i + 3] for run in text.split("\n") for i in range(len(run) - 2))
-        if not grams:
-            return None
-        clauses.add(grams)
-    return sorted((c for c in clauses if not any(d < c for d in clauses)), key=sorted)
+def trigram_query(pattern: str) -> tuple | None:
+    """The query over lower-case trigrams that each match satisfies; None: scan fully."""
+    query = _query(re._parser.parse(pattern))
+    return None if query == ALL else query
+
+
+def trigrams(query: tuple | str) -> set[str]:
+    return {query} if isinstance(query, str) else {g for q in query[1:] for g in trigrams(q)}
 
 
 # ------------------------------------------------------------------ index
 
 
+def _block_of(docs: DataFrame, key: str) -> Column:
+    """Blocks of ``BLOCK`` consecutive ids; ids that are not whole numbers are dealt by hash."""
+    if isinstance(docs.schema[key].dataType, T.IntegralType):
+        return F.floor(F.col(key) / BLOCK).cast("bigint")
+    return F.shiftright(F.xxhash64(key), 40)
+
+
 def build_index(docs: DataFrame, grams: list[str] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Posting lists (gram, block, ids): the sorted ids of a block's documents that hold the trigram.
 
-    ``grams`` limits the index to the trigrams that queries ask for; None indexes every trigram.
+    ``grams`` limits the index to the trigrams that queries ask for; None indexes every trigram. The lowered
+    text is the variable of a lambda, so it is computed once for a document, not once for a trigram.
     """
-    low = F.lower(F.col(text))
     if grams is None:
-        places = F.when(F.length(low) >= 3, F.sequence(F.lit(1), F.length(low) - 2)).otherwise(F.array().cast("array<int>"))
-        held = F.array_distinct(F.transform(places, lambda i: low.substr(i, F.lit(3))))
+        held = lambda low: F.array_distinct(F.transform(F.when(F.length(low) >= 3, F.sequence(F.lit(1), F.length(low) - 2)).otherwise(F.array().cast("array<int>")), lambda i: low.substr(i, F.lit(3))))
     else:
-        held = F.filter(F.array(*[F.lit(g) for g in grams]), lambda g: F.contains(low, g))
+        held = lambda low: F.filter(F.array(*[F.lit(g) for g in grams]), lambda g: F.contains(low, g))
     return (
         docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-        .select(F.col(key).alias("id"), F.floor(F.col(key) / BLOCK).alias("block"), F.explode(held).alias("gram"))
+        .select(F.col(key).alias("id"), _block_of(docs, key).alias("block"), F.explode(F.flatten(F.transform(F.array(F.lower(F.col(text))), held))).alias("gram"))
         .groupBy("gram", "block")
         .agg(F.array_sort(F.collect_set("id")).alias("ids"))
     )
 
 
-def _posting(gram: str) -> Column:
-    return F.coalesce(F.col("lists")[gram], F.array().cast("array<bigint>"))
-
-
-def query_index(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
+def query_index(index: DataFrame, queries: dict[str, tuple]) -> DataFrame:
     """(id, rules): the documents that satisfy each rule's query, by work on the posting lists alone."""
+    ids = index.schema["ids"].dataType
     blocks = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "ids"))).alias("lists"))
-    found = None
-    for kind, clauses in queries.items():
-        united = None
-        for clause in clauses:
-            lists = [_posting(g) for g in sorted(clause)]
-            both = lists[0]
-            for other in lists[1:]:
-                both = F.array_intersect(both, other)
-            united = both if united is None else F.array_union(united, both)
-        one = F.struct(F.lit(kind).alias("kind"), united.alias("ids"))
-        found = [one] if found is None else [*found, one]
-    if found is None:
-        return index.select(F.col("block").alias("id"), F.array(F.lit("")).alias("rules")).where("false")
+
+    def found(query: tuple | str) -> Column:
+        if isinstance(query, str):
+            return F.coalesce(F.col("lists")[query], F.array().cast(ids))
+        lists = [found(q) for q in query[1:]]
+        out = lists[0]
+        for other in lists[1:]:
+            out = F.array_intersect(out, other) if query[0] == "and" else F.array_union(out, other)
+        return out
+
+    hits = [F.struct(F.lit(kind).alias("kind"), found(query).alias("ids")) for kind, query in queries.items()]
+    if not hits:
+        return index.select(F.explode("ids").alias("id"), F.array(F.lit("")).alias("rules")).where("false")
     return (
-        blocks.select(F.explode(F.array(*found)).alias("hit"))
+        blocks.select(F.explode(F.array(*hits)).alias("hit"))
         .select("hit.kind", F.explode("hit.ids").alias("id"))
         .groupBy("id")
         .agg(F.collect_set("kind").alias("rules"))
@@ -180,10 +249,10 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "
     """doc_id, text and the spans of each rule in a column of its kind, for every row of ``docs``; with
     ``rest`` also a struct ``rest`` of the whole row."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
-    grams = sorted({g for q in queries.values() for c in q for g in c})
+    grams = sorted({g for q in queries.values() for g in trigrams(q)})
     docs = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([F.struct(*docs.columns).alias("rest")] if rest else []))
-    hits = query_index(build_index(docs, grams), queries).withColumnRenamed("id", "hit_id")
-    rows = docs.join(hits, F.col("doc_id") == F.col("hit_id"), "left")
+    hits = table(query_index(build_index(docs, grams), queries).withColumnRenamed("id", "hit_id"), "candidates")
+    rows = docs.join(small_side(hits), F.col("doc_id") == F.col("hit_id"), "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
     found = []
     for r in rules:

@@ -3,6 +3,7 @@ import re
 
 import common_rows
 import pytest
+from hypothesis import given, settings, strategies
 
 from tessera.llm import secret_scan as s
 
@@ -30,22 +31,71 @@ def test_against_brute_force(spark):
     assert s.secret_report(common_rows.empty(spark)).count() == 0
 
 
+def holds(query, grams):
+    if isinstance(query, str):
+        return query in grams
+    parts = [holds(q, grams) for q in query[1:]]
+    return all(parts) if query[0] == "and" else any(parts)
+
+
 def test_trigram_queries():
     assert s.trigram_query(r"[0-9a-f]+") is None
-    assert s.trigram_query(r"AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
-    assert s.trigram_query(r"(token|ab)x") is not None
+    assert s.trigram_query(r"AKIA[A-Z0-9]+") == ("and", "aki")
+    assert s.trigram_query(r"(token|ab)x") == ("or", ("and", "tok", "enx"), ("and", "abx"))
     assert s.trigram_query(r"(token|a)?z") is None
+    assert s.trigram_query(r"[a-z]+(abc|abd)[0-9]*(end)+") == ("and", ("or", ("and", "abc"), ("and", "abd")), "end")
+    assert [r.kind for r in s.RULES if s.trigram_query(r.pattern) is None] == ["hex"]
+
+
+@pytest.mark.parametrize("rule", [r for r in s.RULES if r.kind != "hex"], ids=lambda r: r.kind)
+def test_every_match_satisfies_its_query(rule):
+    query, made = s.trigram_query(rule.pattern), 0
+    shape = re.compile(("(?i)" if rule.any_case else "") + rule.pattern)
+
+    @settings(max_examples=60, deadline=None, derandomize=True)
+    @given(strategies.from_regex(shape, fullmatch=True))
+    def check(text):
+        nonlocal made
+        low = text.lower()
+        if text.isascii():
+            made += 1
+            assert holds(query, {low[i : i + 3] for i in range(len(low))})
+
+    check()
+    assert made
+
+
+KEY = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB\n\nMIIEow/+ab==\nSECRETBODY12\n-----END RSA PRIVATE KEY-----"
+ADDED = {
+    "github": "ghp_" + "a" * 36,
+    "github_pat": "github_pat_" + "B" * 60,
+    "gitlab": "glpat-" + "x_-1" * 5,
+    "slack": "xoxb-1234567890-abcdef",
+    "google": "AIza" + "S" * 35,
+    "stripe": "sk_live_" + "q" * 20,
+    "jwt": "eyJhbGciOiJI.eyJzdWIiOiIx.s-_1",
+    "private_key": KEY,
+}
 
 
 def test_added_kinds_and_redaction(spark):
-    docs = common_rows.frame(spark, [(300, "key ghp_" + "a" * 36 + " end", "en", "s", 1, None), (301, "token=abcdefghijklmnop0123456789abcdef!", "en", "s", 1, None)])
+    extra = [(300 + i, f"key {x} end", "en", "s", 1, None) for i, x in enumerate(ADDED.values())]
+    cut = "-----BEGIN PRIVATE KEY-----\nMIIEow\nabcd1234\nthen words"
+    docs = common_rows.frame(spark, [*extra, (400, "token=abcdefghijklmnop0123456789abcdef!", "en", "s", 1, None), (401, cut, "en", "s", 1, None), (402, KEY[:31] * 3000, "en", "s", 1, None)])
     found = {r.doc_id: r.spans for r in s.secret_report(docs).collect()}
-    assert found[300].startswith("github:4:44")
     clean = {r.doc_id: r for r in s.redact(docs).collect()}
-    assert clean[300].text == "key [SECRET] end" and clean[301].text == "[SECRET]!"
+    for i, (kind, x) in enumerate(ADDED.items()):
+        assert f"{kind}:4:{4 + len(x)}" in found[300 + i].split(",") and clean[300 + i].text == "key [SECRET] end"
+    assert clean[400].text == "[SECRET]!" and clean[401].text == "[SECRET] words" and clean[402].text == "[SECRET]" * 3000
     assert clean[103].text is None and clean[104].text == "" and s.redact(docs).columns == docs.columns
 
 
+def test_other_ids(spark):
+    texts = {"a": ADDED["github"], "b": "none", None: ADDED["slack"], "c": None}
+    rows = {r.doc_id: r.spans for r in s.secret_report(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()}
+    assert rows["a"].startswith("github:0:40") and rows["b"] == rows["c"] == "" and rows[None].startswith("slack:0:22")
+
+
 @pytest.mark.parametrize("block", [1, 7])
 def test_index_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(s, "BLOCK", block)
