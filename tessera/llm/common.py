@@ -210,6 +210,22 @@ def small_side(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
+HEAVY = 1024
+
+
+def keyed_join(rows: DataFrame, sides: DataFrame, key: str, size: str = "size") -> DataFrame:
+    """``rows`` joined with ``sides``, one row for each value of ``key``, whose column ``size`` says how many of
+    ``rows`` have it (or how many at least). Both are written tables.
+
+    Values with over 1 / ``HEAVY`` of all rows, fewer than ``HEAVY`` of them, are broadcast, so their rows stay
+    where they are; the others are shuffled, and none of those fills a task.
+    """
+    total = sides.agg(F.sum(size)).first()[0] or 0  # one number
+    heavy = sides.where(F.col(size) * HEAVY > total)
+    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(sides.where(F.col(size) * HEAVY <= total), key)
+    return rows.join(F.broadcast(heavy), key).unionByName(light).drop(size)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and root (the least node) of every connected component; roots themselves have no row.
 

@@ -12,7 +12,8 @@ long lists by binary search, and those that reach the overlap the threshold asks
    over many tasks when large); components are formed.
 3. Blocks that still hold more than one component are searched in full, those with the same least member
    as one, large ones in pairs of bounded parts. Pairs inside one component are skipped: they change
-   nothing. No link between components is lost, and no list of all pairs is made.
+   nothing. Every linked pair shares a block (``Segments``), so no link between components is lost, and no
+   list of all pairs is made.
 
 Defined results: words are maximal runs without blanks (space, tab to carriage return), A-Z lower-cased;
 texts with fewer words than a shingle have one shingle, texts without words (or null) an empty set, which
@@ -28,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import byte_view, components, mix, shingle_hashes, slices, small_side, table, word_hashes, word_spans
+from tessera.llm.common import byte_view, components, keyed_join, mix, shingle_hashes, slices, small_side, table, word_hashes, word_spans
 
 NGRAM = 3
 THRESHOLD = (90, 100)
@@ -310,46 +311,54 @@ def _roots(members: DataFrame, comps: DataFrame) -> DataFrame:
 
 def link_classes(signs: DataFrame, n: int, t: tuple[int, int], block: int = BLOCK) -> DataFrame:
     """Links (a, b) between the representatives of classes; as many as join every component."""
-    classes = signs.where("n_shingles > 0").groupBy("key").agg(F.min("nid").alias("rep"))
-    copies = table(signs.where("n_shingles > 0").select("nid", "key").join(classes, "key").where("nid != rep").select("nid"), "copies")
+    classes = table(signs.where("n_shingles > 0").groupBy("key").agg(F.min("nid").alias("rep"), F.count("*").alias("size")).where("size > 1"), "classes")
+    copies = table(keyed_join(signs.where("n_shingles > 0").select("nid", "key"), classes, "key").where("nid != rep").select("nid"), "copies")
     reps = signs.where("n_shingles > 0").join(small_side(copies), "nid", "left_anti")
     members = _blocks(signatures(reps, n, t)).select("sig", "nid")
     enough = members.groupBy("nid").count().join(signs.select("nid", "needs"), "nid").where("count >= needs").select("nid")
     members = members.join(small_side(table(enough, "enough")), "nid", "left_semi")
-    pivots = members.groupBy("sig").agg(F.min("nid").alias("pivot"), F.max("nid").alias("top")).where("pivot < top").select("sig", "pivot")
-    members = table(members.join(pivots, "sig").distinct(), "members")
+    members = table(members, "signed")
+    pivots = table(members.groupBy("sig").agg(F.min("nid").alias("pivot"), F.max("nid").alias("top"), F.count("*").alias("size")).where("pivot < top").drop("top"), "pivots")
+    members = table(keyed_join(members, pivots, "sig").distinct(), "members")
 
     # one pivot per set: that of most of its blocks
     shared = members.where("nid != pivot").groupBy("nid", "pivot").count()
     star = shared.groupBy("nid").agg(F.max(F.struct("count", F.negative("pivot").alias("p"))).alias("m")).select("nid", F.negative("m.p").alias("pivot"))
     star = table(star, "stars")
-    parts = star.groupBy("pivot").agg(F.ceil(F.count("*") / block).alias("parts"))
+    parts = table(star.groupBy("pivot").agg(F.ceil(F.count("*") / block).alias("parts"), F.count("*").alias("size")), "parts")
     spread = F.pmod(F.xxhash64("nid"), F.col("parts"))
-    spokes = star.join(parts, "pivot").select(F.xxhash64("pivot", spread).alias("block"), "nid", F.col("nid").alias("root"), F.lit(1).alias("side"), F.lit(True).alias("star"))
+    spokes = keyed_join(star, parts, "pivot").select(F.xxhash64("pivot", spread).alias("block"), "nid", F.col("nid").alias("root"), F.lit(1).alias("side"), F.lit(True).alias("star"))
     hubs = parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.xxhash64("pivot", "part").alias("block"), F.col("pivot").alias("nid"), F.col("pivot").alias("root"), F.lit(0).alias("side"), F.lit(True).alias("star"))
     first = table(_search(_with_texts(table(spokes.unionByName(hubs), "spokes"), signs), n, t), "links")
     comps = components(first)
 
     # blocks that still hold several components; those with the same least member are searched as one
     rooted = table(_roots(members.select("sig", "nid"), comps), "rooted")
-    mixed = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("nid").alias("pivot")).where("lo != hi").select("sig", "pivot")
-    rest = table(rooted.join(mixed, "sig").select("pivot", "nid", "root").distinct(), "rest")
-    sizes = rest.groupBy("pivot").agg(F.ceil(F.count("*") / block).alias("parts"))
-    dealt = rest.join(sizes, "pivot").withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    mixed = table(rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("nid").alias("pivot"), F.count("*").alias("size")).where("lo != hi").drop("lo", "hi"), "mixed")
+    rest = table(keyed_join(rooted, mixed, "sig").select("pivot", "nid", "root").distinct(), "rest")
+    sizes = table(rest.groupBy("pivot").agg(F.ceil(F.count("*") / block).alias("parts"), F.count("*").alias("size")), "sizes")
+    dealt = keyed_join(rest, sizes, "pivot").withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     lists = dealt.select(F.xxhash64("pivot", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "nid", "root", (F.col("part") > F.col("other")).cast("int").alias("side"), F.lit(False).alias("star"))
     second = _search(_with_texts(table(lists, "mixed"), signs), n, t)
     return table(first.unionByName(second), "links")
 
 
+def _classes(rows: DataFrame, comps: DataFrame, first: Column) -> DataFrame:
+    """Written table key, first (the least of the component), size of every class of equal sets."""
+    classes = table(rows.groupBy("key").agg(F.min("nid").alias("rep"), F.min(first).alias("low"), F.count("*").alias("size")), "classes")
+    rooted = table(classes.join(comps, classes["rep"] == comps["node"], "left").select("key", F.coalesce("root", "rep").alias("root"), "low", "size"), "rooted")
+    least = table(rooted.groupBy("root").agg(F.min("low").alias("first"), F.count("*").alias("classes")), "least")
+    return table(keyed_join(rooted.select("key", "root", "size"), least, "root", "classes").select("key", "first", "size"), "named")
+
+
 def jaccard_components(docs: DataFrame, n: int = NGRAM, t: tuple[int, int] = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and n_row (a number of the row) of every document."""
     signs = signed(docs, n, t)
     comps = components(link_classes(signs, n, t, block))
     rows = signs.select("nid", "doc_id", "n_shingles", "key")
-    classes = rows.where("n_shingles > 0").groupBy("key").agg(F.min("nid").alias("rep"), F.min("doc_id").alias("low"))
-    rooted = classes.join(comps, classes["rep"] == comps["node"], "left").select("key", F.coalesce("root", "rep").alias("root"), "low")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("key", "component_id")
-    return rows.join(named, "key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("nid").alias("n_row"))
+    named = _classes(rows.where("n_shingles > 0"), comps, F.col("doc_id"))
+    full = keyed_join(rows.where("n_shingles > 0"), named, "key").select("doc_id", "n_shingles", F.col("first").alias("component_id"), F.col("nid").alias("n_row"))
+    return full.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("nid").alias("n_row")))
 
 
 def keep_one(docs: DataFrame, n: int = 5, t: tuple[int, int] = (80, 100), block: int = BLOCK) -> DataFrame:
@@ -357,11 +366,9 @@ def keep_one(docs: DataFrame, n: int = 5, t: tuple[int, int] = (80, 100), block:
     with the least doc_id stays (of rows with equal ids one of them); empty sets all stay."""
     signs = signed(docs, n, t, rest=True)
     comps = components(link_classes(signs, n, t, block))
-    rows = signs.where("n_shingles > 0").select("nid", "key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "nid").alias("first"))
-    classes = rows.groupBy("key").agg(F.min("nid").alias("rep"), F.min("first").alias("first"))
-    rooted = classes.join(comps, classes["rep"] == comps["node"], "left").select("key", F.coalesce("root", "rep").alias("root"), "first")
-    stays = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("best")), "root").select("key", F.col("best.nid").alias("stay"))
-    dropped = table(rows.select("nid", "key").join(stays, "key").where("nid != stay").select("nid"), "dropped")
+    rows = signs.where("n_shingles > 0").select("nid", "key", "doc_id")
+    named = _classes(rows, comps, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "nid"))
+    dropped = table(keyed_join(rows.select("nid", "key"), named, "key").where("nid != first.nid").select("nid"), "dropped")
     kept = signs.join(small_side(dropped), "nid", "left_anti")
     return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns])
 

@@ -86,3 +86,45 @@ def test_a_sparse_pair_alone_is_found(spark):
     pair = pairs[489]  # 2 signatures in common
     docs = spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")
     assert [r.doc_id for r in j.keep_one(docs).collect()] == [0]
+
+
+@pytest.mark.parametrize("t", [(90, 100), (80, 100)])
+def test_random_linked_pairs_share_what_they_need(t):
+    """Linked pairs of 4 to 60 shingles, as far apart as the threshold allows: recall is 1."""
+    rng, plan, seen = np.random.default_rng(7), j.Segments(t), 0
+    for _ in range(20_000):
+        size = int(rng.integers(4, 61))
+        both = rng.integers(0, 2**64, size, dtype=np.uint64)
+        spare = size * t[1] // t[0] - size  # shingles that one or the other may have beyond the shared ones
+        one = int(rng.integers(0, spare + 1))
+        more = rng.integers(0, 2**64, spare, dtype=np.uint64)
+        a, b = np.unique(np.append(both, more[:one])), np.unique(np.append(both, more[one:]))
+        assert t[1] * len(np.intersect1d(a, b)) >= t[0] * len(np.union1d(a, b))
+        seen += len(a) != len(b)
+        assert len(np.intersect1d(plan.sign(a), plan.sign(b))) >= max(plan.needs(a), plan.needs(b)) >= 1
+    assert seen > 1000
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_many_pairs_in_one_table(spark, n, percent):
+    """Groups of three texts of 4 to 60 shingles with some words apart, some over and some under the threshold."""
+    rng, texts = np.random.default_rng(percent), []
+    for g in range(400):
+        w = [f"g{g}w{i}" for i in range(int(rng.integers(n + 3, n + 60)))]
+        for _ in range(3):
+            v = list(w)
+            if rng.random() < 0.5:
+                v[int(rng.integers(len(v)))] = "new"
+            texts.append(" ".join(v[int(rng.integers(0, 3)) :] + ["tail"] * int(rng.integers(0, 2))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((tuple(r)[:3] for r in j.jaccard_components(docs, n, (percent, 100)).collect()), key=repr)
+    rows = docs.collect()
+    want = [x for g in range(400) for x in brute(rows[3 * g : 3 * g + 3], n, percent)]
+    assert got == sorted(want, key=repr)
+
+
+def test_one_hot_set(spark):
+    """A third of all rows hold one text; their key is broadcast and no row is lost."""
+    rows = [(i, "one and the same text") for i in range(3000)] + [(10_000 + i, f"text {i} of its own kind") for i in range(6000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in j.jaccard_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert got == {i: (3, 0) if i < 10_000 else (4, i) for i, _ in rows}
