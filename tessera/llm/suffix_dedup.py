@@ -8,7 +8,8 @@ passes over all that was inserted before. So the collection is cut first, withou
 1. Each string of ``MATCH`` bytes has an anchor, its least hashed ``GRAM``-byte gram (the leftmost one of
    equals). Equal strings have the same anchor at the same place, so only strings that share an anchor
    need to meet. The starts of a text fall into runs with one anchor; a run and its bytes are a piece.
-2. Pieces with the same bytes are counted once; anchors that occur once are dropped.
+2. Pieces with the same bytes (same anchor, an independent 64-bit digest of all bytes) are counted once, those
+   side by side in one text already where they are cut; anchors that occur once are dropped.
 3. The pieces of an anchor, aligned at it, are one collection. From the last column to the first, each
    round inserts one symbol per piece (``ColumnSort``): a stable sort by it gives the new order, running
    minima give the common prefixes, and a start repeats if it shares ``MATCH`` bytes with a neighbour.
@@ -40,7 +41,7 @@ _CHUNK = 1 << 19
 _POSITION_BITS = 21
 _SLICE = 20_000
 
-_PIECE = "a int, n int, off int, anchor bigint, d bigint"
+_PIECE = "a int, n int, off int, anchor bigint, d bigint, reps int"
 
 
 def _span_hash(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -62,13 +63,13 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def cut_pieces(data: np.ndarray, bounds: np.ndarray, match: int = MATCH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Row, first start, number of starts, anchor's distance, anchor and digest of each piece.
+    """Row, first start, number of starts, anchor's distance, anchor, digest and repeats of each piece.
 
     ``data`` holds the bytes of some texts one after the other, ``bounds`` where each begins and the end.
     """
     none = np.zeros(0, dtype=np.int64)
     if len(data) < match:
-        return (none,) * 6
+        return (none,) * 7
     h = prefix_hash(data)
     at = np.arange(len(data) - gram + 1)
     grams = mix(_span_hash(h, at, at + gram))
@@ -85,8 +86,15 @@ def cut_pieces(data: np.ndarray, bounds: np.ndarray, match: int = MATCH, gram: i
     end[-1] = whole[-1]
     first, last = np.flatnonzero(new), np.flatnonzero(end)
     n, off = last - first + 1, anchor_at[first] - first
-    digest = mix(_span_hash(h, first, last + match) + (n * 1024 + off).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return row[first], first - bounds[row[first]], n, off, grams[anchor_at[first]].view(np.int64), digest.view(np.int64)
+    body = memoryview(np.ascontiguousarray(data))
+    digest = np.frombuffer(b"".join(hashlib.md5(body[s:e]).digest()[:8] for s, e in zip(first.tolist(), (last + match).tolist(), strict=True)), dtype=np.int64)
+    digest = digest ^ (n * 1024 + off)
+    cols = row[first], first - bounds[row[first]], n, off, grams[anchor_at[first]].view(np.int64), digest
+    # equal pieces side by side in one text (a repeated byte, a repeated line) are one row that counts them
+    new = np.ones(len(first), dtype=bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in (cols[0], *cols[2:])], axis=0) | (first[1:] != first[:-1] + n[:-1])
+    at = np.flatnonzero(new)
+    return *(c[at] for c in cols), np.diff(np.append(at, len(first)))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -96,8 +104,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def pieces(texts: DataFrame, match: int = MATCH) -> DataFrame:
-    """key and p, the array of pieces (a, n, off, anchor, d) of each text that has one."""
-    kind = pa.struct([("a", pa.int32()), ("n", pa.int32()), ("off", pa.int32()), ("anchor", pa.int64()), ("d", pa.int64())])
+    """key and p, the array of pieces (a, n, off, anchor, d, reps) of each text that has one."""
+    kind = pa.struct([("a", pa.int32()), ("n", pa.int32()), ("off", pa.int32()), ("anchor", pa.int64()), ("d", pa.int64()), ("reps", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -112,7 +120,7 @@ def pieces(texts: DataFrame, match: int = MATCH) -> DataFrame:
                         got.append((row, a + s, *rest))
                 else:
                     got.append(cut_pieces(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], match))
-                cols = [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, dtype=np.int64)] * 6
+                cols = [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, dtype=np.int64)] * 7
                 counts = np.bincount(cols[0], minlength=hi - lo)
                 some = np.flatnonzero(counts)
                 values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols[1:], kind, strict=True)], fields=list(kind))
@@ -260,7 +268,7 @@ def find_repeats(docs: DataFrame, match: int = MATCH, hot: int = HOT) -> tuple[D
     """The texts (key, doc_id, t) and, by key, the runs of starts whose string starts elsewhere too."""
     texts = _texts(docs)
     every = table(pieces(texts, match), "pieces").select("key", F.explode("p").alias("p")).select("key", "p.*")
-    kinds = every.groupBy("anchor", "d").agg(F.count("*").alias("copies"), F.min(F.struct("key", "a", "n", "off")).alias("at"))
+    kinds = every.groupBy("anchor", "d").agg(F.sum("reps").alias("copies"), F.min(F.struct("key", "a", "n", "off")).alias("at"))
     kinds = table(kinds, "kinds")
     anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).where("total > 1").select("anchor", "kinds")
     kinds = kinds.join(anchors, "anchor").select("anchor", "d", "copies", "kinds", "at.*")
@@ -275,7 +283,7 @@ def find_repeats(docs: DataFrame, match: int = MATCH, hot: int = HOT) -> tuple[D
         found = _sorted_pieces(bodies, match)
     once = wanted.where("copies = 1").select("anchor", "d")
     runs = table(found.where(F.size("runs") > 0), "runs").join(once, ["anchor", "d"], "left_semi").unionByName(whole)
-    placed = every.join(runs, ["anchor", "d"]).select("key", F.struct("a", "runs").alias("r"))
+    placed = every.join(runs, ["anchor", "d"]).select("key", F.struct("a", F.when(F.col("reps") > 1, F.array(F.lit(0), F.col("n") * F.col("reps"))).otherwise(F.col("runs")).alias("runs")).alias("r"))
     return texts, placed.groupBy("key").agg(F.collect_set("r").alias("found"))
 
 
@@ -312,8 +320,9 @@ def _kept(data: np.ndarray, spans: list[tuple[int, int]]) -> bytes:
 
 
 def dedup_report(docs: DataFrame, match: int = MATCH, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the digest of the remaining bytes."""
-    return _each(docs, match, hot, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", lambda data, spans: (len(data), sum(e - s for s, e in spans), len(spans), hashlib.sha256(_kept(data, spans)).hexdigest()))
+    """doc_id, n_bytes, n_removed, n_spans, the digest of the remaining bytes and whether any were removed."""
+    schema = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, repeated boolean"
+    return _each(docs, match, hot, schema, lambda data, spans: (len(data), sum(e - s for s, e in spans), len(spans), hashlib.sha256(_kept(data, spans)).hexdigest(), bool(spans)))
 
 
 def remove_repeats(docs: DataFrame, match: int = MATCH, hot: int = HOT) -> DataFrame:

@@ -25,10 +25,30 @@ def brute(rows, match):
 @pytest.mark.parametrize("hot", [d.HOT, 1])
 def test_against_brute_force(spark, hot):
     docs = common_rows.frame(spark, [(400, "ab" * 600, "en", "s", 1, None), (401, "q" * 20 + "ab" * 250, "en", "s", 1, None)])
-    got = sorted((tuple(r) for r in d.dedup_report(docs, hot=hot).collect()), key=repr)
+    rows = d.dedup_report(docs, hot=hot).collect()
+    got = sorted((tuple(r)[:5] for r in rows), key=repr)
+    assert all(r.repeated == (r.n_removed > 0) for r in rows)
     assert got == brute([(r.doc_id, (r.text or "").encode()) for r in docs.collect()], d.MATCH)
 
 
+def test_long_texts(spark):
+    """Texts past the size at which they are cut: prose with a passage far apart, and repeated bytes and lines."""
+    rng = random.Random(4)
+    prose = common_rows.words(rng, 110_000)
+    passage = common_rows.words(rng, 150)
+    texts = [prose + passage + prose[:1000].upper() + passage, passage + "x", "a" * 700_000, "b" + "a" * 401, "line of a list\n" * 50_000, None]
+    assert len(texts[0].encode()) > d._CHUNK
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((tuple(r)[:5] for r in d.dedup_report(docs).collect()), key=repr)
+    assert got == brute([(i, (t or "").encode()) for i, t in enumerate(texts)], d.MATCH)
+
+
+def test_repeats_side_by_side_are_one_row():
+    for text in (b"a" * 300_000, b"line of a list\n" * 20_000):
+        row, a, n, off, anchor, digest, reps = d.cut_pieces(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert len(row) <= 3 and int((n * reps).sum()) == len(text) - d.MATCH + 1
+
+
 def test_empty_table_and_text_output(spark):
     assert d.dedup_report(common_rows.empty(spark)).count() == 0
     base = common_rows.words(random.Random(1), 120)
@@ -50,7 +70,10 @@ def test_column_sort_finds_repeats():
             texts.append(t.encode())
         counts = Counter(t[i : i + match] for t in texts for i in range(len(t) - match + 1))
         bounds = np.cumsum([0] + [len(t) for t in texts])
-        row, a, n, off, anchor, _ = d.cut_pieces(np.frombuffer(b"".join(texts), np.uint8), bounds, match, gram)
+        row, a, n, off, anchor, _, reps = d.cut_pieces(np.frombuffer(b"".join(texts), np.uint8), bounds, match, gram)
+        step = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
+        row, a, n, off, anchor = (np.repeat(c, reps) for c in (row, a, n, off, anchor))
+        a = a + step * n
         assert int(n.sum()) == sum(max(0, len(t) - match + 1) for t in texts)
         o = np.argsort(anchor, kind="stable")
         row, a, n, off, anchor = row[o], a[o], n[o], off[o], anchor[o]
