@@ -213,7 +213,7 @@ def small_side(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
 HEAVY = 1024
 
 
-def keyed_join(rows: DataFrame, sides: DataFrame, key: str, size: str = "size") -> DataFrame:
+def keyed_join(rows: DataFrame, sides: DataFrame, key: str, size: str = "size", how: str = "inner") -> DataFrame:
     """``rows`` joined with ``sides``, one row for each value of ``key``, whose column ``size`` says how many of
     ``rows`` have it (or how many at least). Both are written tables.
 
@@ -222,7 +222,7 @@ def keyed_join(rows: DataFrame, sides: DataFrame, key: str, size: str = "size")
     """
     total = sides.agg(F.sum(size)).first()[0] or 0  # one number
     heavy = sides.where(F.col(size) * HEAVY > total)
-    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(sides.where(F.col(size) * HEAVY <= total), key)
+    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(sides.where(F.col(size) * HEAVY <= total), key, how)
     return rows.join(F.broadcast(heavy), key).unionByName(light).drop(size)
 
 

@@ -10,8 +10,10 @@ Among records with equal payloads of ``LEAST`` bytes or more the one with the sm
 
 Defined results: null html is an empty payload; rows that repeat the smallest page_id are all
 responses; rows with a null page_id are responses and never referred to; a table without rows makes
-an archive folder without archives. An archive is written under a temporary name and then moved, so a
-task that runs again replaces it as a whole.
+an archive folder without archives; other columns are not read. An archive's name holds the attempt that
+wrote it and only the listing of the attempt that Spark commits is read, so a task that runs again, or twice
+at once, never mixes its archives with another's. Dictionaries are trained on ``SAMPLE_BYTES`` of an
+archive's records, the first 64 KB of each; that changes its size, never what is read back.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import scratch
+from tessera.llm.common import keyed_join, scratch, table
 
 LEAST = 100
+MOST_COPIES = 200_000
 ARCHIVE_BYTES = 16 << 20
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 4 << 20
@@ -40,17 +43,27 @@ FRAME = 0xFD2FB528
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest, refers_to (null: a response) of each row of pages."""
+    """page_id, url, payload, digest, refers_to (null: a response) of each row of pages.
+
+    Digests that occur again are found from keys alone. While there are ``MOST_COPIES`` of them or fewer they
+    are broadcast and no payload moves; beyond that payloads are shuffled by digest, but those of the few
+    digests that many rows share stay where they are.
+    """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
     copies = (
         rows.where((F.octet_length("payload") >= LEAST) & F.col("page_id").isNotNull())
         .groupBy("digest")
-        .agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id"))
+        .agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id"), F.count("*").alias("size"))
         .where("first_id < last_id")
-        .select("digest", "first_id")
+        .select("digest", "first_id", "size")
     )
+    copies = table(copies, "copies")
+    if copies.count() <= MOST_COPIES:
+        joined = rows.join(F.broadcast(copies.drop("size")), "digest", "left")
+    else:
+        joined = keyed_join(rows, copies, "digest", how="left")
     refers = F.when(F.col("first_id") < F.col("page_id"), F.col("first_id"))
-    return rows.join(copies, "digest", "left").select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), F.octet_length("payload").cast("bigint").alias("n"), "digest", refers.alias("refers_to"))
+    return joined.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), F.octet_length("payload").cast("bigint").alias("n"), "digest", refers.alias("refers_to"))
 
 
 def _record_id(page_id) -> str:
@@ -151,11 +164,12 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _filesystem(folder)
-        part, kept, size, made = TaskContext.get().partitionId(), [], 0, []
+        task = TaskContext.get()
+        part, kept, size, made = f"{task.partitionId():06d}-{task.taskAttemptId()}", [], 0, []
         store.create_dir(root, recursive=True)
 
         def flush() -> None:
-            name = f"{root}/part-{part:06d}-{len(made):04d}.warc.zst"
+            name = f"{root}/part-{part}-{len(made):04d}.warc.zst"
             hidden = f"{root}/_{uuid.uuid4().hex}"
             with store.open_output_stream(hidden, compression=None) as out:
                 write_archive(out, kept)
