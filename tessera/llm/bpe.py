@@ -2,14 +2,15 @@
 
 The tokenizer is built from a rank file: bytes map to the printable characters of the byte-level
 alphabet, and each token's merge is the pair that lower ranks leave of it. Every match of the split
-pattern is encoded separately, without special tokens. A match is encoded by the library once per
-worker while it is in a bounded table (most matches are words that come again and again); matches of
-over ``LONG`` characters always go to the library. Decoding maps ids back through the byte table, so
-a character split over tokens is whole again once the bytes are joined.
+pattern is encoded separately, without special tokens. ``encode`` gives whole texts to the library, which
+splits them and gives ids and character offsets. ``round_trip`` needs ids only: most matches are words that
+come again and again, so each worker keeps the ids of those met so far in a bounded table, and the library
+encodes a text's other matches in one batch (half the time of giving it whole texts). Decoding maps ids back
+through the byte table, so a character split over tokens is whole again once the bytes are joined.
 
 Defined results: null text is empty text: no tokens, digests of the empty string; repeated rows are
 encoded one by one; texts of over ``PIECE`` characters are cut where the pattern always splits (after
-a letter or digit, before a blank that a letter follows) and go on from there.
+a letter or digit, before a blank that a letter follows) and go on from there; other columns are not read.
 """
 
 from __future__ import annotations
@@ -62,34 +63,21 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
     return out
 
 
-class _Table(dict):
-    """Decimal ids (each after a blank) of the matches met so far, of TABLE_ENTRIES at most."""
-
-    def __init__(self, model, char: list[str]):
-        super().__init__()
-        self.tokenize = model.tokenize
-        self.shown = {b: c for b, c in enumerate(char)}
-
-    def __missing__(self, word: str) -> bytes:
-        text = word.encode().decode("latin-1").translate(self.shown)
-        ids = "".join([f" {t.id}" for t in self.tokenize(text)]).encode()
-        if len(word) <= LONG:
-            if len(self) >= TABLE_ENTRIES:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class Codec:
     """Encoder and decoder of one worker."""
 
     def __init__(self, ranks: dict[bytes, int], merges: list[tuple[bytes, bytes]], pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import models
+        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         char = byte_alphabet()
         shown = lambda token: "".join(char[b] for b in token)
-        self.known = _Table(models.BPE(vocab={shown(t): r for t, r in ranks.items()}, merges=[(shown(a), shown(b)) for a, b in merges], cache_capacity=0), char)
+        model = models.BPE(vocab={shown(t): r for t, r in ranks.items()}, merges=[(shown(a), shown(b)) for a, b in merges], cache_capacity=0, ignore_merges=True)
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False, trim_offsets=False)
+        self.texts, self.matches = Tokenizer(model), Tokenizer(model)
+        self.texts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), to_bytes])
+        self.matches.pre_tokenizer = to_bytes
+        self.known: dict[str, bytes] = {}
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.bytes_of_decimal = {b"%d" % r: t for t, r in ranks.items()}
         self.split = regex.compile(pattern).findall
@@ -106,22 +94,47 @@ class Codec:
             lo = m.start()
         yield text[lo:] if lo else text
 
+    def _ids_of(self, matches: list[str]) -> bytes:
+        """The decimal ids, each after a blank; the library encodes those not met before, in one batch."""
+        known = self.known
+        try:
+            return b"".join(map(known.__getitem__, matches))
+        except KeyError:
+            new = list(set(matches).difference(known))
+            if len(known) + len(new) > TABLE_ENTRIES:
+                known.clear()
+                new = list(set(matches))
+            for word, found in zip(new, self.matches.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                known[word] = "".join([f" {i}" for i in found.ids]).encode()
+            out = b"".join(map(known.__getitem__, matches))
+            for word in new:
+                if len(word) > LONG:
+                    del known[word]
+            return out
+
     def encode(self, text: str) -> bytes:
         """The decimal ids of a text, joined by one blank."""
         split = self.split_ascii if text.isascii() else self.split
-        return b"".join(b"".join(map(self.known.__getitem__, split(piece))) for piece in self._pieces(text))[1:]
+        return b"".join(self._ids_of(split(piece)) for piece in self._pieces(text))[1:]
+
+    def encode_with_offsets(self, texts: list[str]) -> Iterator[tuple[list[int], list[int], list[int]]]:
+        """Ids, first characters and ends (exclusive) of each text's tokens; tokens that split a character
+        share it."""
+        pieces = [list(self._pieces(t)) for t in texts]
+        found = iter(self.texts.encode_batch([p for x in pieces for p in x], add_special_tokens=False))
+        for own in pieces:
+            ids, starts, ends, at = [], [], [], 0
+            for piece in own:
+                e = next(found)
+                ids += e.ids
+                starts += [at + a for a, _ in e.offsets]
+                ends += [at + z for _, z in e.offsets]
+                at += len(piece)
+            yield ids, starts, ends
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of_decimal.__getitem__, ids.split()))
 
-    def offsets(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """First character and end (exclusive) of each token; tokens that split a character share it."""
-        raw = np.frombuffer(text.encode(), dtype=np.uint8)
-        char_of = np.cumsum((raw & 0xC0) != 0x80) - 1
-        ends = np.cumsum([len(self.bytes_of[i]) for i in ids], dtype=np.int64)
-        starts = ends - [len(self.bytes_of[i]) for i in ids]
-        return char_of[starts], char_of[ends - 1] + 1
-
 
 _CODECS: dict[int, Codec] = {}
 
@@ -146,14 +159,14 @@ def encode(docs: DataFrame, shared, text: str = "text", key: str = "doc_id") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for b in batches:
-            ids, starts, ends = [], [], []
-            for value in b.column(1):
-                t = value.as_py() or ""
-                row = [int(x) for x in codec.encode(t).split()]
-                a, z = codec.offsets(t, row) if row else ([], [])
-                ids.append(row)
-                starts.append(a)
-                ends.append(z)
+            texts = [x or "" for x in b.column(1).to_pylist()]
+            rows, lo, size = [], 0, 0
+            for k in range(len(texts)):
+                size += len(texts[k])
+                if k + 1 == len(texts) or size > PIECE:
+                    rows += codec.encode_with_offsets(texts[lo : k + 1])
+                    lo, size = k + 1, 0
+            ids, starts, ends = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=[key, "input_ids", "starts", "ends"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {key_type}, input_ids array<int>, starts array<int>, ends array<int>")
