@@ -1,233 +1,32 @@
 """Operator 9: a quality classifier by the perplexity of an interpolated modified Kneser-Ney model.
 
 The model is one of word trigrams over all trusted texts (``word_model``), counted, and looked up for every
-n-gram of every document, by Spark joins; it grows with the trusted text and is never gathered.
+n-gram of every document, by Spark joins sharded by n-gram; it grows with the trusted text and is never
+gathered.
 
 Trusted texts are those that ``labels`` marks with quality 1. One fold of them in ``FOLDS`` is left out of
 the counts, and its perplexities give each language's quantile; documents up to the quantile are kept.
 
 Defined results: null texts and texts without words have no perplexity and are not kept; each
 language with a left-out trusted document takes its own quantile, one without any, and no language, that of
-all; perplexities are compared with it to four places; without any trusted text all
+all; perplexities are compared by their logarithms, rounded up to ``STEP``, so that a quantile needs few
+distinct values and a text at the threshold is kept; without any trusted text all
 probabilities are equal and every text with words is kept; rows are scored one by one; labels that
-contradict count by the lowest quality.
-
-The functions over bytes below (``count_grams`` to ``perplexity``) are a model of n-grams of up to ``ORDER``
-UTF-8 bytes packed in a long, broadcast in shards of ``SHARD_ROWS``; ``quality`` no longer uses them.
+contradict count by the lowest quality; rows with a null doc_id are scored and never trusted; other columns
+are not read.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import word_model
-from tessera.llm.common import LOWER, byte_view, mix, remainder, slices, small_side, table
+from tessera.llm.common import remainder, small_side, table
 
-ORDER = 5
-SHARD_ROWS = 4_000_000
 QUANTILE = 0.995
 FOLDS = 5
-_CHUNK = 1 << 19
-_MERGE = 1 << 21
-
-
-def packed(data: np.ndarray, bounds: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """For each byte the n-gram that ends there, zero bytes standing before a text's first one."""
-    x = LOWER[data].astype(np.uint64)
-    back = np.arange(len(x)) - np.repeat(bounds[:-1], np.diff(bounds))
-    out = x.copy()
-    for k in range(1, order):
-        before = np.zeros(len(x), dtype=np.uint64)
-        before[k:] = x[:-k]
-        before[back < k] = 0
-        out |= before << np.uint64(8 * k)
-    return out
-
-
-def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """g, c: how often each n-gram of the highest order occurs in the column ``text``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, waiting, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-
-        def merge() -> None:
-            nonlocal keys, counts, waiting, size
-            k = np.concatenate([keys, *(w[0] for w in waiting)])
-            c = np.concatenate([counts, *(w[1] for w in waiting)])
-            keys, inverse = np.unique(k, return_inverse=True)
-            counts, waiting, size = np.bincount(inverse, c, len(keys)).astype(np.int64), [], 0
-
-        for b in batches:
-            offsets, data = byte_view(b.column(0))
-            for lo, hi in slices(offsets, _CHUNK):
-                for s in range(int(offsets[lo]), int(offsets[hi]), _CHUNK):
-                    e = min(s + _CHUNK, int(offsets[hi]))
-                    skip = min(s - int(offsets[lo]), order - 1)  # a long text's next piece sees the bytes before
-                    bounds = offsets[lo : hi + 1] - offsets[lo] if hi - lo > 1 else np.array([0, e - s + skip])
-                    g = packed(data[s - skip : e] if hi - lo == 1 else data[offsets[lo] : offsets[hi]], bounds, order)
-                    waiting.append(np.unique(g[skip if hi - lo == 1 else 0 :], return_counts=True))
-                    size += len(waiting[-1][0])
-                    if hi - lo > 1:
-                        break
-            if size > _MERGE:
-                merge()
-            if len(keys) > _MERGE:
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["g", "c"])
-                keys, counts = keys[:0], counts[:0]
-        merge()
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["g", "c"])
-
-    return texts.select("text").mapInArrow(run, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
-
-
-def discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """D1, D2 and D3+ of modified Kneser-Ney from the numbers of n-grams seen once to four times."""
-    row = counts.agg(*[F.sum((F.col("c") == k).cast("bigint")).alias(f"n{k}") for k in range(1, 5)]).first()
-    n1, n2, n3, n4 = (row[k] or 0 for k in range(4))
-    if not (n1 and n2 and n3):
-        return 0.5, 0.75, 0.9
-    y = n1 / (n1 + 2 * n2)
-    return tuple(min(max(d, 0.05), k) for k, d in ((0.95, 1 - 2 * y * n2 / n1), (1.95, 2 - 3 * y * n3 / n2), (2.95, 3 - 4 * y * n4 / n3)))
-
-
-def train(texts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
-    """By order: the tables (g, p) of interpolated probabilities and (h, gamma) of back-off weights."""
-    counts = [table(count_grams(texts, order), "counts")]
-    for n in range(order - 1, 0, -1):  # continuation counts: how many n-grams of the order above end so
-        counts.append(table(counts[-1].groupBy(F.col("g").bitwiseAND((1 << (8 * n)) - 1).alias("g")).agg(F.count("*").alias("c")), "counts"))
-    model: list[tuple[DataFrame, DataFrame]] = []
-    below = None
-    for n, c in enumerate(reversed(counts), 1):
-        d1, d2, d3 = discounts(c)
-        d = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        rows = c.withColumn("h", F.shiftright("g", 8))
-        contexts = table(rows.groupBy("h").agg((F.sum(d) / F.sum("c")).alias("gamma"), F.sum("c").alias("total")), "contexts")
-        own = rows.join(contexts, "h").select("g", ((F.col("c") - d) / F.col("total")).alias("own"), "gamma")
-        if below is None:
-            probs = own.select("g", (F.col("own") + F.col("gamma") / 256).alias("p"))
-        else:
-            shorter = F.col("g").bitwiseAND((1 << (8 * (n - 1))) - 1)
-            probs = own.withColumn("s", shorter).join(below.select(F.col("g").alias("s"), F.col("p").alias("q")), "s").select("g", (F.col("own") + F.col("gamma") * F.col("q")).alias("p"))
-        below = table(probs, "probabilities")
-        model.append((below, contexts.select("h", "gamma")))
-    return model
-
-
-class Lookup:
-    """A hash table of longs in arrays: values of many keys at once, NaN where there is none."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        h = mix(keys.astype(np.int64).view(np.uint64))
-        order = np.argsort(h)
-        self.keys, self.values = np.append(h[order], np.uint64(0)), np.append(values[order], np.nan).astype(np.float32)
-        bits = max(1, (2 * len(keys) + 1).bit_length())
-        self.shift = np.uint64(64 - bits)
-        self.first = np.searchsorted(h[order] >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        h = mix(keys)
-        bucket = (h >> self.shift).astype(np.int64)
-        at, end = self.first[bucket], self.first[bucket + 1]
-        hit = (at < end) & (self.keys[at] == h)
-        out = np.where(hit, self.values[at], np.float32(np.nan))
-        left = np.flatnonzero(~hit & (at + 1 < end))
-        k = 1
-        while len(left):
-            pos = at[left] + k
-            same = self.keys[pos] == h[left]
-            out[left[same]] = self.values[pos[same]]
-            k += 1
-            left = left[~same]
-            left = left[at[left] + k < end[left]]
-        return out
-
-
-def log_probabilities(grams: np.ndarray, tables: list[tuple[Lookup, Lookup]]) -> np.ndarray:
-    """ln p of the last byte of each n-gram: the longest one known, by the weights of contexts above it."""
-    out = np.zeros(len(grams))
-    left = np.arange(len(grams))
-    for n in range(len(tables), 0, -1):
-        g = grams[left] & np.uint64((1 << (8 * n)) - 1)
-        p = tables[n - 1][0](g)
-        seen = ~np.isnan(p)
-        out[left[seen]] += np.log(p[seen])
-        left, g = left[~seen], g[~seen]
-        if not len(left):
-            return out
-        gamma = tables[n - 1][1](g >> np.uint64(8))
-        known = ~np.isnan(gamma)
-        out[left[known]] += np.log(gamma[known])
-    out[left] -= math.log(256)
-    return out
-
-
-def _shards(model: list[tuple[DataFrame, DataFrame]], shard_rows: int) -> list[np.ndarray]:
-    """Which pairs of bytes before the last each shard holds (65,536 counts at most reach the driver)."""
-    if len(model) < 3:
-        return [np.arange(1 << 16)]
-    top = model[-1][0].groupBy(F.shiftright("g", 8).bitwiseAND(0xFFFF).alias("b")).count().toPandas()
-    load = np.zeros(1 << 16, dtype=np.int64)
-    load[top["b"].to_numpy(dtype=int)] = top["count"].to_numpy()
-    shard = (np.cumsum(load) - load) // max(1, shard_rows)
-    return [np.flatnonzero(shard == s) for s in np.unique(shard)]
-
-
-def _fetch(model: list[tuple[DataFrame, DataFrame]], pairs: np.ndarray) -> list[tuple[Lookup, Lookup]]:
-    """One shard's tables: the orders 1 and 2 whole (65,792 n-grams at most), the others by the pair of bytes."""
-    lo, hi = int(pairs.min(initial=0)), int(pairs.max(initial=0))
-    out = []
-    for n, (probs, contexts) in enumerate(model, 1):
-        if n > 2 and hi - lo < (1 << 16) - 1:
-            probs = probs.where(F.shiftright("g", 8).bitwiseAND(0xFFFF).between(lo, hi))
-            contexts = contexts.where(F.col("h").bitwiseAND(0xFFFF).between(lo, hi))
-        p, c = probs.toPandas(), contexts.toPandas()
-        out.append((Lookup(p["g"].to_numpy(), p["p"].to_numpy()), Lookup(c["h"].to_numpy(), c["gamma"].to_numpy())))
-    return out
-
-
-def _score(rows: DataFrame, tables: list[tuple[Lookup, Lookup]], pairs: np.ndarray, schema: str) -> DataFrame:
-    inside = np.zeros(1 << 16, dtype=bool)
-    inside[int(pairs.min(initial=0)) : int(pairs.max(initial=0)) + 1] = True
-    whole = bool(inside.all())
-    shared = rows.sparkSession.sparkContext.broadcast((tables, inside))
-    order = len(tables)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, inside = shared.value
-        for b in batches:
-            offsets, data = byte_view(b.column(1))
-            total = b.column(2).to_numpy(zero_copy_only=False).copy()
-            for lo, hi in slices(offsets, _CHUNK):
-                base = int(offsets[lo])
-                for s in range(base, int(offsets[hi]), _CHUNK) if hi - lo == 1 else (base,):
-                    e = min(s + _CHUNK, int(offsets[hi])) if hi - lo == 1 else int(offsets[hi])
-                    skip = min(s - base, order - 1)
-                    bounds = offsets[lo : hi + 1] - base if hi - lo > 1 else np.array([0, e - s + skip])
-                    g = packed(data[s - skip : e], bounds, order)[skip:]
-                    row = np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1])) if hi - lo > 1 else np.zeros(e - s, dtype=np.int64)
-                    if not whole:
-                        on = inside[(g >> np.uint64(8)) & np.uint64(0xFFFF)]
-                        g, row = g[on], row[on]
-                    total[lo:hi] += np.bincount(row, log_probabilities(g, tables), hi - lo)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total), *b.columns[3:]], names=b.schema.names)
-
-    return rows.mapInArrow(run, schema)
-
-
-def perplexity(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], keep: tuple[str, ...] = (), shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """doc_id, text, perplexity (per byte; null for texts without any) and the columns of ``keep``."""
-    rows = docs.select("doc_id", "text", F.lit(0.0).alias("ln_p"), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    for k, pairs in enumerate(_shards(model, shard_rows)):
-        rows = _score(table(rows, "scored") if k else rows, _fetch(model, pairs), pairs, schema)
-    n = F.octet_length(F.col("text"))
-    return rows.select("doc_id", "text", F.when(n > 0, F.exp(-F.col("ln_p") / n)).alias("perplexity"), *keep)
+STEP = 1e-4
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -236,8 +35,9 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> D
     left_out = remainder("doc_id", FOLDS) == 0
     model = word_model.train(docs.select("doc_id", "text").join(small_side(trusted.where(~left_out)), "doc_id", "left_semi"))
     scored = table(word_model.perplexity(docs.select("doc_id", "text", "lang"), model), "perplexity")
-    sample = scored.join(trusted.where(left_out), "doc_id", "left_semi").where("perplexity is not null").withColumn("x", F.round("perplexity", 4))
+    level = F.ceil(F.round(F.ln("perplexity") / STEP, 6))
+    sample = scored.join(trusted.where(left_out), "doc_id", "left_semi").where("perplexity is not null").withColumn("x", level)
     by_lang = sample.where("lang is not null").groupBy("lang").agg(F.percentile("x", F.lit(quantile)).alias("t"))
     overall = sample.agg(F.percentile("x", F.lit(quantile))).first()[0]  # one number
     limit = F.coalesce("t", F.lit(float("inf") if overall is None else overall))
-    return scored.join(by_lang, "lang", "left").select("doc_id", "lang", "perplexity", limit.alias("threshold"), F.coalesce(F.round("perplexity", 4) <= limit, F.lit(False)).alias("kept"))
+    return scored.join(F.broadcast(by_lang), "lang", "left").select("doc_id", "lang", "perplexity", F.exp(limit * STEP).alias("threshold"), F.coalesce(level <= limit, F.lit(False)).alias("kept"))

@@ -135,32 +135,6 @@ def test_quality_separates(spark, docs, labels):
     assert np.mean([r.kept for r in rows if q.get(r.doc_id) == 0]) < 0.3
 
 
-def test_model_is_a_distribution_and_shards_agree(spark):
-    texts = spark.createDataFrame([("the cat sat on the mat",), ("the dog sat",), ("a cat",), (None,), ("",)], "text string")
-    model = quality.train(texts)
-    tables = quality._fetch(model, np.arange(1 << 16))
-    for context in (b"the ", b"zzzz", b"\0\0\0\0", b" sat"):
-        grams = np.array([int.from_bytes(context + bytes([w]), "big") for w in range(256)], dtype=np.uint64)
-        assert np.exp(quality.log_probabilities(grams, tables)).sum() == pytest.approx(1.0, abs=1e-4)
-    docs = common_rows.frame(spark)
-    whole = {(r.doc_id, r.text): r.perplexity for r in quality.perplexity(docs, model).collect()}
-    parts = {(r.doc_id, r.text): r.perplexity for r in quality.perplexity(docs, model, shard_rows=60).collect()}
-    assert whole.keys() == parts.keys() and all(a == pytest.approx(parts[k], rel=1e-5) for k, a in whole.items() if a is not None)
-    assert whole[103, None] is None and whole[104, ""] is None
-
-
-def test_counts_against_brute_force(spark):
-    texts = [r[1] for r in common_rows.rows()]
-    want = {}
-    for t in texts:
-        b = b"\0" * 4 + (t or "").encode().lower() if (t or "").isascii() else b"\0" * 4 + bytes(x + 32 if 65 <= x <= 90 else x for x in (t or "").encode())
-        for i in range(4, len(b)):
-            g = int.from_bytes(b[i - 4 : i + 1], "big")
-            want[g] = want.get(g, 0) + 1
-    got = {r.g: r.c for r in quality.count_grams(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
-    assert got == want
-
-
 def test_quality_without_labels(spark):
     rows = quality.quality(common_rows.frame(spark), spark.createDataFrame([], LABELS)).collect()
     assert all(r.kept == (r.perplexity is not None) for r in rows) and len(rows) == len(common_rows.rows())

@@ -94,4 +94,12 @@ def test_a_rare_language_has_its_own_threshold(spark):
     limits = {r.lang: r.threshold for r in got}
     out = [r for r in got if r.out and r.lang == "en"]
     assert 2 <= len(out) < 50 and any(r.out for r in got if r.lang == "fr")
-    assert max(r.perplexity for r in out) + 1e-4 >= limits["en"] and limits["fr"] > limits["de"] > limits["en"]
+    assert max(r.perplexity for r in out) * (1 + quality.STEP) >= limits["en"] and limits["fr"] > limits["de"] > limits["en"]
+
+
+def test_a_text_at_the_threshold_is_kept(spark):
+    """One left-out trusted text is its language's threshold: it stays, and so does an equal text."""
+    rows = [(i, "the cat sat on the mat", "en") for i in range(30)] + [(100, "zig zag zog", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.quality(docs, spark.createDataFrame([(i, 1, 0) for i in range(29)], LABELS)).collect()}
+    assert all(got[i].kept and got[i].perplexity <= got[i].threshold for i in range(30)) and not got[100].kept
