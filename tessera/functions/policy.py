@@ -18,7 +18,7 @@ DEFAULT_POLICY = (
 )
 TRUE_WORDS = ("1", "true", "yes", "on")
 FALSE_WORDS = ("0", "false", "no", "off")
-RUN_SOURCES = ("scheduled_main", "pull_request", "manual", "calibration")
+RUN_SOURCES = ("pr", "local", "scheduled_main", "unknown")
 
 
 def tolerant_double(c: Column) -> Column:

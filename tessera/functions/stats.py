@@ -1,4 +1,4 @@
-"""Summaries with their own percentile rules; the three p95 rules stay apart (AGG-07 to AGG-09)."""
+"""Summaries with their own percentile rules (AGG-07, AGG-08, AGG-14)."""
 
 from __future__ import annotations
 
@@ -13,19 +13,14 @@ def series_summary(c: str) -> list[Column]:
 
 
 def serving_summary(latency: Column, memory: Column, ok: Column, seconds: float) -> list[Column]:
-    """AGG-07: counts, rate, latency of successes (linear percentiles), memory above zero; 0 when empty."""
+    """AGG-07: counts, rate, mean latency of successes, memory above zero; 0 when empty. The percentiles of large
+    groups come from ``cohorts.group_quantiles``."""
     x, m = F.when(ok, latency), F.when(memory > 0, memory)
-    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 4)
-    return [F.count_if(ok).alias("completed"), F.count_if(~ok).alias("failed"), F.round(F.count_if(ok) / seconds, 6).alias("qps"), zero(F.avg(x)).alias("mean"), zero(F.percentile(x, F.lit(0.5))).alias("median"), zero(F.percentile(x, F.lit(0.99))).alias("p99"), zero(F.max(m)).alias("max_memory")]
+    return [F.count_if(ok).alias("completed"), F.count_if(~ok).alias("failed"), F.round(F.count_if(ok) / seconds, 6).alias("qps"), or_zero(F.avg(x)).alias("mean"), or_zero(F.max(m)).alias("max_memory")]
 
 
-def nearest_rank(c: str, q: float) -> Column:
-    """AGG-09: the value at round(q * (n - 1)), halves to even, of the sorted values.
-
-    Sorts the group in memory: for stage timings of a run, not for unbounded groups.
-    """
-    values = F.sort_array(F.collect_list(c))
-    return F.get(values, F.bround(F.lit(q) * (F.size(values) - 1)).cast("int"))
+def or_zero(c: Column) -> Column:
+    return F.round(F.coalesce(c, F.lit(0.0)), 4)
 
 
 def upper_median(c: str) -> Column:

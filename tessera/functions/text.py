@@ -137,3 +137,20 @@ def sections(c: Column, headings: list[str]) -> dict[str, Column]:
 
 def any_of(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, cols)
+
+
+CAPTION_KEYS = ("caption", "captions", "cap", "prompt", "text", "description")
+
+
+def caption_of(record: Column) -> Column:
+    """STRF-14: the caption in a JSON record of unknown shape: the first known key that has one (lists are joined
+    by comma and blank), else the longest string among its top-level values; null without any."""
+
+    def text_at(key: str) -> Column:
+        raw = F.get_json_object(record, f"$.{key}")
+        listed = F.from_json(raw, "array<string>")
+        return F.nullif(F.trim(F.when(F.startswith(raw, F.lit("[")) & listed.isNotNull(), F.array_join(listed, ", ")).otherwise(raw)), F.lit(""))
+
+    values = F.map_values(F.from_json(record, "map<string,string>"))
+    longest = F.array_max(F.transform(values, lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))["v"]
+    return F.coalesce(*map(text_at, CAPTION_KEYS), longest)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays
+from tessera.operators.cohorts import with_halo
 
 
 @dataclass(frozen=True)
@@ -56,18 +57,41 @@ def evaluate_corpus(df: DataFrame, by: list[str], metrics: list[Metric]) -> Data
 
 
 def consistency(df: DataFrame, group: str, order: str, vec: str) -> DataFrame:
-    """WIN-05: mean over later frames of the cosines with the frame before and the first; 1 for one frame."""
-    w = Window.partitionBy(group).orderBy(order)
-    frames = df.select(group, order, vec, F.lag(vec).over(w).alias("before"), F.first(vec).over(w).alias("start"), F.row_number().over(w).alias("i"))
+    """WIN-05: mean over later frames of the cosines with the frame before and the first; 1 for one frame.
+
+    Frames are numbered over ranges and meet the one before inside blocks, so a group may have any size.
+    """
+    parts = with_halo(df.select(group, order, vec), [group], [order], 1)
+    start = parts.where((F.col("pos") == 0) & ~F.col("_halo")).select(F.col(group).alias("_g"), F.col(vec).alias("start"))
+    before = F.lag(vec).over(Window.partitionBy(group, "_block").orderBy("pos"))
+    frames = parts.withColumn("before", before).where("not _halo").join(start, F.col(group).eqNullSafe(F.col("_g")))
     score = (F.greatest(arrays.cosine(F.col(vec), F.col("before")), F.lit(0.0)) + F.greatest(arrays.cosine(F.col(vec), F.col("start")), F.lit(0.0))) / 2
-    return frames.groupBy(group).agg(F.coalesce(F.avg(F.when(F.col("i") > 1, score)), F.lit(1.0)).alias("score"))
+    return frames.groupBy(group).agg(F.coalesce(F.avg(F.when(F.col("pos") > 0, score)), F.lit(1.0)).alias("score"))
 
 
 def flicker(df: DataFrame, group: str, order: str, vec: str) -> DataFrame:
     """WIN-06: (255 - mean absolute difference of neighbours) / 255."""
-    w = Window.partitionBy(group).orderBy(order)
-    diff = arrays.mean_abs_diff(F.col(vec), F.lag(vec).over(w))
-    return df.select(group, diff.alias("x")).groupBy(group).agg(((255 - F.avg("x")) / 255).alias("score"))
+    parts = with_halo(df.select(group, order, vec), [group], [order], 1)
+    diff = arrays.mean_abs_diff(F.col(vec), F.lag(vec).over(Window.partitionBy(group, "_block").orderBy("pos")))
+    return parts.select(group, "_halo", diff.alias("x")).where("not _halo").groupBy(group).agg(((255 - F.avg("x")) / 255).alias("score"))
+
+
+def collate(df: DataFrame, batch: str, key: str, vec: str, width: int, info: dict[str, Column]) -> DataFrame:
+    """ARR-04: a row a batch: ids, the stacked vectors (padded or cut to ``width``), their shape, and a list for
+    each detail, all in order of ``key``. Batches are as large as a training step."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), arrays.pad(F.col(vec), width).alias("v"), *[c.alias(n) for n, c in info.items()])))
+    out = df.groupBy(batch).agg(rows.alias("r"))
+    column = lambda n: F.transform("r", lambda x: x[n])
+    return out.select(batch, column("k").alias("ids"), column("v").alias("tensor"), F.array(F.size("r"), F.lit(width)).alias("shape"), *[column(n).alias(n) for n in info])
+
+
+def pad_to_batch(df: DataFrame, batch: str, vec: str) -> DataFrame:
+    """ARR-05: vectors filled with zeros to the longest of their batch, and the masks of what was there."""
+    longest = F.max(F.size(vec)).over(Window.partitionBy(batch))
+    x = df.withColumn("_n", longest)
+    fill = lambda c, one: F.concat(c, F.array_repeat(one, F.col("_n") - F.size(c)))
+    mask = fill(F.transform(vec, lambda _: F.lit(1)), F.lit(0))
+    return x.withColumn("mask", mask).withColumn(vec, fill(F.col(vec), F.lit(0).cast("float"))).drop("_n")
 
 
 def gaussian_sums(df: DataFrame, group: str, vec: str) -> DataFrame:

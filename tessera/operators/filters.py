@@ -57,3 +57,18 @@ def metric_verdict(metrics: dict[str, tuple[Column, float]]) -> Column:
     """FLT-11: empty for rows whose every metric reaches its threshold, else the reasons."""
     reasons = [F.when(c.isNull() | F.isnan(c), f"{name} missing").when(c < least, f"{name} below {least:g}") for name, (c, least) in metrics.items()]
     return F.concat_ws("; ", *reasons)
+
+
+def valid_data_type(caption: str, fps: str, frames: str) -> Column:
+    """FLT-04: a caption that is not empty, a rate and a number of frames above zero; nulls are invalid."""
+    return F.coalesce((F.length(caption) > 0) & (F.col(fps) > 0) & (F.col(frames) > 0), F.lit(False))
+
+
+def valid_size(width: Column, height: Column) -> Column:
+    """FLT-04: both sides are there; their limits are not checked."""
+    return width.isNotNull() & height.isNotNull()
+
+
+def safety_decision(score: Column, threshold: float) -> Column:
+    """UDF-08: BLOCK at the threshold or above, ALLOW below it, UNAVAILABLE without a score."""
+    return F.when(score.isNull() | F.isnan(score), "UNAVAILABLE").when(score >= threshold, "BLOCK").otherwise("ALLOW")

@@ -3,11 +3,10 @@ which any engine can repeat; a shuffled order is the same in every run and on an
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.joins import positions
+from tessera.operators.joins import group_positions, positions, settled
 
 
 def order_key(seed: int | str, *keys: Column) -> Column:
@@ -65,8 +64,8 @@ def take_positions(df: DataFrame, order: list[str], places: list[int]) -> DataFr
 
 def round_robin(df: DataFrame, group: str, key: str, seed: int, n: int) -> DataFrame:
     """SMP-13: one row of each group in turn, in hash order within a group, ``n`` rows in all."""
-    w = Window.partitionBy(group).orderBy(order_key(seed, F.col(key)), key)
-    return df.withColumn("depth", F.row_number().over(w)).orderBy("depth", group).limit(n)
+    keyed = group_positions(df.withColumn("_k", order_key(seed, F.col(key))), [group], ["_k", key]).drop("_k")
+    return keyed.withColumn("depth", (F.col("pos") + 1).cast("int")).drop("pos").orderBy("depth", group).limit(n)
 
 
 def repeat_rows(df: DataFrame, k: int, name: str = "copy") -> DataFrame:
@@ -74,52 +73,99 @@ def repeat_rows(df: DataFrame, k: int, name: str = "copy") -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
 
 
-def pack_longest_first(files: DataFrame, key: str, size: str, shards: int) -> DataFrame:
-    """SMP-02: files to shards, the largest first, each to the least filled shard.
+def dealt(fill: list[int], step: int, count: int) -> list[int]:
+    """How many of ``count`` equal pieces of size ``step`` each shard gets, each piece going to the least filled
+    shard (of equals the first): the pieces fill all shards up to one level, found by bisection."""
+    if step <= 0:
+        return [count if s == fill.index(min(fill)) else 0 for s in range(len(fill))]
+    below = lambda level: [max(0, -(-(level - f) // step)) for f in fill]
+    lo, hi = min(fill), max(fill) + step * (count + 1)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if sum(below(mid)) <= count else (lo, mid)
+    got, rest = below(lo), count - sum(below(lo))
+    for s, f in enumerate(fill):
+        if rest and lo >= f and (lo - f) % step == 0:
+            got[s], rest = got[s] + 1, rest - 1
+    return got
+
+
+def _slots(spark: SparkSession, deals: list[tuple[int, int, int, int]]) -> DataFrame:
+    """For (step, shard, fill, pieces): step, shard and pos of each piece, in the order in which pieces of one
+    step are dealt."""
+    plan = spark.createDataFrame([d for d in deals if d[3]], "step bigint, shard int, fill bigint, pieces bigint")
+    rows = plan.select("step", "shard", "fill", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("i"))
+    rows = rows.select("step", "shard", (F.col("fill") + F.col("i") * F.col("step")).alias("level"))
+    return group_positions(rows, ["step"], ["level", "shard"]).drop("level")
 
-    Greedy packing is sequential; its input is a list of files, a few bytes each, so one task packs it.
-    """
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        fill, out = [0] * shards, []
-        for k, n in pdf.sort_values([size, key], ascending=[False, True])[[key, size]].itertuples(index=False):
-            s = min(range(shards), key=lambda i: (fill[i], i))
-            fill[s] += n
-            out.append((k, s, n))
-        return pd.DataFrame(out, columns=["key", "shard", "size"])
+def pack_longest_first(files: DataFrame, key: str, size: str, shards: int) -> DataFrame:
+    """SMP-02: files to shards, the largest first, each to the least filled shard (of equals the first).
 
-    kind = files.schema[key].dataType.simpleString()
-    return files.select(key, size).groupBy().applyInPandas(pack, f"key {kind}, shard bigint, size bigint")
+    Files of one size are dealt alike, so the walk is over the distinct sizes (they and their numbers of files
+    reach the driver, not the files) and ``dealt`` says how many each shard gets; a file then finds its shard by
+    its place among those of its size.
+    """
+    fill, deals = [0] * shards, []
+    for step, count in files.groupBy(F.col(size).cast("bigint")).count().orderBy(F.desc(size)).toLocalIterator():
+        got = dealt(fill, step, count)
+        deals += [(step, s, fill[s], n) for s, n in enumerate(got)]
+        fill = [f + n * step for f, n in zip(fill, got, strict=True)]
+    at = group_positions(files.select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("step")), ["step"], ["key"])
+    return at.join(_slots(files.sparkSession, deals), ["step", "pos"]).select("key", F.col("shard").cast("bigint").alias("shard"), F.col("step").alias("size"))
 
 
 def quota_cells(rows: DataFrame, cell: str, unit: str, order: str, quota: int) -> DataFrame:
     """SMP-15: up to ``quota`` units for each cell, no unit in two cells; cells in order, units in order.
 
-    Sequential by nature: the candidates (cell, unit) of a curation plan, not corpus rows, go to one task.
+    Cells follow one another: each takes its first free units, a top-k, and the next one leaves those out.
+    The cells are a curation plan's dimension; units never leave Spark.
     """
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for c, part in pdf.sort_values([cell, order]).groupby(cell, sort=True):
-            free = [u for u in part[unit] if u not in used][:quota]
-            used.update(free)
-            out += [(c, u) for u in free]
-        return pd.DataFrame(out, columns=["cell", "unit"])
-
-    a, b = (rows.schema[c].dataType.simpleString() for c in (cell, unit))
-    return rows.groupBy().applyInPandas(choose, f"cell {a}, unit {b}")
+    cells = [r[0] for r in rows.select(cell).distinct().orderBy(cell).toLocalIterator()]
+    out = None
+    for c in cells:
+        free = rows.where(F.col(cell).eqNullSafe(F.lit(c)))
+        if out is not None:
+            free = free.join(out.select(F.col("unit").alias(unit)), unit, "left_anti")
+        took = free.orderBy(order, unit).limit(quota).select(F.col(cell).alias("cell"), F.col(unit).alias("unit"))
+        out = settled(took if out is None else out.unionByName(took))
+    return out if out is not None else rows.select(F.col(cell).alias("cell"), F.col(unit).alias("unit")).where("false")
 
 
 def least_used(rows: DataFrame, key: str, label: str, variants: list[str]) -> DataFrame:
-    """SMP-25: a stated label wins, else the variant used least so far, rotated by row. One task, as SMP-15."""
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = dict.fromkeys(variants, 0), []
-        for i, (k, own) in enumerate(pdf.sort_values(key)[[key, label]].itertuples(index=False)):
-            turned = variants[i % len(variants) :] + variants[: i % len(variants)]
-            v = own if own in used else min(turned, key=lambda x: used[x])
-            used[v] += 1
-            out.append((k, v))
-        return pd.DataFrame(out, columns=["key", "variant"])
-
-    return rows.groupBy().applyInPandas(assign, f"key {rows.schema[key].dataType.simpleString()}, variant string")
+    """SMP-25: a stated label wins; each other row, in order of ``key``, takes the variant used least by the
+    stated labels and the rows before it (of equals the first). A variant that no row uses is an error.
+
+    Stated labels are all counted before the others are dealt: a walk that counts them as they come would be
+    one row after the other, and could end less even. A row's place says which variant it takes.
+    """
+    own = F.when(F.col(label).isin(variants), F.col(label))
+    counts = dict(rows.groupBy(own.alias("v")).count().collect())  # a row a variant
+    used = [counts.get(v, 0) for v in variants]
+    got = dealt(used, 1, counts.get(None, 0))
+    if missing := [v for v, u, n in zip(variants, used, got, strict=True) if not u + n]:
+        raise ValueError(f"no row uses {', '.join(missing)}")
+    at = group_positions(rows.select(F.col(key).alias("key"), own.alias("own"), own.isNull().cast("bigint").alias("step")), ["step"], ["key"])
+    slots = _slots(rows.sparkSession, [(1, s, used[s], n) for s, n in enumerate(got)])
+    names = F.array(*map(F.lit, variants))
+    return at.join(slots, ["step", "pos"], "left").select("key", F.coalesce("own", F.element_at(names, F.col("shard") + 1)).alias("variant"))
+
+
+def equal_shards(df: DataFrame, key: str, shards: int, batch: int, seed: int, total: int) -> DataFrame:
+    """SMP-03: strided shards of the seed's permutation, all cut to the least one's whole batches."""
+    most = total // shards // batch * batch
+    at = shuffled(df, key, seed).withColumn("shard", F.col("pos") % shards).withColumn("place", F.floor(F.col("pos") / shards))
+    return at.where(F.col("place") < most).drop("pos")
+
+
+def one_shard(df: DataFrame, order: list[str], shards: int, index: int, total: int) -> DataFrame:
+    """SMP-07: the rows of one contiguous shard."""
+    return positions(df, order).where(contiguous(F.col("pos"), total, shards) == index).drop("pos")
+
+
+def epochs(df: DataFrame, key: str, seed: int, numbers: range) -> DataFrame:
+    """SMP-21: the rows of each epoch in its own order (``pos``); epoch n is the permutation of seed + n, so a
+    reader can go on at any epoch."""
+    rows = df.withColumn("epoch", F.explode(F.array(*map(F.lit, numbers))))
+    keyed = rows.withColumn("_k", F.sha1(F.concat_ws("/", (F.lit(seed) + F.col("epoch")).cast("string"), F.col(key).cast("string")).cast("binary")))
+    return group_positions(keyed, ["epoch"], ["_k", key]).drop("_k")

@@ -41,14 +41,14 @@ def flt02(spark, d):
 
 @query("flt03_reject_counts", f"SELECT rule, count(*) AS n FROM (SELECT CASE WHEN cap IS NULL OR length(cap) = 0 THEN 'caption' WHEN fps IS NULL OR fps <= 0 THEN 'fps' WHEN num_frames <= 10 THEN 'frames' WHEN duration > 40 THEN 'duration' ELSE 'kept' END AS rule FROM {_MEDIA}) GROUP BY 1")
 def flt03(spark, d):
-    """FLT-03, FLT-04, UDF-06, AGG-26: rows by the first rule that they fail."""
+    """FLT-03: rows by the first rule that they fail."""
     c = filters.ValidatorChain({"caption": F.length("cap") > 0, "fps": F.col("fps") > 0}).add_validator("frames", F.col("num_frames") > 10).add_validator("duration", F.col("duration") <= 40)
     return c.counts(_media(spark, d))
 
 
 @query("flt11_metric_filter", "SELECT d.doc_id, concat_ws('; ', CASE WHEN quality IS NULL THEN 'quality missing' WHEN quality < 1 THEN 'quality below 1' END, CASE WHEN n_chars < 500 THEN 'length below 500' END) AS reason FROM documents d LEFT JOIN labels l USING (doc_id)")
 def flt11(spark, d):
-    """FLT-11, UDF-08: why a row fails, empty for rows that pass."""
+    """FLT-11: why a row fails, empty for rows that pass."""
     x = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left")
     return x.select("doc_id", filters.metric_verdict({"quality": (F.col("quality").cast("double"), 1.0), "length": (F.col("n_chars").cast("double"), 500.0)}).alias("reason"))
 
@@ -90,7 +90,7 @@ _ORD = "SELECT *, row_number() OVER (ORDER BY sha1('42/' || {k}), {k}) - 1 AS po
 
 @query("smp01_batches", f"WITH p AS ({_ORD.format(k='doc_id', t='documents')}), n AS (SELECT count(*) AS n FROM documents) SELECT doc_id, pos % 4 AS shard, (pos // 4) // 8 AS batch FROM p, n WHERE pos < n // 32 * 32")
 def smp01(spark, d):
-    """SMP-01, SMP-03, SMP-06, SMP-21: seeded permutation, strided shards, full batches."""
+    """SMP-01: seeded permutation, strided shards, full batches."""
     docs = read(spark, d, "documents").select("doc_id")
     return sampling.batches(docs, "doc_id", 8, 4, SEED, docs.count()).select("doc_id", "shard", "batch")
 
@@ -104,7 +104,7 @@ def smp04(spark, d):
 
 @query("smp05_ranges", "WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents) SELECT doc_id, pos // ((n + 6) // 7) AS worker FROM p")
 def smp05(spark, d):
-    """SMP-05, SMP-07: contiguous ranges."""
+    """SMP-05: contiguous ranges."""
     docs = read(spark, d, "documents").select("doc_id")
     return joins.positions(docs, ["doc_id"]).select("doc_id", sampling.contiguous(F.col("pos"), docs.count(), 7).alias("worker"))
 
@@ -131,7 +131,7 @@ def smp10(spark, d):
 
 @query("smp12_midpoints", "WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents) SELECT doc_id FROM p WHERE pos IN (SELECT floor((i + 0.5) * (SELECT max(n) FROM p) / 30)::BIGINT FROM range(30) t(i))")
 def smp12(spark, d):
-    """SMP-11, SMP-12: the middles of thirty equal parts."""
+    """SMP-12: the middles of thirty equal parts."""
     docs = read(spark, d, "documents").select("doc_id")
     return sampling.take_positions(docs, ["doc_id"], sampling.spread_indices(docs.count(), 30, "middle")).select("doc_id")
 
@@ -145,8 +145,9 @@ def smp13(spark, d):
 @query("smp14_balanced", "SELECT doc_id, (('0x' || substr(sha1('42/' || lang || '/' || source), 1, 8))::BIGINT + row_number() OVER (PARTITION BY lang, source ORDER BY sha1('42/' || doc_id), doc_id) - 1) % 5 AS variant FROM documents")
 def smp14(spark, d):
     """SMP-14: variants rotate within a stratum from an offset by its hash."""
-    w = Window.partitionBy("lang", "source").orderBy(sampling.order_key(SEED, F.col("doc_id")), "doc_id")
-    return read(spark, d, "documents").select("doc_id", ((sampling.hash_remainder(SEED, 1 << 32, F.col("lang"), F.col("source")) + F.row_number().over(w) - 1) % 5).alias("variant"))
+    docs = read(spark, d, "documents").select("doc_id", "lang", "source", sampling.order_key(SEED, F.col("doc_id")).alias("o"))
+    at = joins.group_positions(docs, ["lang", "source"], ["o", "doc_id"])
+    return at.select("doc_id", ((sampling.hash_remainder(SEED, 1 << 32, F.col("lang"), F.col("source")) + F.col("pos")) % 5).alias("variant"))
 
 
 @query("smp16_stride", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents) WHERE pos % greatest(1, n // 50) = 0 ORDER BY pos LIMIT 50")
@@ -220,8 +221,68 @@ def smp15(spark, d):
     return sampling.quota_cells(cells, "cell", "unit", "o", 3)
 
 
-@query("smp25_least_used")
+@query("smp25_least_used", """WITH v(i, v) AS (VALUES (0, 'oil'), (1, 'ink'), (2, 'clay')), own AS (SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN 'ink' WHEN s_suppkey % 5 = 0 THEN 'lead' END AS own FROM supplier),
+used AS (SELECT i, v, count(s_suppkey) AS n FROM v LEFT JOIN own ON own = v GROUP BY 1, 2), slots AS (SELECT v, row_number() OVER (ORDER BY n + j, i) AS pos FROM used, range((SELECT count(*) FROM supplier)) t(j)),
+free AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS pos FROM own WHERE own IS NULL OR own = 'lead')
+SELECT s_suppkey AS key, 'ink' AS variant FROM own WHERE own = 'ink' UNION ALL SELECT s_suppkey, v FROM free JOIN slots USING (pos)""")
 def smp25(spark, d):
-    """SMP-25: styles of customers, balanced."""
-    rows = read(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 9 == 0, "ink").alias("own"))
+    """SMP-25: styles of suppliers, balanced; labels that are no style count as none."""
+    rows = read(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 9 == 0, "ink").when(F.col("s_suppkey") % 5 == 0, "lead").alias("own"))
     return sampling.least_used(rows, "s_suppkey", "own", ["oil", "ink", "clay"])
+
+
+@query("smp03_equal_shards", f"WITH p AS ({_ORD.format(k='doc_id', t='documents')}), n AS (SELECT min(n) // 8 * 8 AS n FROM (SELECT pos % 7 AS shard, count(*) AS n FROM p GROUP BY 1)) SELECT doc_id, pos % 7 AS shard, pos // 7 AS place FROM p, n WHERE pos // 7 < n.n")
+def smp03(spark, d):
+    """SMP-03: shards cut to the least one's number of whole batches."""
+    docs = read(spark, d, "documents").select("doc_id")
+    return sampling.equal_shards(docs, "doc_id", 7, 8, SEED, docs.count())
+
+
+@query("smp06_strided", "SELECT item_id, (pos % 3)::INT AS shard, pos // 3 AS place FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS pos FROM benchmark)")
+def smp06(spark, d):
+    """SMP-06: every third entry is one shard's."""
+    at = joins.positions(read(spark, d, "benchmark").select("item_id"), ["item_id"])
+    return at.select("item_id", (F.col("pos") % 3).cast("int").alias("shard"), F.floor(F.col("pos") / 3).alias("place"))
+
+
+@query("smp07_one_shard", "WITH p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS pos, count(*) OVER () AS n FROM customer) SELECT c_custkey FROM p WHERE pos // ((n + 4) // 5) = 2")
+def smp07(spark, d):
+    """SMP-07: the third of five contiguous shards, by number of shards and index."""
+    c = read(spark, d, "customer").select("c_custkey")
+    return sampling.one_shard(c, ["c_custkey"], 5, 2, c.count())
+
+
+@query("smp11_floor_spread", "WITH p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS pos, count(*) OVER () AS n FROM customer) SELECT c_custkey FROM p WHERE pos IN (SELECT floor(i * ((SELECT max(n) FROM p) / 40::DOUBLE))::BIGINT FROM range(40) t(i))")
+def smp11(spark, d):
+    """SMP-11: forty rows at whole steps, rounded down."""
+    c = read(spark, d, "customer").select("c_custkey")
+    return sampling.take_positions(c, ["c_custkey"], sampling.spread_indices(c.count(), 40, "floor")).select("c_custkey")
+
+
+@query("smp21_epochs", "SELECT epoch, s_suppkey, row_number() OVER (PARTITION BY epoch ORDER BY sha1((42 + epoch) || '/' || s_suppkey), s_suppkey) - 1 AS pos FROM supplier, (SELECT unnest(range(3))::INT AS epoch)")
+def smp21(spark, d):
+    """SMP-21: three epochs of an endless reader, each with a permutation by its own seed."""
+    return sampling.epochs(read(spark, d, "supplier").select("s_suppkey"), "s_suppkey", SEED, range(3))
+
+
+@query("flt04_data_type", f"SELECT doc_id, cap IS NOT NULL AND length(cap) > 0 AND fps IS NOT NULL AND fps > 0 AND num_frames > 0 AS valid_type, doc_id % 3 <> 2 AND num_frames IS NOT NULL AS valid_size FROM {_MEDIA}")
+def flt04(spark, d):
+    """FLT-04: whether a sample has a caption, a rate and frames, and both sides of its size."""
+    width, height = F.when(F.col("doc_id") % 3 != 2, 832), F.col("num_frames")
+    m = _media(spark, d)
+    return m.select("doc_id", filters.valid_data_type("cap", "fps", "num_frames").alias("valid_type"), filters.valid_size(width, height).alias("valid_size"))
+
+
+@query("udf06_added_validators", f"SELECT doc_id FROM {_MEDIA} WHERE cap IS NOT NULL AND length(cap) > 0 AND num_frames > 10 AND duration <= 40")
+def udf06(spark, d):
+    """UDF-06: rules that the user adds to a chain by name; rows that pass them all."""
+    chain = filters.ValidatorChain({"caption": F.length("cap") > 0})
+    chain = chain.add_validator("frames", F.col("num_frames") > 10).add_validator("duration", F.col("duration") <= 40)
+    return chain.keep(_media(spark, d)).select("doc_id")
+
+
+@query("udf08_safety", "SELECT doc_id, CASE WHEN l.doc_id IS NULL OR toxic IS NULL THEN 'UNAVAILABLE' WHEN toxic = 1 THEN 'BLOCK' ELSE 'ALLOW' END AS decision FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) l USING (doc_id)")
+def udf08(spark, d):
+    """UDF-08: a safety score against its threshold; without a score there is no decision."""
+    scores = read(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").cast("double").alias("score"))
+    return read(spark, d, "documents").join(scores, "doc_id", "left").select("doc_id", filters.safety_decision(F.col("score"), 0.5).alias("decision"))

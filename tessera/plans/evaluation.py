@@ -23,19 +23,19 @@ _COS = "list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), l
 
 @query("udf01_row_metrics", "SELECT doc_id, 'text.length' AS metric, length(text)::DOUBLE AS score, false AS skipped FROM documents UNION ALL SELECT doc_id, 'text.lines', len(string_split(text, chr(10)))::DOUBLE, false FROM documents UNION ALL SELECT doc_id, 'media.rate', CASE WHEN n_chars > 1000 THEN n_chars / 24.0::DOUBLE END, n_chars <= 1000 FROM documents")
 def udf01(spark, d):
-    """UDF-01, UDF-03 to UDF-05: every registered metric per row, skipped rows with null scores."""
+    """UDF-01: every registered metric per row, skipped rows with null scores."""
     return ev.evaluate_rows(read(spark, d, "documents"), ["doc_id"], ev.resolve("all"))
 
 
 @query("udf02_corpus_metrics", "SELECT lang, avg(length(text)) AS text_length, avg(len(string_split(text, chr(10)))) AS text_lines, max(CASE WHEN n_chars > 1000 THEN n_chars / 24.0::DOUBLE END) AS media_rate FROM documents GROUP BY 1")
 def udf02(spark, d):
-    """UDF-02, UDF-05: metrics reduced over the corpus."""
+    """UDF-02: metrics reduced over the corpus."""
     return ev.evaluate_corpus(read(spark, d, "documents"), ["lang"], ev.resolve(["text", "media.rate"]))
 
 
 @query("udf07_fan_out", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS prompt, unnest(range(len(string_split(p_name, ' '))))::INT AS i FROM part")
 def udf07(spark, d):
-    """UDF-07, UDF-10: one row for each prompt of a list, with its number."""
+    """UDF-07: one row for each prompt of a list, with its number."""
     return read(spark, d, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("i", "prompt"))
 
 
@@ -48,14 +48,14 @@ def udf09(spark, d):
 
 @query("arr01_round_trip", "SELECT vec_id, len(embedding) AS n, embedding[1] AS first_value, embedding[-1] AS last_value FROM embeddings")
 def arr01(spark, d):
-    """ARR-01, ARR-02: to bytes and back."""
+    """ARR-01: to bytes and back."""
     x = _frames(spark, d).select("vec_id", arrays.decode_tensor(arrays.encode_tensor("embedding"), F.lit("float32")).alias("v"))
     return x.select("vec_id", F.size("v").cast("bigint").alias("n"), F.col("v")[0].alias("first_value"), F.element_at("v", -1).alias("last_value"))
 
 
 @query("arr03_pad_mask", "SELECT vec_id, 70 AS n, len(embedding)::INT AS kept, 0.0::FLOAT AS last FROM embeddings")
 def arr03(spark, d):
-    """ARR-03, ARR-05: filled to seventy with its mask."""
+    """ARR-03: filled to seventy with its mask."""
     x = _frames(spark, d).select("vec_id", arrays.pad(F.col("embedding"), 70).alias("v"), arrays.pad_mask(F.col("embedding"), 70).alias("m"))
     return x.select("vec_id", F.size("v").alias("n"), F.aggregate("m", F.lit(0), lambda a, b: a + b).alias("kept"), F.col("v")[69].alias("last"))
 
@@ -68,11 +68,36 @@ def arr06(spark, d):
     return _frames(spark, d).select("vec_id", F.element_at(arrays.unpad(F.col("embedding"), mask), -1).alias("last"))
 
 
-@query("arr04_collate", "SELECT vec_id // 16 AS batch, count(*) AS n, max(len(embedding))::INT AS width, min(vec_id) AS first_id FROM embeddings GROUP BY 1")
+@query("arr04_collate", "SELECT vec_id // 16 AS batch, vec_id, row_number() OVER (PARTITION BY vec_id // 16 ORDER BY vec_id) - 1 AS place, 40 AS width, embedding[40] AS last, label::VARCHAR AS info FROM embeddings")
 def arr04(spark, d):
-    """ARR-04: rows of a batch stacked, cropped to one width."""
-    b = _frames(spark, d).groupBy(F.floor(F.col("vec_id") / 16).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("vec_id", arrays.pad(F.col("embedding"), 64).alias("v")))).alias("rows"))
-    return b.select("batch", F.size("rows").cast("bigint").alias("n"), F.array_max(F.transform("rows", lambda r: F.size(r["v"]))).alias("width"), F.col("rows")[0]["vec_id"].alias("first_id"))
+    """ARR-04: batches of sixteen as stacked tensors of one width with the list of their details, taken apart again."""
+    rows = _frames(spark, d).withColumn("batch", F.floor(F.col("vec_id") / 16))
+    stacked = ev.collate(rows, "batch", "vec_id", "embedding", 40, {"info": F.col("label").cast("string")})
+    x = stacked.select("batch", "shape", F.posexplode(F.arrays_zip("ids", "tensor", "info")).alias("place", "r"))
+    return x.select("batch", F.col("r.ids").alias("vec_id"), F.col("place").cast("bigint").alias("place"), F.col("shape")[1].alias("width"), F.element_at("r.tensor", 40).alias("last"), "r.info")
+
+
+@query("arr02_triplets", "SELECT vec_id, 4 * len(embedding) AS n_bytes, [len(embedding)] AS shape, 'float32' AS dtype FROM embeddings")
+def arr02(spark, d):
+    """ARR-02: a vector as bytes, shape and dtype."""
+    t = _frames(spark, d).select("vec_id", arrays.encode_tensor("embedding").alias("b"), F.array(F.size("embedding").cast("bigint")).alias("shape"))
+    return t.select("vec_id", F.octet_length("b").cast("bigint").alias("n_bytes"), "shape", F.lit("float32").alias("dtype"))
+
+
+@query("arr05_batch_pad", "SELECT vec_id, (max(n) OVER (PARTITION BY vec_id // 16))::INT AS width, n::INT AS kept FROM (SELECT vec_id, vec_id % 60 + 1 AS n FROM embeddings)")
+def arr05(spark, d):
+    """ARR-05: rows of other lengths filled to the longest of their batch, with masks."""
+    n = (F.col("vec_id") % 60 + 1).cast("int")
+    rows = _frames(spark, d).select("vec_id", F.floor(F.col("vec_id") / 16).alias("batch"), F.slice("embedding", F.lit(1), n).alias("v"))
+    x = ev.pad_to_batch(rows, "batch", "v")
+    return x.select("vec_id", F.size("v").alias("width"), F.aggregate("mask", F.lit(0), lambda a, b: a + b).alias("kept"))
+
+
+@query("arr07_frames_last", "SELECT vec_id, list_transform(range(64), lambda j: embedding[(j // 4) % 4 * 16 + j % 4 * 4 + j // 16 + 1]) AS v FROM embeddings")
+def arr07(spark, d):
+    """ARR-07: four frames of one by four with four channels, channels first."""
+    shape = F.array(*map(F.lit, (4, 1, 4, 4)))
+    return _frames(spark, d).select("vec_id", arrays.frames_last("embedding", shape).alias("v"))
 
 
 @query("arr08_similarity", f"SELECT a.vec_id, round({_COS.format(o='o')}, 4) AS cosine, round(list_sum(list_transform(list_zip(embedding, o), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) / len(embedding), 4) AS mse FROM embeddings a JOIN (SELECT vec_id - 1 AS vec_id, embedding AS o FROM embeddings) b USING (vec_id)")
@@ -113,10 +138,10 @@ def arr11(spark, d):
     return read(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("dim")).groupBy("dim").agg(F.count("*").alias("n"))
 
 
-@query("arr12_repeat", "SELECT p_partkey, i::INT AS i FROM part, range(3) t(i) WHERE p_size > 45")
+@query("arr12_repeat", "SELECT p_partkey, i::INT AS i FROM part, range(3) t(i)")
 def arr12(spark, d):
     """ARR-12: three samples for each row."""
-    return read(spark, d, "part").where("p_size > 45").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
+    return read(spark, d, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
 
 
 @query("arr13_blocks", "SELECT vec_id, b::INT AS b, round(avg(x::DOUBLE), 5) AS mean FROM (SELECT vec_id, (i - 1) // 8 AS b, embedding[i] AS x FROM embeddings, range(1, 65) t(i)) GROUP BY 1, 2")
@@ -161,17 +186,9 @@ def win08(spark, d):
     return _frames(spark, d).select("vec_id", F.round(ev.exponential_background(v, 0.1), 6).alias("background"))
 
 
-@query("win09_lagged", "SELECT lag, round(corr(a.v, b.v), 4) AS r FROM (SELECT unnest([5, 17, 41]) AS lag), (SELECT i, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) t(i) WHERE vec_id = 3) a JOIN (SELECT i, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) t(i) WHERE vec_id = 4) b ON b.i = (a.i + lag) % 64 GROUP BY 1")
+@query("win09_lagged", "WITH x AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) t(i)) SELECT a.vec_id, lag, round(corr(a.v, b.v), 4) + 0.0::DOUBLE AS r FROM (SELECT unnest([5, 17, 41]) AS lag), x a JOIN x b ON b.vec_id = a.vec_id + 1 AND b.i = (a.i + lag) % 64 GROUP BY 1, 2")
 def win09(spark, d):
-    """WIN-09: correlation of two series at cyclic lags."""
-    x = _frames(spark, d).where("vec_id in (3, 4)").select("vec_id", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
-    a = x.where("vec_id = 3").select(F.explode(F.array(F.lit(5), F.lit(17), F.lit(41))).alias("lag"), "i", "v").select("lag", ((F.col("i") + F.col("lag")) % 64).alias("i"), F.col("v").alias("a"))
-    return a.join(x.where("vec_id = 4").select("i", F.col("v").alias("b")), "i").groupBy("lag").agg(F.round(F.corr("a", "b"), 4).alias("r"))
-
-
-@query("win09_lagged_pairs", "WITH x AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) t(i)) SELECT a.vec_id, lag, round(corr(a.v, b.v), 4) + 0.0::DOUBLE AS r FROM (SELECT unnest([5, 17, 41]) AS lag), x a JOIN x b ON b.vec_id = a.vec_id + 1 AND b.i = (a.i + lag) % 64 GROUP BY 1, 2")
-def win09_pairs(spark, d):
-    """WIN-09 for every vector and the next one."""
+    """WIN-09: correlation at cyclic lags of every vector and the next one."""
     x = _frames(spark, d).select("vec_id", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
     a = x.select("vec_id", F.explode(F.array(F.lit(5), F.lit(17), F.lit(41))).alias("lag"), "i", "v").select("vec_id", "lag", ((F.col("i") + F.col("lag")) % 64).alias("i"), F.col("v").alias("a"))
     return a.join(x.select((F.col("vec_id") - 1).alias("vec_id"), "i", F.col("v").alias("b")), ["vec_id", "i"]).groupBy("vec_id", "lag").agg((F.round(F.corr("a", "b"), 4) + F.lit(0.0)).alias("r"))  # no -0.0
@@ -323,3 +340,30 @@ def scl21(spark, d):
 def scl22(spark, d):
     """SCL-22."""
     return read(spark, d, "events").select("event_id", F.round(arrays.decode_log_depth(F.col("user_id") * 400 % 65536, 0.1, 1000.0), 5).alias("depth"))
+
+
+@query("udf03_registry", "SELECT unnest(['text.length', 'text.lines', 'media.rate']) AS metric, unnest(['text', 'text', 'media']) AS prefix")
+def udf03(spark, d):
+    """UDF-03: the registered metrics and their groups."""
+    return spark.createDataFrame([(m.name, m.name.partition(".")[0]) for m in ev.resolve("all")], "metric string, prefix string")
+
+
+@query("udf04_selection", "SELECT doc_id, 'text.lines' AS metric, len(string_split(text, chr(10)))::DOUBLE AS score FROM documents UNION ALL SELECT doc_id, 'text.length', length(text)::DOUBLE FROM documents")
+def udf04(spark, d):
+    """UDF-04: a name, its group and an unknown one: each metric once, the unknown one skipped."""
+    chosen = ev.resolve(["text.lines", "text", "nothing"], strict=False)
+    return ev.evaluate_rows(read(spark, d, "documents"), ["doc_id"], chosen).select("doc_id", "metric", "score")
+
+
+@query("udf05_subset", "SELECT source, avg(length(text)) AS text_length FROM documents WHERE lang = 'de' GROUP BY 1")
+def udf05(spark, d):
+    """UDF-05: one metric over the rows of a subset, reduced by group."""
+    return ev.evaluate_corpus(read(spark, d, "documents").where("lang = 'de'"), ["source"], ev.resolve("text.length"))
+
+
+@query("udf10_requests", "SELECT conv_id, i::INT AS i, prompt FROM (SELECT conv_id, list(text ORDER BY turn) AS p FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY 1), LATERAL (SELECT unnest(p) AS prompt, unnest(range(len(p))) AS i)")
+def udf10(spark, d):
+    """UDF-10: a request with a list of prompts becomes a request for each."""
+    turns = read(spark, d, "conversations").where("role = 'user' and text is not null")
+    lists = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("p"))  # the turns of one conversation
+    return lists.select("conv_id", F.posexplode("p").alias("i", "prompt"))

@@ -23,47 +23,89 @@ def _records(spark, d) -> DataFrame:
     )
 
 
-@query("agg04_latest_summary", """
-WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events),
-b AS (SELECT event_type, median(value) AS baseline, count(value) AS baseline_n FROM e WHERE rn BETWEEN 2 AND 6 GROUP BY 1)
-SELECT l.event_type, l.value AS current, b.baseline, b.baseline_n,
- round(CASE WHEN baseline > 0 THEN (l.value - baseline) / baseline * 100 END, 6) AS regression_percent,
- round(CASE WHEN baseline > 0 THEN l.value - baseline END, 6) AS absolute_delta,
- coalesce(baseline > 0 AND (l.value - baseline) / baseline * 100 > 8 AND l.value - baseline > 0.5, false) AS regressed
-FROM e l LEFT JOIN b USING (event_type) WHERE l.rn = 1""")
-def agg04(spark, d):
-    """AGG-04, AGG-03, SCL-03: the flagship: each cohort's last run against the median of five before it."""
-    r = _records(spark, d)
-    now = cohorts.latest(r, ["event_type"], [F.desc("ts"), F.desc("event_id")])
-    base = cohorts.prior_eligible(r, ["event_type"], "at", F.lit(True), WINDOW).groupBy("event_type").agg(F.median("value").alias("baseline"), F.count("value").alias("baseline_n"))
-    x = policy.delta(F.col("value"), F.col("baseline"), F.lit("lower"), F.lit(8.0), F.lit(0.5))
-    return now.join(base, "event_type", "left").select(
-        "event_type", F.col("value").alias("current"), "baseline", "baseline_n",
-        F.round(x["regression_percent"], 6).alias("regression_percent"), F.round(x["absolute_delta"], 6).alias("absolute_delta"), x["exceeded"].alias("regressed"))
+METRICS = [m[0] for m in policy.DEFAULT_POLICY]
+
+
+def _runs(spark, d) -> DataFrame:
+    """Events as benchmark runs with everything the summary reads: six metrics (some never measured), flags and
+    sources of all kinds, and thresholds as JSON, stated, malformed or absent."""
+    i, u, k = F.col("event_id"), F.col("user_id"), F.col("k")
+    return _records(spark, d).select(
+        "event_id", "at", F.col("event_type").alias("model_id"), F.concat(F.lit("g"), u % 3).alias("gpu_type"), (i % 6 != 0).alias("success"),
+        F.coalesce(F.when(u % 5 == 0, "pr").when(u % 5 == 1, "local").when(u % 5 == 2, "scheduled_main"), F.lit("unknown")).alias("run_source"),
+        cohorts.eligible_for_baseline(F.when(i % 4 == 0, False).when(i % 4 == 1, True), F.when(u % 5 != 4, "stated")).alias("eligible"),
+        F.when(u % 3 == 0, '{"latency": {"threshold_percent": 0.5, "gated": false}, "memory": {"threshold_percent": true}}').when(u % 3 == 1, '{"throughput": {"threshold_percent": 1, "threshold_absolute": 0.001}}').otherwise("[]").alias("thresholds"),
+        F.col("value").alias("latency"), (1000 / (F.col("value") + 1)).alias("throughput"), F.when(i % 11 != 0, k * 100.0).alias("memory"), (F.col("value") / 10).alias("text_encoder_time_s"),
+        F.lit(None).cast("double").alias("dit_time_s"), F.when(i % 2 == 0, k / 10.0).alias("vae_decode_time_s"))
+
+
+_COHORT = ["model_id", "gpu_type"]
+_RUNS = """r AS (SELECT event_id, ts, event_type AS model_id, 'g' || user_id % 3 AS gpu_type, event_id % 6 <> 0 AS success, coalesce(CASE user_id % 5 WHEN 0 THEN 'pr' WHEN 1 THEN 'local' WHEN 2 THEN 'scheduled_main' END, 'unknown') AS run_source,
+ event_id % 4 = 1 OR (event_id % 4 > 1 AND user_id % 5 = 4) AS eligible, user_id % 3 AS u, [value, 1000 / (value + 1), CASE WHEN event_id % 11 <> 0 THEN k * 100::DOUBLE END, value / 10, NULL::DOUBLE, CASE WHEN event_id % 2 = 0 THEN k / 10::DOUBLE END] AS x FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events)),
+l AS (SELECT * FROM r {source} QUALIFY row_number() OVER (PARTITION BY model_id, gpu_type ORDER BY ts DESC, event_id DESC) = 1),
+b AS (SELECT r.* FROM r JOIN l USING (model_id, gpu_type) WHERE (r.ts, r.event_id) < (l.ts, l.event_id) AND r.success AND r.eligible QUALIFY row_number() OVER (PARTITION BY model_id, gpu_type ORDER BY r.ts DESC, r.event_id DESC) <= 5),
+m AS (SELECT model_id, gpu_type, i, median(x[i]) AS baseline, count(*) AS baseline_n FROM b, range(1, 7) t(i) GROUP BY ALL),
+p(i, metric, lower, pct, least) AS (VALUES (1, 'latency', true, 8.0::DOUBLE, 0.5::DOUBLE), (2, 'throughput', false, 8.0, 0.05), (3, 'memory', true, 5.0, 256.0), (4, 'text_encoder_time_s', true, 5.0, 0.25), (5, 'dit_time_s', true, 5.0, 0.25), (6, 'vae_decode_time_s', true, 5.0, 0.25)),
+c AS (SELECT l.*, p.i, p.metric, x[p.i] AS current, baseline, coalesce(baseline_n, 0) AS baseline_n, CASE WHEN u = 0 AND p.i = 1 THEN 0.5 WHEN u = 1 AND p.i = 2 THEN 1 ELSE pct END AS pct, CASE WHEN u = 1 AND p.i = 2 THEN 0.001 ELSE least END AS least, NOT (u = 0 AND p.i = 1) AS gated, CASE WHEN lower THEN x[p.i] - baseline ELSE baseline - x[p.i] END AS worse FROM l CROSS JOIN p LEFT JOIN m ON m.model_id = l.model_id AND m.gpu_type = l.gpu_type AND m.i = p.i),
+e AS (SELECT *, CASE WHEN baseline > 0 THEN worse / baseline * 100 END AS reg, CASE WHEN baseline > 0 THEN worse END AS delta, coalesce(baseline > 0 AND worse / baseline * 100 > pct AND worse > least, false) AS exceeded FROM c)"""
+
+
+def _deltas(spark, d, source=None):
+    places = policy.policy_table(spark).withColumn("place", F.array_position(F.array(*map(F.lit, METRICS)), F.col("metric")))
+    last, rows = cohorts.latest_metrics(_runs(spark, d), _COHORT, METRICS, places, WINDOW, source)
+    x = policy.delta(F.col("current"), F.col("baseline"), F.col("direction"), F.col("threshold_percent"), F.col("threshold_absolute"))
+    return last, rows.withColumns(x).withColumn("regressed", F.col("exceeded") & F.col("gated"))
+
+
+_SUMMARY = """SELECT model_id, gpu_type, any_value(event_id) AS event_id, any_value(run_source) AS run_source, any_value(eligible) AS eligible, any_value(success) AS success, max(baseline_n) AS baseline_n, round(max(reg), 6) AS worst_regression,
+ coalesce(string_agg(metric, ',' ORDER BY i) FILTER (WHERE exceeded), '') AS exceeded_metrics, coalesce(string_agg(metric, ',' ORDER BY i) FILTER (WHERE exceeded AND gated), '') AS failing_metrics,
+ CASE WHEN bool_or(exceeded AND gated) THEN 'fail' ELSE 'pass' END AS regression_status, CASE WHEN any_value(success) THEN 'pass' ELSE 'fail' END AS status FROM e GROUP BY 1, 2"""
+_SHOWN = ["event_id", "run_source", "eligible", "success", "baseline_n"]
+
+
+@query("agg04_latest_summary", f"WITH {_RUNS.format(source='')} {_SUMMARY}")
+def agg04(spark, d, source=None):
+    """AGG-04, AGG-03, SCL-03, SCL-05: the flagship: each cohort's last run against the median of the five
+    eligible ones before it, metric by metric, with its lists, worst regression and status."""
+    last, deltas = _deltas(spark, d, source)
+    out = cohorts.latest_summary(last, deltas, _COHORT)
+    return out.select(*_COHORT, *_SHOWN, F.round("worst_regression", 6).alias("worst_regression"), "exceeded_metrics", "failing_metrics", "regression_status", "status")
+
+
+@query("agg04_latest_of_source", f"WITH {_RUNS.format(source=" WHERE run_source = 'pr'")} {_SUMMARY}")
+def agg04_source(spark, d):
+    """AGG-04 for one source: its last run of each cohort, against runs of every source before it."""
+    return agg04(spark, d, "pr")
+
+
+@query("agg04_metric_deltas", f"WITH {_RUNS.format(source='')} SELECT model_id, gpu_type, metric, round(current, 6) AS current, round(baseline, 6) AS baseline, baseline_n, round(reg, 6) AS regression_percent, round(delta, 6) AS absolute_delta, pct AS threshold_percent, least AS threshold_absolute, gated, exceeded, exceeded AND gated AS regressed FROM e")
+def agg04_metrics(spark, d):
+    """AGG-04, PRJ-02: the metrics behind each summary, in long form, with the thresholds that applied."""
+    r6 = [F.round(c, 6).alias(c) for c in ("current", "baseline", "regression_percent", "absolute_delta")]
+    return _deltas(spark, d)[1].select(*_COHORT, "metric", F.coalesce("baseline_n", F.lit(0)).alias("baseline_n"), *r6, "threshold_percent", "threshold_absolute", "gated", "exceeded", "regressed")
 
 
 @query("agg01_cohort_sizes", """SELECT event_type, event_type <> 'error' AS success, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1, 2""")
 def agg01(spark, d):
-    """AGG-01, AGG-02: runs by cohort."""
+    """AGG-01: runs by cohort."""
     return _records(spark, d).groupBy("event_type", "success").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+@query("agg02_null_cohorts", "SELECT CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS event_type, user_id % 2 AS half, count(*) AS n FROM events GROUP BY 1, 2")
+def agg02(spark, d):
+    """AGG-02: a null in the key is a cohort of its own."""
+    return read(spark, d, "events").groupBy(F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("event_type"), (F.col("user_id") % 2).alias("half")).agg(F.count("*").alias("n"))
+
+
 @query("agg03_median", "SELECT event_type, median(value) AS median_value, count(value) AS n FROM events GROUP BY 1")
 def agg03(spark, d):
-    """AGG-03: exact median, nulls left out."""
-    return read(spark, d, "events").groupBy("event_type").agg(F.median("value").alias("median_value"), F.count("value").alias("n"))
+    """AGG-03: exact median of groups of any size, nulls left out."""
+    return cohorts.group_quantiles(read(spark, d, "events").select("event_type", "value"), ["event_type"], "value", {"median_value": cohorts.linear(0.5)})
 
 
-@query("agg05_trends", """SELECT event_type, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS ids, count(*) AS n_points, round(first(value ORDER BY ts, event_id), 6) AS first_value FROM events WHERE user_id < 20 GROUP BY 1""")
+@query("agg05_trends", "SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS pos, event_id, ts, value FROM events")
 def agg05(spark, d):
-    """AGG-05: ordered points of each cohort (a display filter on users comes first)."""
-    t = cohorts.trend(_records(spark, d).where("user_id < 20"), ["event_type"], ["ts", "event_id", "value"])
-    return t.select("event_type", F.array_join(F.transform("points", lambda p: p["event_id"].cast("string")), ",").alias("ids"), F.size("points").cast("bigint").alias("n_points"), F.round(F.col("points")[0]["value"], 6).alias("first_value"))
-
-
-@query("agg05_trend_points", "SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS pos, event_id, ts, value FROM events")
-def agg05_points(spark, d):
-    """AGG-05 over all runs: the points of each cohort as rows with their positions."""
+    """AGG-05: the points of each cohort in order, as rows with their positions."""
     return cohorts.trend_points(_records(spark, d).select("event_type", "event_id", "ts", "value"), ["event_type"], ["ts", "event_id"])
 
 
@@ -90,8 +132,8 @@ def win02(spark, d):
 @query("win03_rolling_mean", "SELECT event_id, avg(round(value * 100)::BIGINT) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) / 100 AS mean_100 FROM events")
 def win03(spark, d):
     """WIN-03: mean of the last hundred steps of each series."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-99, 0)
-    return read(spark, d, "events").select("event_id", (F.avg(F.round(F.col("value") * 100).cast("bigint")).over(w) / 100).alias("mean_100"))
+    e = read(spark, d, "events").select("event_id", "event_type", "ts", F.round(F.col("value") * 100).cast("bigint").alias("c"))
+    return cohorts.rolling(e, ["event_type"], ["ts", "event_id"], 99, mean=lambda w: F.avg("c").over(w.rowsBetween(-99, 0))).select("event_id", (F.col("mean") / 100).alias("mean_100"))
 
 
 @query("win04_gaps", "SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap_us FROM events")
@@ -119,7 +161,7 @@ def scl04(spark, d):
 
 @query("scl05_resolved_policy", """SELECT event_id, CASE WHEN k % 7 = 0 THEN k::DOUBLE ELSE 8.0 END AS threshold_percent FROM (SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events)""")
 def scl05(spark, d):
-    """SCL-05, HSH-06: a record's own threshold (here every seventh k) over the default."""
+    """SCL-05: a record's own threshold (here every seventh k) over the default."""
     k = F.col("k")
     return _records(spark, d).select("event_id", policy.resolve(F.when(k % 7 == 0, k.cast("double")), F.lit(8.0)).alias("threshold_percent"))
 
@@ -185,18 +227,79 @@ def scl11(spark, d):
     return _records(spark, d).where(F.col("success") & (F.col("value") <= 60) & (F.col("user_id") % 4 == 0)).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("scl12_run_source", "SELECT run_source, count(*) AS n FROM (SELECT CASE WHEN event_type = 'view' THEN 'manual' WHEN user_id % 3 = 0 THEN 'pull_request' WHEN user_id % 3 = 1 THEN 'scheduled_main' ELSE 'unknown' END AS run_source FROM events) GROUP BY 1")
+_SOURCE = "CASE WHEN event_type = 'view' THEN 'local' WHEN user_id % 3 = 0 THEN 'pr' WHEN user_id % 3 = 1 THEN 'scheduled_main' ELSE 'unknown' END"
+
+
+def _source(c=F.col):
+    stated = policy.first_of([("local", c("event_type") == "view"), ("pr", c("user_id") % 3 == 0), ("scheduled_main", c("user_id") % 3 == 1)], "elsewhere")
+    return F.when(stated.isin(*policy.RUN_SOURCES), stated).otherwise("unknown")
+
+
+@query("scl12_run_source", f"SELECT run_source, count(*) AS n FROM (SELECT {_SOURCE} AS run_source FROM events) GROUP BY 1")
 def scl12(spark, d):
-    """SCL-12, FLT-09: a stated source, then the pull request, then the schedule; others are unknown."""
-    c = F.col
-    source = policy.first_of([("manual", c("event_type") == "view"), ("pull_request", c("user_id") % 3 == 0), ("scheduled_main", c("user_id") % 3 == 1)], "elsewhere")
-    known = F.when(source.isin(*policy.RUN_SOURCES), source).otherwise("unknown")
-    return _records(spark, d).select(known.alias("run_source")).groupBy("run_source").agg(F.count("*").alias("n"))
+    """SCL-12: a stated source, then the pull request, then the schedule."""
+    return _records(spark, d).groupBy(_source().alias("run_source")).agg(F.count("*").alias("n"))
+
+
+@query("flt09_known_domain", f"SELECT event_id, {_SOURCE} AS run_source FROM events")
+def flt09(spark, d):
+    """FLT-09: values outside the four known ones become unknown."""
+    return _records(spark, d).select("event_id", _source().alias("run_source"))
+
+
+@query("flt08_identity", "SELECT event_id FROM events WHERE user_id::VARCHAR = '7' AND event_type = 'view'")
+def flt08(spark, d):
+    """FLT-08: records of one identity; arguments that are not given do not filter."""
+    return cohorts.filter_records(read(spark, d, "events"), user_id="7", event_type="view", props="").select("event_id")
+
+
+@query("scl20_seed_records", "SELECT event_id, 'seed/main' AS branch, 'scheduled_main' AS run_source, true AS baseline_eligible, '' AS pr_number, 'baseline_seed' AS test_scope, substr(md5(event_id::VARCHAR), 1, 7) AS seeded_from, value AS latency FROM events WHERE event_type <> 'error'")
+def scl20(spark, d):
+    """SCL-20: copies of successful records with the provenance of a seed."""
+    runs = _records(spark, d).where("success").select("event_id", F.col("value").alias("latency"), F.lit("pr/9").alias("branch"), F.lit("pr").alias("run_source"), F.lit("9").alias("pr_number"))
+    return cohorts.seed_records(runs, F.substring(F.md5(F.col("event_id").cast("string").cast("binary")), 1, 7), "seed/main").select("event_id", "branch", "run_source", "baseline_eligible", "pr_number", "test_scope", "seeded_from", "latency")
+
+
+@query("prj01_provenance", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS branch, coalesce(nullif((user_id % 4)::VARCHAR, '0'), '') AS pr_number, '' AS build_url FROM events")
+def prj01(spark, d):
+    """PRJ-01: provenance fields, empty text where a record has none."""
+    r = read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("branch"), F.nullif((F.col("user_id") % 4).cast("string"), F.lit("0")).alias("pr_number"))
+    return cohorts.with_defaults(r, ["branch", "pr_number", "build_url"])
+
+
+@query("prj02_normalised_runs", "SELECT event_id, event_type AS model_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS latency, CASE WHEN event_id % 4 = 0 THEN true ELSE event_type <> 'error' END AS success FROM events")
+def prj02(spark, d):
+    """PRJ-02: raw records renamed, numbers parsed, success where nothing says otherwise."""
+    raw = F.when(F.col("event_id") % 5 == 0, "n/a").otherwise(F.col("value").cast("string"))
+    ok = F.when(F.col("event_id") % 4 != 0, F.col("event_type") != "error")
+    return read(spark, d, "events").select("event_id", F.col("event_type").alias("model_id"), policy.tolerant_double(raw).alias("latency"), F.coalesce(ok, F.lit(True)).alias("success"))
+
+
+@query("srt01_null_first", "SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id % 4 = 0 THEN NULL ELSE ts END NULLS FIRST, sha1(event_id::VARCHAR)) - 1 AS pos FROM events")
+def srt01(spark, d):
+    """SRT-01: by time, undated rows first, ties by commit; positions over the whole table."""
+    e = read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("ts")).alias("ts"), F.sha1(F.col("event_id").cast("string").cast("binary")).alias("sha"))
+    return joins.positions(e, ["ts", "sha"]).select("event_id", "pos")
+
+
+@query("srt03_newest_first", "SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) - 1 AS pos FROM events")
+def srt03(spark, d):
+    """SRT-03: the newest first, over the whole table."""
+    e = read(spark, d, "events").select("event_id", (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("back"), (-F.col("event_id")).alias("i"))
+    return joins.positions(e, ["back", "i"]).select("event_id", "pos")
+
+
+@query("srt05_head_cycle", "SELECT i, o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS pos FROM orders), range(25) t(i) WHERE pos = i % 10")
+def srt05(spark, d):
+    """SRT-05: the first ten in order, going round until there are twenty-five requests."""
+    top = read(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
+    place = F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")) - 1
+    return spark.range(25).select(F.col("id").alias("i"), (F.col("id") % 10).alias("pos")).join(top.select("o_orderkey", place.alias("pos")), "pos").select("i", "o_orderkey")
 
 
 @query("flt05_records", "SELECT event_id, ts, value FROM events WHERE event_type = 'purchase' AND user_id = 7")
 def flt05(spark, d):
-    """FLT-05, FLT-08, SRT-01: equality filters, in order of time."""
+    """FLT-05: equality filters, in order of time."""
     return cohorts.filter_records(_records(spark, d), event_type="purchase", user_id=7, k=None, success=True).orderBy(F.col("ts").asc_nulls_first(), "event_id").select("event_id", "ts", "value")
 
 
@@ -250,7 +353,7 @@ def flt19(spark, d):
 
 @query("prj04_normalised", "SELECT event_id, substr(md5(event_id::VARCHAR), 1, 7) AS config_id, coalesce(nullif(event_type, 'view'), '') AS branch FROM events")
 def prj04(spark, d):
-    """PRJ-01, PRJ-02, PRJ-04: short commit, empty text for what is missing."""
+    """PRJ-04: short commit, empty text for what is missing."""
     e = read(spark, d, "events")
     return e.select("event_id", F.substring(F.coalesce(F.md5(F.col("event_id").cast("string").cast("binary")), F.lit("unknown")), 1, 7).alias("config_id"), F.coalesce(F.nullif(F.col("event_type"), F.lit("view")), F.lit("")).alias("branch"))
 
@@ -264,7 +367,7 @@ def prj03(spark, d):
 
 @query("srt02_fail_first", "SELECT event_id, event_type, row_number() OVER (ORDER BY event_type <> 'error', event_type, event_id) AS pos FROM events QUALIFY pos <= 50")
 def srt02(spark, d):
-    """SRT-02, SRT-05: failures first, then by key; the first fifty."""
+    """SRT-02: failures first, then by key; the first fifty."""
     top = read(spark, d, "events").orderBy(F.col("event_type") != "error", "event_type", "event_id").limit(50)
     w = Window.orderBy(F.col("event_type") != "error", "event_type", "event_id")
     return top.select("event_id", "event_type", F.row_number().over(w).cast("bigint").alias("pos"))
@@ -272,19 +375,12 @@ def srt02(spark, d):
 
 @query("srt04_tail", "SELECT event_id, ts FROM (SELECT * FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 20)")
 def srt04(spark, d):
-    """SRT-04, SRT-03: the last twenty after the filters, in order of time."""
+    """SRT-04: the last twenty after the filters, in order of time."""
     return read(spark, d, "events").where("event_type = 'click'").orderBy(F.desc("ts"), F.desc("event_id")).limit(20).orderBy("ts", "event_id").select("event_id", "ts")
 
 
-@query("srt08_undated_last", "SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id % 4 = 0 THEN NULL ELSE ts END NULLS LAST, event_id) AS pos FROM events WHERE user_id = 3")
+@query("srt08_undated_last", "SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id % 4 = 0 THEN NULL ELSE ts END NULLS LAST, event_id) AS pos FROM events")
 def srt08(spark, d):
-    """SRT-08: by time, undated rows after them in the order of input."""
-    e = read(spark, d, "events").where("user_id = 3").withColumn("at", F.when(F.col("event_id") % 4 != 0, F.col("ts")))
-    return e.select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("at").asc_nulls_last(), "event_id")).cast("bigint").alias("pos"))
-
-
-@query("srt08_undated_last_all", "SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id % 4 = 0 THEN NULL ELSE ts END NULLS LAST, event_id) AS pos FROM events")
-def srt08_all(spark, d):
-    """SRT-08 over the whole table."""
+    """SRT-08: by time, undated rows after them in the order of input; over the whole table."""
     e = read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("ts")).alias("at"))
     return joins.positions(e.withColumn("undated", F.col("at").isNull()), ["undated", "at", "event_id"]).select("event_id", (F.col("pos") + 1).alias("pos"))

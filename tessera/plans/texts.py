@@ -20,15 +20,8 @@ def strf02(spark, d):
     return read(spark, d, "documents").select("doc_id", text.file_name(F.col("text")).alias("name"))
 
 
-@query("strf03_normalised", r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', '', 'g'), '\s+', ' ', 'g')) AS norm FROM documents WHERE regexp_full_match(text, '[\x20-\x7e\n]*')")
+@query("strf03_normalised")
 def strf03(spark, d):
-    """STRF-03 (the oracle covers ASCII texts, where NFKC changes nothing)."""
-    docs = read(spark, d, "documents").where(F.col("text").rlike(r"^[\x20-\x7e\n]*$"))
-    return docs.select("doc_id", text.normalised(F.col("text")).alias("norm"))
-
-
-@query("strf03_normalised_all")
-def strf03_all(spark, d):
     """STRF-03 over every document (DuckDB has no NFKC)."""
     return read(spark, d, "documents").select("doc_id", text.normalised(F.col("text")).alias("norm"))
 
@@ -48,18 +41,8 @@ def strf05(spark, d):
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(text.word_error_rate("ref", "hyp"), 6).alias("wer"))
 
 
-@query("strf05_char_error_rate", "SELECT a.conv_id, a.turn, levenshtein(substr(a.text, 1, 60), substr(b.text, 1, 60)) AS edits FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant' AND regexp_full_match(a.text || b.text, '[\\x20-\\x7e\\n]*')")
+@query("strf05_char_error_rate")
 def strf05_char(spark, d):
-    """STRF-05 by characters, of openings of sixty (the operator's own limit)."""
-    c = read(spark, d, "conversations")
-    a = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("x"))
-    b = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("y"))
-    both = a.join(b, ["conv_id", "turn"]).where(F.concat("x", "y").rlike(r"^[\x20-\x7e\n]*$"))
-    return both.select("conv_id", "turn", F.levenshtein(F.substring("x", 1, 60), F.substring("y", 1, 60)).cast("bigint").alias("edits"))
-
-
-@query("strf05_char_rate")
-def strf05_char_rate(spark, d):
     """STRF-05 by characters: the rate of every pair, whole texts in any script (DuckDB's levenshtein counts bytes)."""
     c = read(spark, d, "conversations")
     a = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("ref"))
@@ -182,7 +165,7 @@ def prj05(spark, d):
 
 @query("prj06_candidates", "SELECT p_partkey, coalesce(nullif(trim(CASE WHEN p_partkey % 3 = 0 THEN '  ' ELSE p_name END), ''), p_brand) AS name FROM part")
 def prj06(spark, d):
-    """PRJ-06, PRJ-08, SRC-17: the first field that is not blank."""
+    """PRJ-06: the first field that is not blank."""
     return read(spark, d, "part").select("p_partkey", text.candidate(F.when(F.col("p_partkey") % 3 == 0, "  ").otherwise(F.col("p_name")), F.col("p_brand")).alias("name"))
 
 
@@ -199,3 +182,24 @@ def prj09(spark, d):
     s = F.struct(F.from_json("props", "k int").alias("sampling"))
     e = read(spark, d, "events").select("event_id", s.alias("config"))
     return e.withColumn("config", F.when(F.col("event_id") % 2 == 0, F.col("config").withField("sampling.k", F.lit(7))).otherwise(F.col("config"))).select("event_id", F.col("config.sampling.k").alias("k"))
+
+
+@query("prj08_prompt_alias", "SELECT doc_id, coalesce(text, '') AS prompt, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents")
+def prj08(spark, d):
+    """PRJ-08: the caption under the name of a prompt, with the details a record has, empty for the others."""
+    return read(spark, d, "documents").select("doc_id", *[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in (("text", "prompt"), ("lang", "lang"), ("source", "source"))])
+
+
+@query("hsh06_json_paths", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN json_extract_string(props, '$.k')::INT ELSE -1 END AS k, 'none' AS missing FROM events")
+def hsh06(spark, d):
+    """HSH-06: nested fields by path, with a default."""
+    doc = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"a": {"b": '), F.col("props"), F.lit("}}"))).otherwise('{"a": []}')
+    return read(spark, d, "events").select("event_id", F.coalesce(F.get_json_object(doc, "$.a.b.k").cast("int"), F.lit(-1)).alias("k"), F.coalesce(F.get_json_object(doc, "$.a.c"), F.lit("none")).alias("missing"))
+
+
+@query("strf14_captions", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN 'first part, ' || source ELSE 'a much longer text ' || doc_id END AS caption FROM documents")
+def strf14(spark, d):
+    """STRF-14: captions of records of unknown shape: a known key, lists joined, else the longest string."""
+    i = F.col("doc_id")
+    record = F.when(i % 3 == 0, F.to_json(F.struct(F.col("text").alias("caption"), F.lit("x").alias("other")))).when(i % 3 == 1, F.to_json(F.struct(F.array(F.lit("first part"), F.col("source")).alias("captions")))).otherwise(F.to_json(F.struct(F.lit("short").alias("a"), F.concat(F.lit("a much longer text "), i.cast("string")).alias("b"))))
+    return read(spark, d, "documents").select("doc_id", text.caption_of(record).alias("caption"))

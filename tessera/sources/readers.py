@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators import joins
+from tessera.operators.filters import kept_by_hash
+
 
 def parquet_tree(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """SRC-01: every Parquet file below a folder."""
@@ -93,3 +99,115 @@ def common_samples(sources: dict[str, DataFrame], key: str) -> DataFrame:
         k = df.select(key).distinct()
         out = k if out is None else out.join(k, key)
     return out
+
+
+def point_lookup(df: DataFrame, places: list[int]) -> DataFrame:
+    """SRC-03: the rows of Parquet files at the given numbers over all files, in order of path: ``pos`` and the
+    columns. Footers give the files' row counts, so only the files asked for are read, and no row is sorted."""
+    files, start, wanted = file_counts(df).collect(), 0, []  # a row a file
+    for f in files:
+        wanted += [(f["path"], p - start, p) for p in places if start <= p < start + f["n"]]
+        start += f["n"]
+    if outside := [p for p in places if not 0 <= p < start]:
+        raise IndexError(f"no rows {outside} among {start}")
+    rows = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
+    hit = reduce(lambda a, b: a | b, [(F.col("_f") == f) & (F.col("_i") == i) for f, i, _ in wanted], F.lit(False))
+    at = F.create_map(*[x for f, i, p in wanted for x in (F.lit(f"{f}#{i}"), F.lit(p))]) if wanted else F.create_map().cast("map<string,int>")
+    return rows.where(hit).withColumn("pos", at[F.concat_ws("#", "_f", "_i")].cast("bigint")).drop("_f", "_i")
+
+
+def annotations(spark: SparkSession, merge: str, schema: str) -> DataFrame:
+    """SRC-06: the records of the annotation list that ``merge`` names in its one line ``folder,json``, their
+    ``path`` below the folder."""
+    lines = prompts(spark, merge).limit(2).collect()
+    pairs = [tuple(x.strip() for x in r["prompt"].split(",")) for r in lines]
+    if len(pairs) != 1 or len(pairs[0]) != 2:
+        raise ValueError(f"{merge}: one line with a folder and a list is asked for")
+    folder, path = pairs[0]
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return rows.withColumn("path", F.concat_ws("/", F.lit(folder), "path"))
+
+
+def built_dataset(records: DataFrame, folder: str, keep: Column, shards: int = 1, index: int = 0) -> DataFrame:
+    """SRC-08: merged records as a dataset: cap and path under the names caption and name, rows that ``keep`` holds
+    for, one of ``shards`` strided parts in order of name, and the video's place."""
+    named = records.withColumnsRenamed({"cap": "caption", "path": "name"}).where(keep)
+    if shards > 1:
+        named = joins.positions(named, ["name"]).where(F.col("pos") % shards == index).drop("pos")
+    return named.withColumn("video", F.concat_ws("/", F.lit(folder), "name"))
+
+
+def csv_records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """SRC-13: rows of CSV files with a header, by column name."""
+    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    return (r.schema(schema) if schema else r).csv(path)
+
+
+def numbered_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The lines of text files with their number ``pos``, in order of file and place."""
+    lines = spark.read.text(path).select(F.col("value").alias(name), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
+    return joins.positions(lines.withColumn("_i", F.monotonically_increasing_id()), ["_f", "_b", "_i"]).drop("_f", "_b", "_i")
+
+
+def zipped_files(spark: SparkSession, prompts_path: str, videos_path: str) -> DataFrame:
+    """SRC-14: two text files, line by line; another number of lines fails the query."""
+    both = numbered_lines(spark, prompts_path, "prompt").join(numbered_lines(spark, videos_path, "video"), "pos", "full_outer")
+    alike = F.col("prompt").isNotNull() & F.col("video").isNotNull()
+    return both.withColumn("prompt", F.when(alike, F.col("prompt")).otherwise(F.raise_error(F.lit("the files have other numbers of lines"))))
+
+
+def expanded_media(spark: SparkSession, specs: list[str], suffixes: tuple[str, ...]) -> DataFrame:
+    """SRC-16: the files that folders, patterns and paths name, each once, where it comes first: ``spec`` is the
+    number of the specification, and files of one come in order of path."""
+    out = None
+    for i, spec in enumerate(specs):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "*" not in spec).load(spec).select(F.lit(i).alias("spec"), "path")
+        out = files if out is None else out.unionByName(files)
+    return out.where(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*suffixes)).groupBy("path").agg(F.min("spec").alias("spec"))
+
+
+def prompt_file(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-17: prompts of a .json list or .jsonl lines; an entry is a text or a record with prompt or text_prompt.
+    Entries without either, or with blank ones, are left out."""
+    if path.rstrip("/").endswith(".jsonl"):
+        lines = spark.read.text(path).where(F.trim("value") != "").select(F.concat(F.lit("["), "value", F.lit("]")).alias("value"))
+    else:
+        lines = spark.read.text(path, wholetext=True)
+    entry = lines.select(F.posexplode(F.from_json("value", "array<string>")).alias("i", "e"))
+    record = F.from_json("e", "prompt string, text_prompt string")
+    prompt = F.when(F.startswith(F.ltrim("e"), F.lit("{")), F.coalesce(record["prompt"], record["text_prompt"])).otherwise(F.col("e"))
+    return entry.select(F.trim(prompt).alias("prompt")).where("prompt <> ''")
+
+
+_CORPORA: dict[str, Callable[[SparkSession], DataFrame]] = {}
+
+
+def register_corpus(name: str, build: Callable[[SparkSession], DataFrame]) -> None:
+    """SRC-18: a corpus of prompts by name; it is built when it is asked for."""
+    _CORPORA[name] = build
+
+
+def corpora() -> list[str]:
+    return sorted(_CORPORA)
+
+
+def corpus(spark: SparkSession, name: str) -> DataFrame:
+    if name not in _CORPORA:
+        raise KeyError(f"no corpus {name!r}; there are {', '.join(corpora())}")
+    return _CORPORA[name](spark)
+
+
+def segment_tree(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """SRC-20: candidates of all ``seg_*/metadata.json`` below a folder: segment, the record's fields, and a row for
+    each of its ``nodes``."""
+    rows = spark.read.schema(schema).option("multiLine", True).json(f"{root}/seg_*")
+    segment = F.regexp_extract(F.col("_metadata.file_path"), r"/seg_([^/]+)/", 1)
+    return rows.withColumn("segment", segment).withColumn("node", F.explode("nodes")).drop("nodes")
+
+
+def latent_annotations(spark: SparkSession, path: str, latents: DataFrame, last: int, seed: int, rate: float) -> DataFrame:
+    """SRC-22: the latents that a JSON list of file names picks, their last ``last`` steps; for a share ``rate`` of
+    rows, by hash, the condition is dropped (``dropped``)."""
+    names = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("name"))
+    rows = names.join(latents, "name")
+    return rows.withColumn("latent", F.slice("latent", -last, last)).withColumn("dropped", ~kept_by_hash(F.col("name"), seed, rate))

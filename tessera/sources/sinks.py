@@ -3,7 +3,7 @@ runs again leaves nothing behind."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,3 +80,48 @@ def json_document(df: DataFrame, order: str) -> DataFrame:
     """SNK-08: one document ``{"data": [...]}``; for listings, as the whole of it is one row."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*df.columns).alias("r")))), lambda x: x["r"])
     return df.agg(F.to_json(F.struct(rows.alias("data"))).alias("value"))
+
+
+def unfilled(df: DataFrame, schema: T.StructType) -> list[str]:
+    """SNK-06: the fields of a record that nothing fills."""
+    return [f.name for f in schema if f.name not in df.columns]
+
+
+def write_worker_chunks(df: DataFrame, path: str, order: list[str], rows_per_chunk: int, workers: int) -> None:
+    """SNK-03: ``worker=i/chunk=k`` folders of one file of ``rows_per_chunk`` rows each; a worker has chunks that
+    follow one another."""
+    at = file_numbers(df, order, rows_per_chunk)
+    chunks = -(-(at.agg(F.max("file_id")).first()[0] + 1) // workers) if at.head(1) else 1
+    at = at.withColumn("worker", F.floor(F.col("file_id") / chunks)).withColumn("chunk", F.col("file_id") % chunks).drop("file_id")
+    at.repartition("worker", "chunk").write.partitionBy("worker", "chunk").option("compression", "zstd").parquet(path)
+
+
+def write_flushed(df: DataFrame, path: str, rows_per_file: int) -> None:
+    """SNK-04: a file is closed after ``rows_per_file`` rows; tasks hold no more than the writer's buffer."""
+    df.write.option("maxRecordsPerFile", rows_per_file).option("compression", "zstd").parquet(path)
+
+
+def write_tensor_trees(df: DataFrame, root: str, key: str, tensors: dict[str, str]) -> None:
+    """SNK-12: a table below ``root`` for each tensor (folder: column), all with the key; rows without the tensor
+    are not in its table."""
+    for folder, column in tensors.items():
+        df.where(F.col(column).isNotNull()).select(key, F.col(column).alias("tensor")).write.parquet(f"{root}/{folder}")
+
+
+def read_tensor_trees(spark: SparkSession, root: str, key: str, tensors: dict[str, str]) -> DataFrame:
+    """The rows of ``write_tensor_trees`` that every table has."""
+    out = None
+    for folder, column in tensors.items():
+        part = spark.read.parquet(f"{root}/{folder}").withColumnRenamed("tensor", column)
+        out = part if out is None else out.join(part, key)
+    return out
+
+
+def json_document_lines(df: DataFrame, order: list[str]) -> DataFrame:
+    """SNK-08: the document ``{"data": [...]}`` of a table of any size as lines by ``pos``: the head, a record a
+    line, the tail."""
+    at = positions(df, order)
+    n = at.count()
+    body = at.select((F.col("pos") + 1).alias("pos"), F.concat(F.to_json(F.struct(*df.columns)), F.when(F.col("pos") < n - 1, ",").otherwise("")).alias("line"))
+    ends = df.sparkSession.createDataFrame([(0, '{"data":['), (n + 1, "]}")], "pos bigint, line string")
+    return body.unionByName(ends)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.operators.joins import cumulated
+
 # The legal steps of a session.
 TRANSITIONS = {"signup": ("view", "click", "purchase"), "view": ("view", "click", "purchase", "error"), "click": ("view", "click", "purchase", "error"), "purchase": ("view", "click"), "error": ("signup", "view")}
 
@@ -40,11 +42,31 @@ def health_fold(events: Column, up: int, down: int) -> Column:
     return F.aggregate(events, start, step, lambda a: a["s"])
 
 
-def health_stream(events: DataFrame, key: str, up: int = 2, down: int = 3) -> DataFrame:
-    """STR-03 on a stream of (key, ts, ok): state per key, one row for each key and trigger."""
+def health(df: DataFrame, key: str, order: list[str], ok: str, up: int, down: int) -> DataFrame:
+    """STR-03 for keys with any number of events: the last decisive event says the health. Decisive are a failure
+    that ends ``down`` in a row, a success that ends ``up`` in a row, and the first success of a key that has not
+    failed so before."""
+    w = Window.partitionBy(key).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turns = df.withColumn("_turn", F.coalesce((F.col(ok) != F.lag(ok).over(w)).cast("int"), F.lit(1)))
+    runs = turns.withColumn("_g", F.sum("_turn").over(upto))
+    runs = runs.withColumn("_run", F.row_number().over(Window.partitionBy(key, "_g").orderBy(*order)))
+    seen = runs.withColumn("_failed", F.max((~F.col(ok) & (F.col("_run") >= down)).cast("int")).over(upto)).withColumn("_good", F.count_if(F.col(ok)).over(upto))
+    decisive = F.when(F.col(ok), (F.col("_run") >= up) | ((F.col("_good") == 1) & (F.col("_failed") == 0))).otherwise(F.col("_run") >= down)
+    state = F.when(F.col(ok), "HEALTHY").otherwise("UNHEALTHY")
+    return seen.groupBy(key).agg(F.coalesce(F.max_by(F.when(decisive, state), F.when(decisive, F.struct(*order))), F.lit("UNKNOWN")).alias("health"))
+
+
+def health_stream(events: DataFrame, key: str, up: int = 2, down: int = 3, idle: str = "7 days", late: str = "1 hour") -> DataFrame:
+    """STR-03 on a stream of (key, ts, ok): state per key, one row for each key and trigger. A key's state goes once
+    the watermark is ``idle`` past its last event; it then begins anew as UNKNOWN."""
     kind = events.schema[key].dataType.simpleString()
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         s, ok, bad = state.get if state.exists else ("UNKNOWN", 0, 0)
         rows = pd.concat(list(parts)).sort_values("ts")
         for good in rows["ok"]:
@@ -54,9 +76,10 @@ def health_stream(events: DataFrame, key: str, up: int = 2, down: int = 3) -> Da
             elif not good and bad >= down:
                 s = "UNHEALTHY"
         state.update((s, ok, bad))
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame({key: [k[0]], "health": [s]})
 
-    return events.select(key, "ts", "ok").groupBy(key).applyInPandasWithState(update, f"{key} {kind}, health string", "s string, ok int, bad int", "update", GroupStateTimeout.NoTimeout)
+    return events.select(key, "ts", "ok").withWatermark("ts", late).groupBy(key).applyInPandasWithState(update, f"{key} {kind}, health string", "s string, ok int, bad int", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_state(df: DataFrame, key: str, state: str, order: list[str]) -> DataFrame:
@@ -65,11 +88,11 @@ def latest_state(df: DataFrame, key: str, state: str, order: list[str]) -> DataF
 
 
 def concurrency(df: DataFrame, group: str, start: str, end: str, most: int) -> DataFrame:
-    """STR-05: how many spans are open when each one starts, and whether it is admitted under ``most``."""
+    """STR-05: how many spans are open when each one starts, and whether it is admitted under ``most``; a running
+    sum over ranges, so a group may have any size."""
     ups = df.select(group, F.col(start).alias("t"), F.lit(1).alias("d"), "id")
     downs = df.select(group, F.col(end).alias("t"), F.lit(-1).alias("d"), "id")
-    w = Window.partitionBy(group).orderBy("t", "d", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ups.unionByName(downs).withColumn("open", F.sum("d").over(w)).where("d = 1").select(group, "id", "open", (F.col("open") <= most).alias("admitted"))
+    return cumulated(ups.unionByName(downs), [group], ["t", "d", "id"], F.col("d"), "open").where("d = 1").select(group, "id", "open", (F.col("open") <= most).alias("admitted"))
 
 
 def tumbling(df: DataFrame, ts: str, width: str, *aggs: Column, late: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
@@ -82,3 +105,9 @@ def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> N
     """Run what is there through a streaming query into a memory table; progress stays in ``checkpoint``
     (STR-09, STR-11: a run that starts again goes on from its offsets)."""
     stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def append_available(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """STR-09, STR-11: append what has come since the last run to Parquet files below ``path``; offsets and the
+    list of committed files stay in ``checkpoint`` and ``path``, so a run that broke off does not repeat rows."""
+    stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()

@@ -44,13 +44,48 @@ def test_record_filters(spark):
 def test_percentile_rules_differ(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 5)], "x double")
     assert one(df.agg(F.percentile("x", F.lit(0.95)))) == pytest.approx(3.85)
-    assert one(df.agg(stats.nearest_rank("x", 0.95))) == 4.0
+    got = cohorts.group_quantiles(df, [], "x", {"near": cohorts.nearest(0.95), "mid": cohorts.linear(0.5), "p95": cohorts.linear(0.95)}).first()
+    assert (got.n, got.near, got.mid, got.p95) == (4, 4.0, 2.5, pytest.approx(3.85))
     assert one(df.agg(stats.upper_median("x"))) == 3.0
-    assert one(df.where("false").agg(stats.nearest_rank("x", 0.95))) is None
+    assert cohorts.group_quantiles(df.where("false"), [], "x", {"near": cohorts.nearest(0.95)}).count() == 0
     got = df.where("false").agg(*stats.serving_summary(F.col("x"), F.col("x"), F.col("x") > 0, 1.0)).first()
     assert got["mean"] == 0.0 and got["completed"] == 0
 
 
+def test_quantiles_of_large_groups(spark):
+    """Few groups, many ties, nulls, a null group: the same as Spark's own percentiles."""
+    x = spark.range(5000).select(F.when(F.col("id") % 5 > 0, (F.col("id") % 3).cast("string")).alias("g"), F.when(F.col("id") % 11 > 0, F.floor(F.sqrt(F.col("id"))).cast("double")).alias("x"))
+    got = {r.g: (r.n, r.a, r.b) for r in cohorts.group_quantiles(x, ["g"], "x", {"a": cohorts.linear(0.5), "b": cohorts.linear(0.97)}).collect()}
+    want = {r.g: (r.n, r.a, r.b) for r in x.groupBy("g").agg(F.count("x").alias("n"), F.percentile("x", F.lit(0.5)).alias("a"), F.percentile("x", F.lit(0.97)).alias("b")).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_running_sums_and_halos(spark, monkeypatch):
+    x = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("i"), (F.col("id") % 7).alias("v"))
+    sums = {r.i: r.s for r in joins.cumulated(x, ["g"], ["i"], F.col("v"), "s", blocks=13).collect()}
+    assert sums == {i: sum(k % 7 for k in range(i % 3, i + 1, 3)) for i in range(1000)}
+    whole = {r.i: r.m for r in cohorts.rolling(x, ["g"], ["i"], 4, m=lambda w: F.sum("v").over(w.rowsBetween(-4, 0))).collect()}
+    monkeypatch.setattr(cohorts, "BLOCK", 10)
+    parts = {r.i: r.m for r in cohorts.rolling(x, ["g"], ["i"], 4, m=lambda w: F.sum("v").over(w.rowsBetween(-4, 0))).collect()}
+    assert whole == parts == {i: sum(k % 7 for k in range(max(i % 3, i - 12), i + 1, 3)) for i in range(1000)}
+    assert joins.cumulated(x.where("false"), ["g"], ["i"], F.col("v"), "s").count() == 0
+
+
+def test_latest_summary_lists(spark):
+    """Gated and ungated regressions, an override, a metric without baseline, a failed run."""
+    rows = [("m", i, True, True, "pr", "{}", 10.0, 100.0) for i in range(3)]
+    rows += [("m", 3, True, False, "pr", "{}", 1.0, 1.0), ("m", 4, False, True, "pr", "{}", 1.0, 1.0)]
+    rows += [("m", 9, False, False, "local", '{"throughput": {"gated": false}, "latency": {"threshold_percent": "x"}}', 12.0, 50.0), ("n", 1, True, True, "pr", "oops", None, 5.0)]
+    runs = spark.createDataFrame(rows, "model_id string, at int, success boolean, eligible boolean, run_source string, thresholds string, latency double, throughput double")
+    policies = policy.policy_table(spark).withColumn("place", F.when(F.col("metric") == "latency", 1).otherwise(2))
+    last, rows = cohorts.latest_metrics(runs, ["model_id"], ["latency", "throughput"], policies)
+    x = policy.delta(F.col("current"), F.col("baseline"), F.col("direction"), F.col("threshold_percent"), F.col("threshold_absolute"))
+    got = {r.model_id: r for r in cohorts.latest_summary(last, rows.withColumns(x).withColumn("regressed", F.col("exceeded") & F.col("gated")), ["model_id"]).collect()}
+    m, n = got["m"], got["n"]
+    assert (m.at, m.baseline_n, m.exceeded_metrics, m.failing_metrics, m.regression_status, m.status, m.worst_regression) == (9, 3, "latency,throughput", "latency", "fail", "fail", 50.0)
+    assert (n.at, n.baseline_n, n.exceeded_metrics, n.regression_status, n.status, n.worst_regression) == (1, 0, "", "pass", "pass", None)
+
+
 def test_validator_chain(spark):
     df = spark.createDataFrame([(None, 1.0), ("", 1.0), ("c", None), ("c", 2.0)], "cap string, fps double")
     chain = filters.ValidatorChain({"caption": F.length("cap") > 0}).add_validator("fps", F.col("fps") > 0)
@@ -93,6 +128,19 @@ def test_sampling(spark):
     assert sampling.spread_indices(9, 3, "ends") == [0, 4, 8]
     packed = sampling.pack_longest_first(spark.createDataFrame([("a", 5), ("b", 4), ("c", 3), ("d", 3)], "k string, n long"), "k", "n", 2).collect()
     assert {r.key: r.shard for r in packed} == {"a": 0, "b": 1, "c": 1, "d": 0}
+    sizes = [(f"f{i}", [7, 3, 3, 1, 1, 1, 0][i % 7]) for i in range(60)]
+    fill, want = [0] * 5, {}
+    for k, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        want[k] = fill.index(min(fill))
+        fill[want[k]] += n
+    got = {r.key: r.shard for r in sampling.pack_longest_first(spark.createDataFrame(sizes, "k string, n long"), "k", "n", 5).collect()}
+    assert {k: s for k, s in got.items() if dict(sizes)[k]} == {k: s for k, s in want.items() if dict(sizes)[k]} and len(got) == 60
+    own = [(i, "b" if i % 3 == 0 else "?" if i % 7 == 0 else None) for i in range(31)]
+    style = {r.key: r.variant for r in sampling.least_used(spark.createDataFrame(own, "i int, own string"), "i", "own", ["a", "b", "c"]).collect()}
+    assert len(style) == 31 and all(style[i] == "b" for i, o in own if o == "b")
+    assert max(n := [list(style.values()).count(v) for v in "abc"]) - min(n) <= 1
+    with pytest.raises(ValueError, match="no row uses"):
+        sampling.least_used(spark.createDataFrame(own[:1], "i int, own string"), "i", "own", ["a", "b"])
     cells = spark.createDataFrame([(1, 7, "a"), (1, 8, "b"), (2, 7, "a"), (2, 9, "c")], "c int, u int, o string")
     assert {(r.cell, r.unit) for r in sampling.quota_cells(cells, "c", "u", "o", 1).collect()} == {(1, 7), (2, 9)}
 
@@ -165,6 +213,29 @@ def test_readers(spark, tmp_path):
         readers.by_suffix(spark, "x.bin")
 
 
+def test_more_readers(spark, tmp_path):
+    spark.range(10).repartitionByRange(3, "id").write.parquet(str(tmp_path / "p"))
+    df = spark.read.parquet(str(tmp_path / "p"))
+    assert {r.pos: r.id for r in readers.point_lookup(df, [0, 4, 9]).collect()} == {0: 0, 4: 4, 9: 9}
+    with pytest.raises(IndexError):
+        readers.point_lookup(df, [10])
+    (tmp_path / "m.txt").write_text("a,b\nc,d\n")
+    with pytest.raises(ValueError):
+        readers.annotations(spark, str(tmp_path / "m.txt"), "path string")
+    (tmp_path / "a.txt").write_text("1\n2\n")
+    (tmp_path / "b.txt").write_text("1\n")
+    with pytest.raises(Exception, match="numbers of lines"):
+        readers.zipped_files(spark, str(tmp_path / "a.txt"), str(tmp_path / "b.txt")).collect()
+    with pytest.raises(KeyError):
+        readers.corpus(spark, "no such corpus")
+    row = spark.createDataFrame([([1, 2], [1]), ], "a array<int>, b array<int>")
+    with pytest.raises(Exception, match="lengths differ"):
+        joins.zip_arguments(row, [], ["a", "b"], []).collect()
+    docs = ['{"caption": ["a", "b"]}', '{"x": "long one", "y": "s"}', "{}", "oops", None]
+    got = spark.createDataFrame([(x,) for x in docs], "s string").select(text.caption_of(F.col("s"))).collect()
+    assert [r[0] for r in got] == ["a, b", "long one", None, None, None]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.range(25).select(F.col("id").cast("string").alias("id"))
     sinks.write_fixed(df.withColumn("n", F.col("id").cast("int")), str(tmp_path / "o"), ["n"], 10)
@@ -189,6 +260,13 @@ def test_health(spark):
     cases = [([s], "HEALTHY"), ([s, f, f], "HEALTHY"), ([s, f, f, f], "UNHEALTHY"), ([s, f, f, f, s], "UNHEALTHY"), ([f, f, f, s, s], "HEALTHY"), ([], "UNKNOWN")]
     df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, e array<boolean>")
     assert [r[0] for r in df.orderBy("i").select(sessions.health_fold(F.col("e"), 2, 3)).collect()] == [h for _, h in cases]
+    import itertools
+
+    every = [(i, list(c)) for i, c in enumerate(c for n in range(1, 8) for c in itertools.product((s, f), repeat=n))]
+    df = spark.createDataFrame(every, "i int, e array<boolean>")
+    fold = {r.i: r.h for r in df.select("i", sessions.health_fold(F.col("e"), 2, 3).alias("h")).collect()}
+    rows = df.select("i", F.posexplode("e").alias("t", "ok"))
+    assert {r.i: r.health for r in sessions.health(rows, "i", ["t"], "ok", 2, 3).collect()} == fold
 
 
 def test_streams(spark, tmp_path):
