@@ -41,10 +41,10 @@ def test_stages(spark, tmp_path):
     assert ids(clean) == sorted((x[0] for x in dec.brute(near, items) if not x[5]), key=str)
 
     text = {r.doc_id: r.text for r in clean}
-    extra = [re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"), re.compile(r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----")]
+    extra = [(re.compile(r.pattern), r.least) for r in sec.s.MORE_RULES]
     for r in safe:
         t = text[r.doc_id]
-        spans = sorted([s for v in sec.spans(t).values() for s in v] + [m.span() for rx in extra for m in rx.finditer(t)])
+        spans = sorted([s for v in sec.spans(t).values() for s in v] + [m.span() for rx, n in extra for m in rx.finditer(t) if len(m.group()) >= n])
         out, at = "", 0
         for s, e in spans:
             if s >= at:
