@@ -5,7 +5,7 @@ alphabet, and each token's merge is the pair that lower ranks leave of it. Every
 pattern is encoded separately, without special tokens. ``encode`` gives whole texts to the library, which
 splits them and gives ids and character offsets. ``round_trip`` needs ids only: most matches are words that
 come again and again, so each worker keeps the ids of those met so far in a bounded table, and the library
-encodes a text's other matches in one batch (half the time of giving it whole texts). Decoding maps ids back
+encodes the others of some texts in one batch (half the time of giving it whole texts). Decoding maps ids back
 through the byte table, so a character split over tokens is whole again once the bytes are joined.
 
 Defined results: null text is empty text: no tokens, digests of the empty string; repeated rows are
@@ -94,28 +94,21 @@ class Codec:
             lo = m.start()
         yield text[lo:] if lo else text
 
-    def _ids_of(self, matches: list[str]) -> bytes:
-        """The decimal ids, each after a blank; the library encodes those not met before, in one batch."""
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, matches))
-        except KeyError:
-            new = list(set(matches).difference(known))
-            if len(known) + len(new) > TABLE_ENTRIES:
-                known.clear()
-                new = list(set(matches))
-            for word, found in zip(new, self.matches.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[word] = "".join([f" {i}" for i in found.ids]).encode()
-            out = b"".join(map(known.__getitem__, matches))
-            for word in new:
-                if len(word) > LONG:
-                    del known[word]
-            return out
-
-    def encode(self, text: str) -> bytes:
-        """The decimal ids of a text, joined by one blank."""
-        split = self.split_ascii if text.isascii() else self.split
-        return b"".join(self._ids_of(split(piece)) for piece in self._pieces(text))[1:]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The decimal ids of each text, joined by one blank. The library encodes the matches that were not met
+        before, in one batch for all texts."""
+        split = [[self.split_ascii(p) if t.isascii() else self.split(p) for p in self._pieces(t)] for t in texts]
+        known, met = self.known, set().union(*(m for pieces in split for m in pieces))
+        if len(known) + len(met) > TABLE_ENTRIES:
+            known.clear()
+        new = list(met.difference(known))
+        for word, found in zip(new, self.matches.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[word] = "".join([f" {i}" for i in found.ids]).encode()
+        out = [b"".join(b"".join(map(known.__getitem__, m)) for m in pieces)[1:] for pieces in split]
+        for word in new:
+            if len(word) > LONG:
+                del known[word]
+        return out
 
     def encode_with_offsets(self, texts: list[str]) -> Iterator[tuple[list[int], list[int], list[int]]]:
         """Ids, first characters and ends (exclusive) of each text's tokens; tokens that split a character
@@ -146,6 +139,19 @@ def _codec(shared) -> Codec:
     return _CODECS[id(shared)]
 
 
+def _groups(column: pa.Array) -> Iterator[list[str]]:
+    """The texts (null: empty) of about PIECE characters at once."""
+    texts, size = [], 0
+    for value in column:
+        texts.append(value.as_py() or "")
+        size += len(texts[-1])
+        if size > PIECE:
+            yield texts
+            texts, size = [], 0
+    if texts:
+        yield texts
+
+
 def vocabulary(docs: DataFrame, path: str, pattern: str):
     """Ranks, merges and pattern as a broadcast: the size of the vocabulary file, whatever the corpus."""
     ranks = read_ranks(path)
@@ -159,13 +165,7 @@ def encode(docs: DataFrame, shared, text: str = "text", key: str = "doc_id") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            rows, lo, size = [], 0, 0
-            for k in range(len(texts)):
-                size += len(texts[k])
-                if k + 1 == len(texts) or size > PIECE:
-                    rows += codec.encode_with_offsets(texts[lo : k + 1])
-                    lo, size = k + 1, 0
+            rows = [row for texts in _groups(b.column(1)) for row in codec.encode_with_offsets(texts)]
             ids, starts, ends = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=[key, "input_ids", "starts", "ends"])
 
@@ -193,8 +193,7 @@ def round_trip(docs: DataFrame, shared, with_ids: bool = False) -> DataFrame:
         codec = _codec(shared)
         for b in batches:
             n, ids, back, lists = [], [], [], []
-            for value in b.column(1):
-                row = codec.encode(value.as_py() or "")
+            for row in (row for texts in _groups(b.column(1)) for row in codec.encode(texts)):
                 n.append(row.count(b" ") + 1 if row else 0)
                 ids.append(hashlib.sha256(row).hexdigest())
                 back.append(hashlib.sha256(codec.decode(row)).hexdigest())
