@@ -8,9 +8,8 @@ ln p of a word is a sum over the n-grams that end at it or at the word before: w
     ln p(w | u v) = gain3(u v w) + weight3(u v) + gain2(v w) + weight2(v) + gain1(w) + ln p(unknown)
 where weight is the logarithm of a context's back-off weight and gain what an n-gram's own probability is
 above that of backing off. So each n-gram of a document is looked up by itself: one join of the documents'
-n-grams with the model on the n-gram's key finds all orders. Tasks first bring the n-grams of many texts
-together, each one once with its texts, so a frequent n-gram is as many rows as there are such pieces; the
-row of the texts' lengths is salted.
+n-grams, counted by text, with the model on the n-gram's key finds all orders; the row of a text's length is
+salted.
 """
 
 from __future__ import annotations
@@ -144,48 +143,30 @@ def train(texts: DataFrame) -> DataFrame:
 
 
 def document_grams(texts: DataFrame) -> DataFrame:
-    """key, ids, ns: each n-gram of a piece of the rows (id, text) with the ids of its texts and how often it
-    is in them, and for each piece a row with a salted key and the numbers of words to predict."""
+    """key, id, n: how often each n-gram is in each text of the rows (id, text), and a row of a text with a salted
+    key and its number of words to predict. A text has an n-gram once, so no n-gram has more rows than texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size = [], 0
-
-        def rows(key: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-            order = np.argsort(key, kind="stable")
-            key, ids = key[order], ids[order]
-            other = np.ones(len(key), dtype=bool)
-            other[1:] = key[1:] != key[:-1]
-            pair = other.copy()
-            pair[1:] |= ids[1:] != ids[:-1]
-            at = np.flatnonzero(pair)
-            cuts = np.append(np.flatnonzero(other[at]), len(at)).astype(np.int32)
-            n = np.diff(np.append(at, len(key))).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (ids[at], n)]
-            return pa.RecordBatch.from_arrays([pa.array(key[at[cuts[:-1]]].view(np.int64)), *lists], names=["key", "ids", "ns"])
-
-        def give() -> Iterator[pa.RecordBatch]:
-            key, ids = (np.concatenate([x[k] for x in waiting]) for k in range(2))
-            out = rows(key, ids)
-            for k in range(0, out.num_rows, 1 << 16):
-                yield out.slice(k, 1 << 16)
-
         for b in batches:
             names = b.column(0).to_numpy()
             for lo, seq, row, place in sequences(b.column(1)):
-                who = names[lo + row]
                 two, three = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
                 if not len(three):
                     continue
-                salt = np.full(len(three), np.uint64(who[0] & np.int64(SALTS - 1)))
-                waiting.append((np.concatenate([keys(seq[two]), keys(seq[two - 1], seq[two]), keys(seq[three - 2], seq[three - 1], seq[three]), salt]), np.concatenate([who[two], who[two], who[three], who[three]])))
-                size += len(waiting[-1][0])
-                if size > PIECE:
-                    yield from give()
-                    waiting, size = [], 0
-        if size:
-            yield from give()
-
-    return texts.select("id", "text").mapInArrow(run, "key bigint, ids array<bigint>, ns array<int>")
+                salt = (names[lo + row[three]] & np.int64(SALTS - 1)).view(np.uint64)
+                key = np.concatenate([keys(seq[two]), keys(seq[two - 1], seq[two]), keys(seq[three - 2], seq[three - 1], seq[three]), salt])
+                who = np.concatenate([row[two], row[two], row[three], row[three]])
+                order = np.lexsort((key, who))
+                key, who = key[order], who[order]
+                new = np.ones(len(key), dtype=bool)
+                new[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])
+                at = np.flatnonzero(new)
+                n = np.diff(np.append(at, len(key))).astype(np.int32)
+                out = pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(names[lo + who[at]]), pa.array(n)], names=["key", "id", "n"])
+                for k in range(0, out.num_rows, 1 << 16):
+                    yield out.slice(k, 1 << 16)
+
+    return texts.select("id", "text").mapInArrow(run, "key bigint, id bigint, n int")
 
 
 def perplexity(docs: DataFrame, model: DataFrame) -> DataFrame:
@@ -195,7 +176,7 @@ def perplexity(docs: DataFrame, model: DataFrame) -> DataFrame:
     their copies.
     """
     rows = docs.withColumn("id", F.xxhash64("text"))
-    found = document_grams(rows).join(model, "key").select("key", "ln", F.explode(F.arrays_zip("ids", "ns")).alias("t"))
-    n = F.when(F.col("key").between(0, SALTS - 1), F.col("t.ns")).otherwise(0)
-    sums = found.groupBy(F.col("t.ids").alias("id")).agg(F.sum(F.col("ln") * F.col("t.ns")).alias("ln"), F.sum(n).alias("n"))
+    found = document_grams(rows).join(model, "key")
+    n = F.when(F.col("key").between(0, SALTS - 1), F.col("n")).otherwise(0)
+    sums = found.groupBy("id").agg(F.sum(F.col("ln") * F.col("n")).alias("ln"), F.sum(n).alias("n"))
     return rows.drop("text").join(sums, "id", "left").withColumn("perplexity", F.exp(-F.col("ln") / F.col("n"))).drop("id", "ln", "n")
