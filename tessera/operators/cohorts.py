@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.joins import cumulated, group_positions
 
-BLOCK = 1 << 16
+BLOCK = 1 << 14
 
 
 def latest(df: DataFrame, cohort: list[str], order: list[Column]) -> DataFrame:
