@@ -67,6 +67,19 @@ def table(df: DataFrame, name: str, compression: str = "lz4_raw") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SPLIT = 128 << 20
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The Parquet table at ``path``. One of fewer files than cores and under ``SPLIT`` bytes may be a single row
+    group, which one task would work through alone; its rows are dealt over the cores first."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    held = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at)
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.read.parquet(path)
+    return df.repartition(cores) if held.getFileCount() < cores and held.getLength() < SPLIT else df
+
+
 # --------------------------------------------------------------------- columns
 
 

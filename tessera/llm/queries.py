@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, decontaminate, embedding_dedup, jaccard, langid, quality, secret_scan, suffix_dedup, toxicity, warc
+from tessera.llm.common import read
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read(spark, f"{sf_dir}/{name}.parquet")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
