@@ -100,9 +100,21 @@ def blocked_by_markers(label: Column, markers: list[str], safe: list[str]) -> Co
     return F.arrays_overlap(F.split(norm, " "), F.array(*map(F.lit, markers))) & ~norm.isin(*safe)
 
 
+def ascii_json(c: Column) -> Column:
+    """JSON whose characters from 127 up are written as escapes of their UTF-16 units."""
+    unit = lambda n: F.concat(F.lit(r"\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def escape(x: Column) -> Column:
+        n = F.ascii(x)
+        pair = F.concat(unit(F.lit(0xD800) + F.floor((n - 0x10000) / 0x400)), unit(F.lit(0xDC00) + F.pmod(n - 0x10000, F.lit(0x400))))
+        return F.when(n < 127, x).when(n < 0x10000, unit(n)).otherwise(pair)
+
+    return F.when(c.rlike(r"[^\x00-\x7E]"), F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), escape), "")).otherwise(c)
+
+
 def canonical_json(m: Column) -> Column:
-    """HSH-01: a flat map as JSON with sorted keys."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))
+    """HSH-01: a flat map as JSON with sorted keys, ASCII."""
+    return ascii_json(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m)))))
 
 
 @F.pandas_udf(T.StringType())

@@ -293,3 +293,15 @@ def test_entry_without_llm(spark, data):
 def test_schema_of_record():
     assert sinks.record_schema(["a"], video=False).names == ["id", "a_bytes", "a_shape", "a_dtype", "file_name", "caption", "media_type"]
     assert isinstance(sinks.tensor_fields("x")[1].dataType, T.ArrayType)
+
+
+def test_canonical_json_is_ascii(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from tessera.functions import text
+
+    maps = [{"b": 'é😀x"', "a": "y"}, {"ü": "日本", "A": "\x7f"}, {}, None, {"k": "�\n"}]
+    got = [r.j for r in spark.createDataFrame([(m,) for m in maps], "m map<string,string>").select(text.canonical_json(F.col("m")).alias("j")).collect()]
+    assert got == [None if m is None else json.dumps(m, sort_keys=True, separators=(",", ":")) for m in maps]
