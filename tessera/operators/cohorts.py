@@ -77,6 +77,27 @@ def group_quantiles(df: DataFrame, group: list[str], value: str, ranks: dict[str
     return got.select(*group, "n", *[value_at(name, r).alias(name) for name, r in ranks.items()])
 
 
+def summarised(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """AGG-08, AGG-33: count, min, linear p50, p95 and p99, max and mean of each group's values, for groups of any
+    size; nulls for a group without values."""
+    rest = df.groupBy(*group).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.avg(value), 4).alias("mean"))
+    q = group_quantiles(df.select(*group, value), group, value, {"p50": linear(0.5), "p95": linear(0.95), "p99": linear(0.99)}).drop("n")
+    q = q.select(*[F.col(g).alias(f"_k_{g}") for g in group], *[F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")])
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_k_{g}"))
+    return rest.join(q, same, "left").select(*group, "n", "min", "p50", "p95", "p99", "max", "mean")
+
+
+def bucket(pos: str, n: str, k: int) -> Column:
+    """WIN-11: the bucket (from 0) of place ``pos`` when ``n`` rows are split into ``k`` (no more than there are
+    rows), the first ones larger by one."""
+    few = F.least(F.col(n), F.lit(k))
+    size, extra = F.floor(F.col(n) / few), F.col(n) % few
+    late = extra + F.floor((F.col(pos) - extra * (size + 1)) / size)
+    return F.when(F.col(pos) < extra * (size + 1), F.floor(F.col(pos) / (size + 1))).otherwise(late).cast("bigint")
+
+
 def linear(q: float) -> Column:
     """The place of quantile ``q`` by linear interpolation."""
     return F.lit(q) * (F.col("n") - 1)

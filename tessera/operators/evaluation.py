@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays
-from tessera.operators.cohorts import with_halo
+from tessera.operators.cohorts import group_quantiles, linear, with_halo
 
 
 @dataclass(frozen=True)
@@ -76,6 +76,15 @@ def flicker(df: DataFrame, group: str, order: str, vec: str) -> DataFrame:
     return parts.select(group, "_halo", diff.alias("x")).where("not _halo").groupBy(group).agg(((255 - F.avg("x")) / 255).alias("score"))
 
 
+def first_crossing(df: DataFrame, group: list[str], order: list[str], value: str, width: int, threshold: Column) -> DataFrame:
+    """WIN-07: the first place at which the mean of ``width`` full rows from it passes ``threshold``; groups without
+    one have no row. The mean belongs to the window's last row, which blocks with a halo see whole."""
+    parts = with_halo(df, group, order, width - 1)
+    mean = F.avg(value).over(Window.partitionBy(*group, "_block").orderBy("pos").rowsBetween(1 - width, 0))
+    full = parts.withColumn("_m", mean).where(~F.col("_halo") & (F.col("pos") >= width - 1) & (F.col("_m") > threshold))
+    return full.groupBy(*group).agg((F.min("pos") - (width - 1)).alias("onset"))
+
+
 def collate(df: DataFrame, batch: str, key: str, vec: str, width: int, info: dict[str, Column]) -> DataFrame:
     """ARR-04: a row a batch: ids, the stacked vectors (padded or cut to ``width``), their shape, and a list for
     each detail, all in order of ``key``. Batches are as large as a training step."""
@@ -151,8 +160,8 @@ def exponential_background(values: Column, alpha: float) -> Column:
 
 def drift(df: DataFrame, reference: DataFrame, channel: str, value: str) -> DataFrame:
     """AGG-37: shift and spread of a channel against the reference, and the share outside its 0.1 to 99.9 %."""
-    q = F.percentile(value, F.array(F.lit(0.001), F.lit(0.999)))
-    ref = reference.groupBy(channel).agg(F.avg(value).alias("rm"), F.stddev_samp(value).alias("rs"), q.alias("q")).where("rs > 1e-6")
+    q = group_quantiles(reference.select(channel, value), [channel], value, {"lo": linear(0.001), "hi": linear(0.999)}).drop("n")
+    ref = reference.groupBy(channel).agg(F.avg(value).alias("rm"), F.stddev_samp(value).alias("rs")).where("rs > 1e-6").join(q, channel)
     x = df.join(ref, channel)
-    out = F.avg(((F.col(value) < F.col("q")[0]) | (F.col(value) > F.col("q")[1])).cast("int"))
+    out = F.avg(((F.col(value) < F.col("lo")) | (F.col(value) > F.col("hi"))).cast("int"))
     return x.groupBy(channel).agg((F.abs(F.avg(value) - F.first("rm")) / F.first("rs")).alias("shift"), (F.stddev_samp(value) / F.first("rs")).alias("spread"), out.alias("tail"))

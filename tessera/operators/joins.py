@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -38,13 +40,34 @@ def shared_folder(spark) -> str:
     return at.rstrip("/")
 
 
+_OWNED: dict[str, SparkSession] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    if not _OWNED:
+        atexit.register(_remove_all)
+    _OWNED[path] = spark
+    return path
+
+
+def _remove_all() -> None:
+    for path, spark in list(_OWNED.items()):
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended before
+            pass
+    _OWNED.clear()
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written once to the session's checkpoint folder, so that what depends on how rows were dealt is
-    the same each time it is read. The write is a job that runs when the frame is made."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """``df`` written once to the session's shared folder and read back, so that what depends on how rows were
+    dealt is the same each time it is read. The write is a job that runs when the frame is made."""
+    path = scratch(df.sparkSession, "settled")
+    df.write.option("compression", "lz4_raw").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _ranges(df: DataFrame, order: list[str], blocks: int | None) -> DataFrame:

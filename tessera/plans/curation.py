@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import filters, joins, sampling
+from tessera.operators import filters, joins, sampling, scans
 from tessera.plans.registry import query, read
 
 SEED = 42
@@ -204,7 +203,8 @@ def smp24(spark, d):
 def smp22(spark, d):
     """SMP-22: arrival times with exponential gaps, by hash."""
     gap = F.round(-F.log(1 - filters.unit_hash(F.col("event_id"), SEED)) / 2.0 * 1000000).cast("bigint")
-    return read(spark, d, "events").select("event_id", F.round(F.sum(gap).over(Window.partitionBy("user_id").orderBy("event_id")) / 1000000, 3).alias("arrival"))
+    e = read(spark, d, "events").select("user_id", "event_id", gap.alias("gap"))
+    return scans.scan(e, ["user_id"], ["event_id"]).add(t=("sum", F.col("gap"))).rows.select("event_id", F.round(F.col("t") / 1000000, 3).alias("arrival"))
 
 
 @query("smp02_packing")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays
+from tessera.operators import cohorts, joins, scans
 from tessera.operators import evaluation as ev
 from tessera.plans.registry import query, read
 
@@ -173,10 +174,8 @@ def win06(spark, d):
 @query("win07_crossing", "SELECT user_id, min(i) AS onset FROM (SELECT user_id, i, n, avg(round(value * 100)::BIGINT) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS m FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)) WHERE i <= n - 5 AND m > 9000 GROUP BY 1")
 def win07(spark, d):
     """WIN-07: where the mean of five full frames first passes the threshold."""
-    o, all_ = Window.partitionBy("user_id").orderBy("ts", "event_id"), Window.partitionBy("user_id")
-    e = read(spark, d, "events").select("user_id", F.round(F.col("value") * 100).cast("bigint").alias("c"), (F.row_number().over(o) - 1).cast("bigint").alias("i"), F.count("*").over(all_).alias("n"))
-    m = e.withColumn("m", F.avg("c").over(Window.partitionBy("user_id").orderBy("i").rowsBetween(0, 4)))
-    return m.where((F.col("i") <= F.col("n") - 5) & (F.col("m") > 9000)).groupBy("user_id").agg(F.min("i").alias("onset"))
+    e = read(spark, d, "events").select("user_id", "ts", "event_id", F.round(F.col("value") * 100).cast("bigint").alias("c"))
+    return ev.first_crossing(e, ["user_id"], ["ts", "event_id"], "c", 5, F.lit(9000))
 
 
 @query("win08_background", "SELECT vec_id, round(list_reduce(list_transform(embedding, lambda x: x::DOUBLE), lambda a, x: 0.9 * a + 0.1 * x), 6) AS background FROM embeddings")
@@ -186,6 +185,14 @@ def win08(spark, d):
     return _frames(spark, d).select("vec_id", F.round(ev.exponential_background(v, 0.1), 6).alias("background"))
 
 
+@query("win08_recursive", """WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, event_id, i, value AS a FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, (1 - 1 / 7.0::DOUBLE) * r.a + 1 / 7.0::DOUBLE * e.value FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) SELECT event_id, round(a, 6) AS background FROM r""")
+def win08_recursive(spark, d):
+    """WIN-08 over rows: the exponential background of each user's values, whatever their number."""
+    e = read(spark, d, "events").select("event_id", "user_id", "ts", "value")
+    return scans.exponential_mean(e, ["user_id"], ["ts", "event_id"], "value", 1 / 7).select("event_id", F.round("background", 6).alias("background"))
+
+
 @query("win09_lagged", "WITH x AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) t(i)) SELECT a.vec_id, lag, round(corr(a.v, b.v), 4) + 0.0::DOUBLE AS r FROM (SELECT unnest([5, 17, 41]) AS lag), x a JOIN x b ON b.vec_id = a.vec_id + 1 AND b.i = (a.i + lag) % 64 GROUP BY 1, 2")
 def win09(spark, d):
     """WIN-09: correlation at cyclic lags of every vector and the next one."""
@@ -228,7 +235,7 @@ def agg22_frechet(spark, d):
 @query("agg23_temporal", "SELECT user_id, round(avg(v), 3) AS mean, round(stddev_pop(v), 3) AS std, max(v) AS top, round(sum((v + b) / 2) / (count(*) - 1), 3) AS auc FROM (SELECT user_id, value AS v, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) GROUP BY 1 HAVING count(*) > 1")
 def agg23(spark, d):
     """AGG-23: mean, population deviation, maximum and trapezoid area of a curve."""
-    e = read(spark, d, "events").select("user_id", F.col("value").alias("v"), F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("b"))
+    e = scans.previous(read(spark, d, "events").select("user_id", "ts", "event_id", F.col("value").alias("v")), ["user_id"], ["ts", "event_id"], b=F.col("v"))
     return e.groupBy("user_id").agg(F.round(F.avg("v"), 3).alias("mean"), F.round(F.stddev_pop("v"), 3).alias("std"), F.max("v").alias("top"), F.round(F.sum((F.col("v") + F.col("b")) / 2) / F.nullif(F.count("*") - 1, F.lit(0)), 3).alias("auc"), F.count("*").alias("n")).where("n > 1").drop("n")
 
 
@@ -261,7 +268,7 @@ def agg34(spark, d):
 def agg35(spark, d):
     """AGG-35: means within percentile bounds and the share outside, by cell."""
     c = read(spark, d, "customer")
-    b = c.groupBy("c_nationkey").agg(F.percentile("c_acctbal", F.lit(0.05)).alias("lo"), F.percentile("c_acctbal", F.lit(0.95)).alias("hi"))
+    b = cohorts.group_quantiles(c.select("c_nationkey", "c_acctbal"), ["c_nationkey"], "c_acctbal", {"lo": cohorts.linear(0.05), "hi": cohorts.linear(0.95)}).drop("n")
     inside = F.col("c_acctbal").between(F.col("lo"), F.col("hi"))
     return c.join(b, "c_nationkey").groupBy("c_nationkey").agg(F.round(F.avg(F.when(inside, F.col("c_acctbal"))), 3).alias("mean"), F.round(F.avg((~inside).cast("int")), 6).alias("outliers"))
 
@@ -269,7 +276,7 @@ def agg35(spark, d):
 @query("agg36_positional_mean", "WITH s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), m AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM events GROUP BY user_id)) SELECT i, round(avg(value), 3) AS mean FROM s, m WHERE i <= m.n GROUP BY 1")
 def agg36(spark, d):
     """AGG-36: mean by position, up to the shortest series."""
-    e = read(spark, d, "events").select("user_id", "value", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint").alias("i"))
+    e = joins.group_positions(read(spark, d, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], "i").withColumn("i", F.col("i") + 1)
     shortest = e.groupBy("user_id").agg(F.max("i").alias("n")).agg(F.min("n").alias("n"))
     return e.join(F.broadcast(shortest), F.col("i") <= F.col("n")).groupBy("i").agg(F.round(F.avg("value"), 3).alias("mean"))
 

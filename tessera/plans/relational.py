@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import stats
-from tessera.operators import cohorts, joins
+from tessera.operators import cohorts, joins, scans
 from tessera.plans.registry import query, read
 
 
@@ -197,7 +197,7 @@ def agg07(spark, d):
 @query("agg08_series_summary", "SELECT user_id, count(value) AS n, min(value) AS min, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS max, round(avg(value), 4) AS mean FROM events GROUP BY 1")
 def agg08(spark, d):
     """AGG-08."""
-    return read(spark, d, "events").groupBy("user_id").agg(*stats.series_summary("value"))
+    return cohorts.summarised(read(spark, d, "events").select("user_id", "value"), ["user_id"], "value")
 
 
 @query("agg09_nearest_rank", "SELECT user_id, list_extract(l, round_even(0.95 * (len(l) - 1), 0)::INT + 1) AS p95 FROM (SELECT user_id, list_sort(list(value)) AS l FROM events GROUP BY 1)")
@@ -275,7 +275,7 @@ def agg19(spark, d):
 def agg20(spark, d):
     """AGG-20: mean of each group's top tenth, then the mean of the groups."""
     li = read(spark, d, "lineitem")
-    t = li.groupBy("l_suppkey").agg(F.percentile("l_extendedprice", F.lit(0.9)).alias("t"))
+    t = cohorts.group_quantiles(li.select("l_suppkey", "l_extendedprice"), ["l_suppkey"], "l_extendedprice", {"t": cohorts.linear(0.9)}).drop("n")
     return li.join(t, "l_suppkey").where("l_extendedprice >= t").groupBy("l_suppkey").agg(F.avg("l_extendedprice").alias("m")).agg(F.round(F.avg("m"), 4).alias("top_mean"))
 
 
@@ -332,12 +332,10 @@ def agg32(spark, d):
 
 @query("win12_runs", "SELECT user_id, max(n) AS longest_failure_run FROM (SELECT user_id, g, count(*) AS n FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY ts, event_id) AS g FROM events) WHERE event_type = 'error' GROUP BY 1, 2) GROUP BY 1")
 def win12(spark, d):
-    """WIN-12: consecutive failures (gaps and islands)."""
-    e = read(spark, d, "events").withColumn("bad", F.col("event_type") == "error")
-    a = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    b = F.row_number().over(Window.partitionBy("user_id", "bad").orderBy("ts", "event_id"))
-    runs = e.withColumn("g", a - b).where("bad").groupBy("user_id", "g").agg(F.count("*").alias("n"))
-    return runs.groupBy("user_id").agg(F.max("n").alias("longest_failure_run"))
+    """WIN-12: consecutive failures, counted over ranges of (user, time)."""
+    e = read(spark, d, "events").select("user_id", "ts", "event_id", (F.col("event_type") == "error").alias("bad"))
+    runs = scans.run_lengths(e, ["user_id"], ["ts", "event_id"], "bad").rows
+    return runs.where("bad").groupBy("user_id").agg(F.max("run").alias("longest_failure_run"))
 
 
 @query("win13_rotation", "SELECT doc_id, (2 + row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 4 AS style_turn FROM documents")
@@ -350,16 +348,28 @@ def win13(spark, d):
 @query("win11_downsample", "SELECT user_id, b, avg(round(value * 100)::BIGINT) / 100 AS mean FROM (SELECT user_id, value, ntile(10) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) GROUP BY 1, 2")
 def win11(spark, d):
     """WIN-11: ten buckets of a curve, the first ones larger by one."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return read(spark, d, "events").withColumn("b", F.ntile(10).over(w).cast("bigint")).groupBy("user_id", "b").agg((F.avg(F.round(F.col("value") * 100).cast("bigint")) / 100).alias("mean"))
+    e = scans.numbered(read(spark, d, "events").select("user_id", "ts", "event_id", F.round(F.col("value") * 100).cast("bigint").alias("c")), ["user_id"], ["ts", "event_id"])
+    return e.groupBy("user_id", (cohorts.bucket("pos", "n", 10) + 1).alias("b")).agg((F.avg("c") / 100).alias("mean"))
+
+
+@query("win11_curve", """WITH b AS (SELECT user_id, b, avg(round(value * 100)::BIGINT) AS m FROM (SELECT user_id, value, ntile(48) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) GROUP BY 1, 2), t AS (SELECT user_id, max(m) AS top FROM b GROUP BY 1)
+SELECT user_id, string_agg(least(9, round_even(m / (CASE WHEN top = 0 THEN 1 ELSE top END) * 9, 0)::INT)::VARCHAR, '' ORDER BY b) AS curve FROM b JOIN t USING (user_id) GROUP BY 1""")
+def win11_curve(spark, d):
+    """WIN-11: up to 48 buckets of a curve as digits 0 to 9 of its own largest bucket."""
+    e = scans.numbered(read(spark, d, "events").select("user_id", "ts", "event_id", F.round(F.col("value") * 100).cast("bigint").alias("c")), ["user_id"], ["ts", "event_id"])
+    b = e.groupBy("user_id", cohorts.bucket("pos", "n", 48).alias("b")).agg(F.avg("c").alias("m"))  # 48 rows a user
+    top = b.groupBy("user_id").agg(F.max("m").alias("top"))
+    digit = F.least(F.lit(9), F.bround(F.col("m") / F.when(F.col("top") == 0, 1.0).otherwise(F.col("top")) * 9).cast("int")).cast("string")
+    digits = b.join(top, "user_id").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("b", digit.alias("x")))).alias("l"))
+    return digits.select("user_id", F.array_join("l.x", "").alias("curve"))
 
 
 @query("srt06_top_mean", "SELECT user_id, round(avg(value), 4) AS top_mean FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE rn <= greatest(1, floor(n * 0.05)) GROUP BY 1")
 def srt06(spark, d):
     """SRT-06: mean of the top twentieth, one at least."""
-    w, all_ = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id"), Window.partitionBy("user_id")
-    r = read(spark, d, "events").withColumn("rn", F.row_number().over(w)).withColumn("n", F.count("*").over(all_))
-    return r.where(F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.05))).groupBy("user_id").agg(F.round(F.avg("value"), 4).alias("top_mean"))
+    e = read(spark, d, "events").select("user_id", "event_id", (-F.col("value")).alias("low"))
+    r = scans.numbered(e, ["user_id"], ["low", "event_id"])
+    return r.where(F.col("pos") < F.greatest(F.lit(1), F.floor(F.col("n") * 0.05))).groupBy("user_id").agg(F.round(-F.avg("low"), 4).alias("top_mean"))
 
 
 @query("srt07_numeric_suffix", "SELECT c_custkey, row_number() OVER (ORDER BY coalesce(try_cast(regexp_extract(c_name, '(\\d+)$', 1) AS INT), -1), c_custkey) AS pos FROM customer")
@@ -436,10 +446,9 @@ def agg29(spark, d):
 @query("agg33_chunk_intervals", "SELECT user_id, count(gap) AS n, min(gap) AS min, round(quantile_cont(gap, 0.5), 6) AS p50, round(quantile_cont(gap, 0.95), 6) AS p95, max(gap) AS max FROM (SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1000::DOUBLE AS gap FROM events) GROUP BY 1")
 def agg33(spark, d):
     """AGG-33: intervals between a session's chunks, in milliseconds."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    t = F.unix_micros(F.col("ts").cast("timestamp"))
-    g = read(spark, d, "events").select("user_id", ((t - F.lag(t).over(w)) / 1000).alias("gap"))
-    return g.groupBy("user_id").agg(*[c for c in stats.series_summary("gap")]).drop("p99", "mean")
+    e = read(spark, d, "events").select("user_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    g = scans.previous(e, ["user_id"], ["ts", "event_id"], b=F.col("t")).select("user_id", ((F.col("t") - F.col("b")) / 1000).alias("gap"))
+    return cohorts.summarised(g, ["user_id"], "gap").drop("p99", "mean")
 
 
 @query("hsh05_content_digest", "SELECT page_id, sha256(html) AS digest FROM pages WHERE html IS NOT NULL")

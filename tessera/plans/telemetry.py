@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import policy
-from tessera.operators import cohorts, joins
+from tessera.operators import cohorts, joins, scans
 from tessera.plans.registry import query, read
 
 WINDOW = 5
@@ -139,9 +139,8 @@ def win03(spark, d):
 @query("win04_gaps", "SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap_us FROM events")
 def win04(spark, d):
     """WIN-04: microseconds since the session's event before."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    return read(spark, d, "events").select("event_id", (micros - F.lag(micros).over(w)).alias("gap_us"))
+    e = read(spark, d, "events").select("user_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return scans.previous(e, ["user_id"], ["ts", "event_id"], b=F.col("t")).select("event_id", (F.col("t") - F.col("b")).alias("gap_us"))
 
 
 @query("scl03_delta", """SELECT o_orderkey, round(CASE WHEN o_totalprice > 0 THEN (b - o_totalprice) / o_totalprice * 100 END, 4) AS regression_percent,

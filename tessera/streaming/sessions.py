@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.joins import cumulated
+from tessera.operators.scans import previous, run_lengths
 
 # The legal steps of a session.
 TRANSITIONS = {"signup": ("view", "click", "purchase"), "view": ("view", "click", "purchase", "error"), "click": ("view", "click", "purchase", "error"), "purchase": ("view", "click"), "error": ("signup", "view")}
@@ -17,10 +18,8 @@ TRANSITIONS = {"signup": ("view", "click", "purchase"), "view": ("view", "click"
 
 def illegal_steps(df: DataFrame, key: str, order: list[str], state: str, legal: dict[str, tuple[str, ...]] = TRANSITIONS) -> DataFrame:
     """STR-01: steps of a session that its table of transitions does not allow."""
-    w = Window.partitionBy(key).orderBy(*order)
     table = F.create_map(*[x for a, bs in legal.items() for x in (F.lit(a), F.array(*map(F.lit, bs)))])
-    before = F.lag(state).over(w)
-    return df.withColumn("before", before).where(F.col("before").isNotNull() & ~F.coalesce(F.array_contains(F.try_element_at(table, F.col("before")), F.col(state)), F.lit(False)))
+    return previous(df, [key], order, before=F.col(state)).where(F.col("before").isNotNull() & ~F.coalesce(F.array_contains(F.try_element_at(table, F.col("before")), F.col(state)), F.lit(False)))
 
 
 def idle_sessions(df: DataFrame, key: str, ts: str, now, timeout_s: float, terminal: Column) -> DataFrame:
@@ -45,16 +44,15 @@ def health_fold(events: Column, up: int, down: int) -> Column:
 def health(df: DataFrame, key: str, order: list[str], ok: str, up: int, down: int) -> DataFrame:
     """STR-03 for keys with any number of events: the last decisive event says the health. Decisive are a failure
     that ends ``down`` in a row, a success that ends ``up`` in a row, and the first success of a key that has not
-    failed so before."""
-    w = Window.partitionBy(key).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    turns = df.withColumn("_turn", F.coalesce((F.col(ok) != F.lag(ok).over(w)).cast("int"), F.lit(1)))
-    runs = turns.withColumn("_g", F.sum("_turn").over(upto))
-    runs = runs.withColumn("_run", F.row_number().over(Window.partitionBy(key, "_g").orderBy(*order)))
-    seen = runs.withColumn("_failed", F.max((~F.col(ok) & (F.col("_run") >= down)).cast("int")).over(upto)).withColumn("_good", F.count_if(F.col(ok)).over(upto))
-    decisive = F.when(F.col(ok), (F.col("_run") >= up) | ((F.col("_good") == 1) & (F.col("_failed") == 0))).otherwise(F.col("_run") >= down)
-    state = F.when(F.col(ok), "HEALTHY").otherwise("UNHEALTHY")
-    return seen.groupBy(key).agg(F.coalesce(F.max_by(F.when(decisive, state), F.when(decisive, F.struct(*order))), F.lit("UNKNOWN")).alias("health"))
+    failed so before. Runs are counted over ranges (``scans.run_lengths``), the rest are partial aggregates."""
+    rows, good, place = run_lengths(df, [key], order, ok).rows, F.col(ok), F.col("pos")
+    at = lambda is_, f: f(F.when(is_, place))
+    up_run, down_run = good & (F.col("run") >= up), ~good & (F.col("run") >= down)
+    ends = rows.groupBy(key).agg(at(good, F.min).alias("first_good"), at(down_run, F.min).alias("first_down"), at(up_run, F.max).alias("last_up"), at(down_run, F.max).alias("last_down"))
+    started = F.when(F.col("first_good") < F.coalesce("first_down", F.col("first_good") + 1), F.col("first_good"))
+    healthy = F.greatest(started, "last_up")
+    health = F.when(healthy.isNull() & F.col("last_down").isNull(), "UNKNOWN").when(F.coalesce(healthy > F.col("last_down"), healthy.isNotNull()), "HEALTHY").otherwise("UNHEALTHY")
+    return ends.select(key, health.alias("health"))
 
 
 def health_stream(events: DataFrame, key: str, up: int = 2, down: int = 3, idle: str = "7 days", late: str = "1 hour") -> DataFrame:
