@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays
-from tessera.operators import cohorts, joins, scans
+from tessera.operators import cohorts, corpus_metrics, joins, scans
 from tessera.operators import evaluation as ev
 from tessera.plans.registry import query, read
 
@@ -34,6 +34,22 @@ def udf02(spark, d):
     return ev.evaluate_corpus(read(spark, d, "documents"), ["lang"], ev.resolve(["text", "media.rate"]))
 
 
+@query("udf02_kendall", """WITH t AS (SELECT l_returnflag AS g, l_linenumber AS x, l_quantity AS y, count(*) AS n FROM lineitem GROUP BY ALL), s AS (SELECT a.g, sum(a.n * b.n * sign(b.y - a.y)) AS s FROM t a JOIN t b ON a.g = b.g AND b.x > a.x GROUP BY 1),
+n AS (SELECT g, sum(n) AS n FROM t GROUP BY 1), tx AS (SELECT g, sum(c * (c - 1) / 2) AS t FROM (SELECT g, x, sum(n) AS c FROM t GROUP BY 1, 2) GROUP BY 1), ty AS (SELECT g, sum(c * (c - 1) / 2) AS t FROM (SELECT g, y, sum(n) AS c FROM t GROUP BY 1, 2) GROUP BY 1)
+SELECT g AS l_returnflag, 'ratings.kendall' AS metric, round(s / sqrt((n * (n - 1) / 2 - tx.t) * (n * (n - 1) / 2 - ty.t)), 9) AS score, NULL::VARCHAR AS skipped FROM s JOIN n USING (g) JOIN tx USING (g) JOIN ty USING (g)""")
+def udf02_kendall(spark, d):
+    """UDF-02: a metric with states of its own, accumulated a task, merged in rounds, finalized."""
+    got = corpus_metrics.evaluate_states(read(spark, d, "lineitem"), ["l_returnflag"], [corpus_metrics.RankCorrelation("l_linenumber", "l_quantity")])
+    return got.withColumn("score", F.round("score", 9))
+
+
+@query("udf02_effective_rank")
+def udf02_rank(spark, d):
+    """UDF-02: in how many directions the vectors of each label spread."""
+    got = corpus_metrics.evaluate_states(_frames(spark, d), ["label"], [corpus_metrics.EffectiveRank("embedding")])
+    return got.withColumn("score", F.round("score", 6))
+
+
 @query("udf07_fan_out", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS prompt, unnest(range(len(string_split(p_name, ' '))))::INT AS i FROM part")
 def udf07(spark, d):
     """UDF-07: one row for each prompt of a list, with its number."""

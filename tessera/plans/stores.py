@@ -136,6 +136,15 @@ def str02(spark, d):
     return sessions.idle_sessions(read(spark, d, "events"), "user_id", "ts", "2024-02-01", 43200, F.col("event_type") == "purchase")
 
 
+@query("str02_session_report", f"""WITH e AS (SELECT user_id, event_id, event_type, ts, lag(event_type) OVER w AS b, lag(ts) OVER w AS since, lead(ts) OVER w AS next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, 'illegal' AS kind, event_id AS id, b AS before, event_type AS state, epoch_us(ts) AS at FROM e WHERE b IS NOT NULL AND epoch_us(ts) - epoch_us(since) <= 21600000000 AND b <> event_type AND NOT {_LEGAL}
+UNION ALL SELECT user_id, 'idle', NULL, NULL, event_type, epoch_us(ts) FROM e WHERE event_type <> 'purchase' AND epoch_us(coalesce(next, TIMESTAMP '2024-02-01')) - epoch_us(ts) > 21600000000""")
+def str02_report(spark, d):
+    """STR-01, STR-02: illegal steps and sessions idle for over six hours; a later step begins anew."""
+    r = sessions.session_report(read(spark, d, "events"), "user_id", "ts", "event_id", "event_type", sessions.TRANSITIONS, ("purchase",), 21600, "2024-02-01")
+    return r.withColumn("at", F.unix_micros("at"))
+
+
 @query("str03_health", """WITH e AS (SELECT user_id, ts, event_id, event_type <> 'error' AS ok FROM events), g AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, ok ORDER BY ts, event_id) AS g FROM e),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, ok, g ORDER BY ts, event_id) AS run FROM g), s AS (SELECT *, max(CASE WHEN NOT ok AND run >= 3 THEN 1 ELSE 0 END) OVER w AS failed, count(*) FILTER (WHERE ok) OVER w AS good FROM r WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT user_id, coalesce(arg_max(CASE WHEN ok THEN 'HEALTHY' ELSE 'UNHEALTHY' END, (ts, event_id)) FILTER (WHERE (ok AND run >= 2) OR (NOT ok AND run >= 3) OR (ok AND good = 1 AND failed = 0)), 'UNKNOWN') AS health FROM s GROUP BY 1""")
