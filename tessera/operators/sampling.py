@@ -3,10 +3,13 @@ which any engine can repeat; a shuffled order is the same in every run and on an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.joins import group_positions, positions, settled
+from tessera.operators.scans import scan
 
 
 def order_key(seed: int | str, *keys: Column) -> Column:
@@ -57,15 +60,56 @@ def spread_indices(total: int, n: int, rule: str = "round") -> list[int]:
     return sorted(got + [next(free) for _ in range(n - len(got))])
 
 
+ACCURACY = 10_000
+
+
 def take_positions(df: DataFrame, order: list[str], places: list[int]) -> DataFrame:
-    """Rows at the given places of an order."""
-    return positions(df, order).where(F.col("pos").isin(places))
+    """SMP-10 to SMP-12, SMP-16: rows at the given places (``pos``) of an order, without sorting the table.
+
+    The first order column is numeric. A mergeable sketch gives values a little below and above each place; one pass
+    counts what lies below and between them exactly; only rows between them are placed. If a sketch should have missed
+    (the counts say so), or the column is not numeric, the whole table is numbered. Runs jobs; rows stay in Spark.
+    """
+    places = sorted(set(places))
+    key = F.col(order[0])
+    if not isinstance(df.schema[order[0]].dataType, T.NumericType):
+        return positions(df, order).where(F.col("pos").isin(places))
+    n, nulls = df.agg(F.count("*"), F.count_if(key.isNull())).first()  # two numbers
+    places = [p for p in places if 0 <= p < n]
+    late = [p for p in places if p >= nulls]
+    spans = []
+    if late:
+        share = lambda p, side: min(1.0, max(0.0, (p - nulls + side) / (n - nulls) + side * 2 / ACCURACY))
+        edges = df.agg(F.percentile_approx(key, [share(p, side) for p in late for side in (-1, 1)], ACCURACY)).first()[0]
+        for lo, hi in zip(edges[::2], edges[1::2], strict=True):
+            if spans and lo <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], max(hi, spans[-1][1]))
+            else:
+                spans.append((lo, hi))
+    within = [key.between(F.lit(lo), F.lit(hi)) for lo, hi in spans]
+    counts = df.agg(F.lit(0), *[F.count_if(c) for lo, hi in spans for c in (key < F.lit(lo), key.between(F.lit(lo), F.lit(hi)))]).first()
+    held = [(0, nulls, key.isNull())] * (len(late) < len(places))
+    held += [(nulls + counts[1 + 2 * i], counts[2 + 2 * i], w) for i, w in enumerate(within)]
+    if not all(any(below <= p < below + size for below, size, _ in held) for p in places):
+        return positions(df, order).where(F.col("pos").isin(places))
+    span = F.lit(None).cast("bigint")
+    for below, _, is_ in reversed(held):
+        span = F.when(is_, F.lit(below).cast("bigint")).otherwise(span)
+    near = df.withColumn("_below", span).where(F.col("_below").isNotNull())
+    return group_positions(near, ["_below"], order).withColumn("pos", F.col("pos") + F.col("_below")).drop("_below").where(F.col("pos").isin(places))
+
+
+def stride_indices(total: int, n: int) -> list[int]:
+    """SMP-16: every (total // n)-th place from the first, ``n`` at most."""
+    return list(range(0, total, max(1, total // n)))[:n]
 
 
 def round_robin(df: DataFrame, group: str, key: str, seed: int, n: int) -> DataFrame:
-    """SMP-13: one row of each group in turn, in hash order within a group, ``n`` rows in all."""
-    keyed = group_positions(df.withColumn("_k", order_key(seed, F.col(key))), [group], ["_k", key]).drop("_k")
-    return keyed.withColumn("depth", (F.col("pos") + 1).cast("int")).drop("pos").orderBy("depth", group).limit(n)
+    """SMP-13: one row of each group in turn, in hash order within a group, ``n`` rows in all. Each task keeps the
+    first ``n`` rows of a group (a limited rank), then ``n`` rows of all."""
+    w = Window.partitionBy(group).orderBy(order_key(seed, F.col(key)), key)
+    ranked = df.withColumn("depth", F.row_number().over(w)).where(F.col("depth") <= n)
+    return ranked.orderBy("depth", group).limit(n)
 
 
 def repeat_rows(df: DataFrame, k: int, name: str = "copy") -> DataFrame:
@@ -115,40 +159,124 @@ def pack_longest_first(files: DataFrame, key: str, size: str, shards: int) -> Da
     return at.join(_slots(files.sparkSession, deals), ["step", "pos"]).select("key", F.col("shard").cast("bigint").alias("shard"), F.col("step").alias("size"))
 
 
-def quota_cells(rows: DataFrame, cell: str, unit: str, order: str, quota: int) -> DataFrame:
-    """SMP-15: up to ``quota`` units for each cell, no unit in two cells; cells in order, units in order.
-
-    Cells follow one another: each takes its first free units, a top-k, and the next one leaves those out.
-    The cells are a curation plan's dimension; units never leave Spark.
+def packing_plan(files: DataFrame, key: str, size: str, shards: int, seed: int, at: str) -> DataFrame:
+    """SMP-02: the packed files (key, shard, size) with their ``place`` in the shard's own seeded order; the plan is
+    kept below ``at`` under a digest of files, shards and seed, and read from there when it is asked for again."""
+    spark = files.sparkSession
+    rows, digest = files.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(F.col(key), F.col(size).cast("bigint")).cast("decimal(38,0)")), F.lit(0))).first()
+    path = f"{at.rstrip('/')}/plan-{rows}-{digest}-{shards}-{seed}"
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        packed = pack_longest_first(files, key, size, shards).withColumn("_k", order_key(seed, F.col("shard"), F.col("key")))
+        group_positions(packed, ["shard"], ["_k", "key"], "place").drop("_k").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def k_repeat(df: DataFrame, key: str, batch: int, k: int, world: int, rank: int, seed: int) -> DataFrame:
+    """SMP-09: ``world`` * ``batch`` / ``k`` rows by the seed's order, each ``k`` times (``copy``), shuffled, and the
+    ``batch`` of them that are ``rank``'s, with their place ``pos`` among all. As many rows as a step takes."""
+    if batch * world % k:
+        raise ValueError(f"world * batch must be a multiple of k ({world} * {batch}, {k})")
+    unique = batch * world // k
+    top = df.orderBy(order_key(seed, F.col(key)), key).limit(unique)
+    if (there := top.count()) < unique:
+        raise ValueError(f"{unique} rows are needed, {there} are there")
+    copies = repeat_rows(top, k).withColumn("_k", order_key(seed + 1, F.col(key), F.col("copy")))
+    placed = positions(copies, ["_k", key, "copy"]).drop("_k")
+    return placed.where((F.col("pos") >= rank * batch) & (F.col("pos") < (rank + 1) * batch))
+
+
+def quota_cells(rows: DataFrame, cell: str, unit: str, order: str, quota: int, strict: bool = False) -> DataFrame:
+    """SMP-15: up to ``quota`` units for each cell, no unit in two cells; cells in order, units in order. ``strict``
+    is an error when a cell gets fewer.
+
+    The walk, in which each cell takes its first free units before the next one chooses, gives the stable outcome
+    for units that all prefer the earlier cell, and there is only one. So all cells propose at once: each to its first
+    units that have not turned it down; a unit keeps the first cell that asks and turns down the others; until nobody
+    is turned down. A round is a limited rank and a partial minimum over ``quota`` rows a cell; the pairs turned down
+    are the conflicts.
     """
-    cells = [r[0] for r in rows.select(cell).distinct().orderBy(cell).toLocalIterator()]
-    out = None
-    for c in cells:
-        free = rows.where(F.col(cell).eqNullSafe(F.lit(c)))
-        if out is not None:
-            free = free.join(out.select(F.col("unit").alias(unit)), unit, "left_anti")
-        took = free.orderBy(order, unit).limit(quota).select(F.col(cell).alias("cell"), F.col(unit).alias("unit"))
-        out = settled(took if out is None else out.unionByName(took))
-    return out if out is not None else rows.select(F.col(cell).alias("cell"), F.col(unit).alias("unit")).where("false")
-
-
-def least_used(rows: DataFrame, key: str, label: str, variants: list[str]) -> DataFrame:
-    """SMP-25: a stated label wins; each other row, in order of ``key``, takes the variant used least by the
-    stated labels and the rows before it (of equals the first). A variant that no row uses is an error.
-
-    Stated labels are all counted before the others are dealt: a walk that counts them as they come would be
-    one row after the other, and could end less even. A row's place says which variant it takes.
+    pairs = rows.select(F.struct(F.col(cell).alias("cell")).alias("c"), F.col(unit).alias("unit"), F.struct(order, unit).alias("o")).groupBy("c", "unit").agg(F.min("o").alias("o"))
+    pairs, refused = settled(pairs), None
+    w = Window.partitionBy("c").orderBy("o")
+    while True:
+        open_ = pairs if refused is None else pairs.join(refused, ["c", "unit"], "left_anti")
+        asked = settled(open_.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= quota).select("c", "unit"))
+        kept = asked.groupBy("unit").agg(F.min("c").alias("c"))
+        turned = settled(asked.join(kept, ["c", "unit"], "left_anti"))
+        if turned.isEmpty():
+            break
+        refused = turned if refused is None else settled(refused.unionByName(turned))
+    if strict:
+        short = pairs.select("c").distinct().join(asked.groupBy("c").count(), "c", "left").where(F.coalesce("count", F.lit(0)) < quota).first()
+        if short:
+            raise ValueError(f"cell {short.c.cell!r} has only {short['count'] or 0} free units")
+    return asked.select(F.col("c.cell").alias("cell"), "unit")
+
+
+def _walk(labels: list[int], first: int, used: list[int]) -> list[int]:
+    """The variant of each row; a label below 0 is none. ``used`` is counted on; ties go by the row's place."""
+    n, out = len(used), []
+    for i, own in enumerate(labels, first):
+        if own < 0:
+            own = min(((used[(i + j) % n], j) for j in range(n)))[1]
+            own = (i + own) % n
+        used[own] += 1
+        out.append(own)
+    return out
+
+
+def least_used(rows: DataFrame, key: str, label: str, variants: list[str], blocks: int | None = None) -> DataFrame:
+    """SMP-25: a stated label wins; each other row, in order of ``key``, takes the variant used least by the rows
+    before it; of equals the first in a rotation that begins at the row's place. A variant that no row uses is an
+    error unless all rows are labelled.
+
+    The walk runs over ranges of rows side by side. A range needs the counts it starts with, less their least; they
+    are taken to be level, then what the range before ended with, and ranges whose start turned out otherwise
+    walk again. Unlabelled rows level the counts, so a range's end soon depends on its own rows only; at worst
+    there are as many rounds as ranges. The driver holds a few numbers a range.
     """
-    own = F.when(F.col(label).isin(variants), F.col(label))
-    counts = dict(rows.groupBy(own.alias("v")).count().collect())  # a row a variant
-    used = [counts.get(v, 0) for v in variants]
-    got = dealt(used, 1, counts.get(None, 0))
-    if missing := [v for v, u, n in zip(variants, used, got, strict=True) if not u + n]:
-        raise ValueError(f"no row uses {', '.join(missing)}")
-    at = group_positions(rows.select(F.col(key).alias("key"), own.alias("own"), own.isNull().cast("bigint").alias("step")), ["step"], ["key"])
-    slots = _slots(rows.sparkSession, [(1, s, used[s], n) for s, n in enumerate(got)])
-    names = F.array(*map(F.lit, variants))
-    return at.join(slots, ["step", "pos"], "left").select("key", F.coalesce("own", F.element_at(names, F.col("shard") + 1)).alias("variant"))
+    spark, v = rows.sparkSession, len(variants)
+    own = F.coalesce(F.array_position(F.array(*map(F.lit, variants)), F.col(label)).cast("int"), F.lit(0)) - 1
+    placed = scan(rows.select(F.col(key).alias("key"), own.alias("own")), [], ["key"], blocks).add(pos=("sum", F.lit(1)))
+    dealt = settled(placed.dealt)
+    kind = dealt.schema["key"].dataType.simpleString()
+    parts = sorted(r._p for r in dealt.select("_p").distinct().collect())  # a number a range
+    starts: dict[int, tuple[int, ...]] = {}
+    ends: dict[int, tuple[int, ...]] = {}
+    level = tuple([0] * v)
+    wanted = dict.fromkeys(parts, level)
+
+    def run(todo: dict[int, tuple[int, ...]], write: bool) -> DataFrame:
+        names = variants
+
+        def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf, used = pdf.sort_values("pos"), list(todo[int(pdf["_p"].iloc[0])])
+            got = _walk(pdf["own"].tolist(), int(pdf["pos"].iloc[0]) - 1, used)
+            if write:
+                return pd.DataFrame({"key": pdf["key"], "variant": [names[i] for i in got]})
+            return pd.DataFrame({"_p": pdf["_p"].iloc[:1], "used": [[u - min(used) for u in used]]})
+
+        chosen = dealt.where(F.col("_p").isin(list(todo)))
+        return chosen.groupBy("_p").applyInPandas(walk, f"key {kind}, variant string" if write else "_p int, used array<int>")
+
+    while todo := {p: s for p, s in wanted.items() if starts.get(p) != s}:
+        ends |= {r._p: tuple(r.used) for r in run(todo, False).collect()}  # a few numbers a range
+        starts |= todo
+        wanted = {p: ends[q] if q is not None else level for q, p in zip([None, *parts], parts)}
+    out = settled(run(starts, True)) if parts else spark.createDataFrame([], f"key {kind}, variant string")
+    free = dealt.where("own < 0").limit(1).count()
+    if free and (missing := set(variants) - {r.variant for r in out.select("variant").distinct().collect()}):
+        raise ValueError(f"no row uses {', '.join(x for x in variants if x in missing)}")
+    return out
+
+
+def rotated_variant(variants: list[str], turn: Column, feasible: Column) -> Column:
+    """SMP-14: the first variant from ``turn`` on, around, that is in the array ``feasible``; null if none is."""
+    n = len(variants)
+    around = F.array(*[F.element_at(F.array(*map(F.lit, variants)), (F.pmod(turn + i, F.lit(n)) + 1).cast("int")) for i in range(n)])
+    return F.get(F.filter(around, lambda x: F.array_contains(feasible, x)), F.lit(0))
 
 
 def equal_shards(df: DataFrame, key: str, shards: int, batch: int, seed: int, total: int) -> DataFrame:

@@ -121,6 +121,12 @@ def smp09(spark, d):
     return sampling.repeat_rows(top, 4)
 
 
+@query("smp09_rank_batch", "WITH t AS (SELECT doc_id FROM documents ORDER BY sha1('42/' || doc_id), doc_id LIMIT 48), c AS (SELECT doc_id, copy::INT AS copy, row_number() OVER (ORDER BY sha1('43/' || doc_id || '/' || copy), doc_id, copy) - 1 AS pos FROM t, range(4) t(copy)) SELECT doc_id, copy, pos FROM c WHERE pos // 24 = 5")
+def smp09_rank(spark, d):
+    """SMP-09: the batch of the sixth of eight workers: 48 prompts, four copies each, shuffled and cut."""
+    return sampling.k_repeat(read(spark, d, "documents").select("doc_id"), "doc_id", 24, 4, 8, 5, SEED).select("doc_id", "copy", "pos")
+
+
 @query("smp10_spread", "WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents) SELECT doc_id FROM p WHERE pos IN (SELECT least(round_even(i * (SELECT max(n) FROM p) / 64.0, 0), (SELECT max(n) FROM p) - 1)::BIGINT FROM range(64) t(i))")
 def smp10(spark, d):
     """SMP-10: sixty-four rows, evenly spaced."""
@@ -149,11 +155,22 @@ def smp14(spark, d):
     return at.select("doc_id", ((sampling.hash_remainder(SEED, 1 << 32, F.col("lang"), F.col("source")) + F.col("pos")) % 5).alias("variant"))
 
 
+@query("smp14_feasible", """WITH r AS (SELECT doc_id, text LIKE '%http%' AS has_style, n_chars > 60 AS long, ('0x' || substr(sha1('42/' || lang || '/' || source), 1, 8))::BIGINT + row_number() OVER (PARTITION BY lang, source ORDER BY sha1('42/' || doc_id), doc_id) - 1 AS turn FROM documents),
+c AS (SELECT doc_id, j, ['depth', 'edges', 'style'][((turn + j) % 3 + 1)::INT] AS v, has_style, long FROM r, range(3) t(j)) SELECT doc_id, arg_min(v, j) FILTER (WHERE (v = 'style' AND has_style) OR (v <> 'style' AND long)) AS variant FROM c GROUP BY 1""")
+def smp14_feasible(spark, d):
+    """SMP-14: variants rotate within a stratum; one that a row has no source for is passed over."""
+    docs = read(spark, d, "documents").select("doc_id", "lang", "source", sampling.order_key(SEED, F.col("doc_id")).alias("o"), F.contains("text", F.lit("http")).alias("has_style"), (F.col("n_chars") > 60).alias("long"))
+    at = joins.group_positions(docs, ["lang", "source"], ["o", "doc_id"])
+    feasible = F.array_compact(F.array(F.when(F.col("long"), "depth"), F.when(F.col("long"), "edges"), F.when(F.col("has_style"), "style")))
+    turn = sampling.hash_remainder(SEED, 1 << 32, F.col("lang"), F.col("source")) + F.col("pos")
+    return at.select("doc_id", sampling.rotated_variant(["depth", "edges", "style"], turn, feasible).alias("variant"))
+
+
 @query("smp16_stride", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents) WHERE pos % greatest(1, n // 50) = 0 ORDER BY pos LIMIT 50")
 def smp16(spark, d):
-    """SMP-16: every n-th row, fifty at most."""
+    """SMP-16: every n-th row, fifty at most; the table is not sorted for them."""
     docs = read(spark, d, "documents").select("doc_id")
-    return joins.positions(docs, ["doc_id"]).where(F.col("pos") % max(1, docs.count() // 50) == 0).orderBy("pos").limit(50).select("doc_id")
+    return sampling.take_positions(docs, ["doc_id"], sampling.stride_indices(docs.count(), 50)).select("doc_id")
 
 
 @query("smp17_group_split", "SELECT doc_id, source IN (SELECT source FROM (SELECT source, row_number() OVER (ORDER BY source) - 1 AS pos FROM (SELECT DISTINCT source FROM documents)) WHERE pos % 5 = 0) AS held_out FROM documents")
@@ -214,6 +231,25 @@ def smp02(spark, d):
     return sampling.pack_longest_first(files, "l_suppkey", "n", 8)
 
 
+@query("smp02_shard_order")
+def smp02_order(spark, d):
+    """SMP-02: the packed plan, kept and read again, with each shard's own seeded order."""
+    files = read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    at = joins.scratch(spark, "plans")
+    sampling.packing_plan(files, "l_suppkey", "n", 8, SEED, at)
+    return sampling.packing_plan(files, "l_suppkey", "n", 8, SEED, at)
+
+
+@query("smp15_quota_lines", """WITH RECURSIVE p AS (SELECT l_shipdate::DATE - DATE '1900-01-01' AS c, l_suppkey AS u, sha1('42/' || l_suppkey) AS o FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber >= 7 GROUP BY ALL),
+d AS (SELECT c, row_number() OVER (ORDER BY c) AS k FROM (SELECT DISTINCT c FROM p)), w AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS used, 0 AS c, []::BIGINT[] AS got UNION ALL
+SELECT k, list_concat(used, got), c, got FROM (SELECT w.k + 1 AS k, w.used, d.c, (SELECT coalesce(list(u ORDER BY o, u)[1:2], []) FROM p WHERE p.c = d.c AND NOT list_contains(w.used, p.u)) AS got FROM w JOIN d ON d.k = w.k + 1))
+SELECT c AS cell, unnest(got) AS unit FROM w""")
+def smp15_lines(spark, d):
+    """SMP-15: two suppliers for each day of returned last lines, no supplier on two days; all days ask at once."""
+    li = read(spark, d, "lineitem").where("l_returnflag = 'R' AND l_linenumber >= 7").select(F.datediff("l_shipdate", F.lit("1900-01-01")).alias("cell"), F.col("l_suppkey").alias("unit")).distinct()
+    return sampling.quota_cells(li.withColumn("o", sampling.order_key(SEED, F.col("unit"))), "cell", "unit", "o", 2)
+
+
 @query("smp15_quota")
 def smp15(spark, d):
     """SMP-15: three suppliers of each region's nations, none twice."""
@@ -221,12 +257,12 @@ def smp15(spark, d):
     return sampling.quota_cells(cells, "cell", "unit", "o", 3)
 
 
-@query("smp25_least_used", """WITH v(i, v) AS (VALUES (0, 'oil'), (1, 'ink'), (2, 'clay')), own AS (SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN 'ink' WHEN s_suppkey % 5 = 0 THEN 'lead' END AS own FROM supplier),
-used AS (SELECT i, v, count(s_suppkey) AS n FROM v LEFT JOIN own ON own = v GROUP BY 1, 2), slots AS (SELECT v, row_number() OVER (ORDER BY n + j, i) AS pos FROM used, range((SELECT count(*) FROM supplier)) t(j)),
-free AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS pos FROM own WHERE own IS NULL OR own = 'lead')
-SELECT s_suppkey AS key, 'ink' AS variant FROM own WHERE own = 'ink' UNION ALL SELECT s_suppkey, v FROM free JOIN slots USING (pos)""")
+@query("smp25_least_used", """WITH RECURSIVE r AS (SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN 1 END AS own, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier),
+w AS (SELECT -1::BIGINT AS i, NULL::BIGINT AS s_suppkey, 0 AS got, [0, 0, 0]::INT[] AS n UNION ALL
+SELECT i, s_suppkey, got, list_transform([0, 1, 2], lambda v: n[v + 1] + (v = got)::INT) FROM (SELECT r.i, r.s_suppkey, w.n, coalesce(own, (list_sort(list_transform([0, 1, 2], lambda j: {'c': w.n[((r.i + j) % 3 + 1)::INT], 'j': j}))[1].j + r.i) % 3)::INT AS got FROM w JOIN r ON r.i = w.i + 1))
+SELECT s_suppkey AS key, ['oil', 'ink', 'clay'][got + 1] AS variant FROM w WHERE i >= 0""")
 def smp25(spark, d):
-    """SMP-25: styles of suppliers, balanced; labels that are no style count as none."""
+    """SMP-25: styles of suppliers, balanced in row order; labels that are no style count as none."""
     rows = read(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 9 == 0, "ink").when(F.col("s_suppkey") % 5 == 0, "lead").alias("own"))
     return sampling.least_used(rows, "s_suppkey", "own", ["oil", "ink", "clay"])
 
