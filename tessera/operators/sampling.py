@@ -227,10 +227,10 @@ def _walk(labels: list[int], first: int, used: list[int]) -> list[int]:
     return out
 
 
-def least_used(rows: DataFrame, key: str, label: str, variants: list[str], blocks: int | None = None) -> DataFrame:
+def least_used(rows: DataFrame, key: str, label: str, variants: list[str], blocks: int | None = None, subset: bool = False) -> DataFrame:
     """SMP-25: a stated label wins; each other row, in order of ``key``, takes the variant used least by the rows
     before it; of equals the first in a rotation that begins at the row's place. A variant that no row uses is an
-    error unless all rows are labelled.
+    error; with ``subset`` not if all rows are labelled.
 
     The walk runs over ranges of rows side by side. A range needs the counts it starts with, less their least; they
     are taken to be level, then what the range before ended with, and ranges whose start turned out otherwise
@@ -266,7 +266,7 @@ def least_used(rows: DataFrame, key: str, label: str, variants: list[str], block
         starts |= todo
         wanted = {p: ends[q] if q is not None else level for q, p in zip([None, *parts], parts)}
     out = settled(run(starts, True)) if parts else spark.createDataFrame([], f"key {kind}, variant string")
-    free = dealt.where("own < 0").limit(1).count()
+    free = not subset or dealt.where("own < 0").limit(1).count()
     if free and (missing := set(variants) - {r.variant for r in out.select("variant").distinct().collect()}):
         raise ValueError(f"no row uses {', '.join(x for x in variants if x in missing)}")
     return out

@@ -3,26 +3,30 @@ them as the operator does."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays
 from tessera.operators import evaluation as ev
 from tessera.operators import joins
 from tessera.plans.registry import query, read
-from tessera.sources import readers, sinks
+from tessera.sources import arrow_files, readers, sinks
+from tessera.sources.versioned import VersionedTable
 from tessera.streaming import sessions
 
 
+LIST_ROWS = 500
+
+
 def _folder(spark, name: str) -> str:
-    return f"{joins.shared_folder(spark)}/files/{name}-{uuid.uuid4().hex}"
+    """A new folder; it is removed when the driver ends."""
+    return joins.scratch(spark, f"files-{name}")
 
 
 def _json_lists(df, key: str, item, path: str) -> None:
-    """JSON lists of bounded length, a file each."""
-    lists = df.groupBy(F.pmod(F.xxhash64(key), F.lit(16))).agg(F.to_json(F.collect_list(item)).alias("value"))
-    lists.select("value").repartition(16).write.option("maxRecordsPerFile", 1).text(path)
+    """JSON lists of about ``LIST_ROWS`` rows, a file each: as many lists as the table needs."""
+    cells = -(-df.count() // LIST_ROWS) or 1
+    lists = df.groupBy(F.pmod(F.xxhash64(key), F.lit(cells))).agg(F.to_json(F.collect_list(item)).alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
 
 
 def _lines(df, column, path: str) -> None:
@@ -30,7 +34,7 @@ def _lines(df, column, path: str) -> None:
     df.select(column.alias("value")).coalesce(1).write.text(path)
 
 
-@query("src05_by_suffix", "SELECT 'csv' AS kind, s_suppkey::BIGINT AS k, s_name AS name FROM supplier UNION ALL SELECT 'json', n_nationkey, n_name FROM nation UNION ALL SELECT 'jsonl', c_custkey, c_name FROM customer UNION ALL SELECT 'parquet', p_partkey, p_name FROM part")
+@query("src05_by_suffix", "SELECT 'csv' AS kind, s_suppkey::BIGINT AS k, s_name AS name FROM supplier UNION ALL SELECT 'json', n_nationkey, n_name FROM nation UNION ALL SELECT 'jsonl', c_custkey, c_name FROM customer UNION ALL SELECT 'parquet', p_partkey, p_name FROM part UNION ALL SELECT 'arrow', o_orderkey, o_orderpriority FROM orders")
 def src05(spark, d):
     """SRC-05: one reader by suffix."""
     at = _folder(spark, "suffix")
@@ -38,7 +42,9 @@ def src05(spark, d):
     sinks.json_document(read(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")), "k").write.text(f"{at}.json")
     read(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")).write.json(f"{at}.jsonl")
     read(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name")).write.parquet(f"{at}.parquet")
-    parts = {s: readers.by_suffix(spark, f"{at}.{s}").select(F.col("k").cast("bigint").alias("k"), "name") for s in ("csv", "json", "jsonl", "parquet")}
+    arrow_files.register(spark)
+    read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("name")).write.format("arrow_ipc").mode("append").save(f"{at}.arrow")
+    parts = {s: readers.by_suffix(spark, f"{at}.{s}").select(F.col("k").cast("bigint").alias("k"), "name") for s in ("csv", "json", "jsonl", "parquet", "arrow")}
     return joins.labelled_union(parts, "kind")
 
 
@@ -156,7 +162,7 @@ def src20_tree(spark, d):
     """SRC-20: metadata files of segments, exploded to candidates by node, with their provenance."""
     at = _folder(spark, "segments")
     o = read(spark, d, "orders").select(F.concat(F.lit("seg_"), F.substring("o_orderpriority", 1, 1)).alias("seg"), F.col("o_orderstatus").alias("source"), F.col("o_orderkey").alias("k"))
-    part = F.pmod(F.xxhash64("k"), F.lit(64))
+    part = F.pmod(F.xxhash64("k"), F.lit(-(-o.count() // LIST_ROWS) or 1))
     nodes = o.groupBy("seg", "source", part.alias("p")).agg(F.collect_list("k").alias("nodes")).drop("p")
     for r in nodes.select("seg").distinct().collect():  # five priorities
         nodes.where(F.col("seg") == r["seg"]).drop("seg").write.option("maxRecordsPerFile", 1).json(f"{at}/{r['seg']}")
@@ -164,6 +170,35 @@ def src20_tree(spark, d):
     return rows.groupBy("segment", "source").agg(F.count("*").alias("n"), F.sum("node").alias("keys"))
 
 
+@query("src15_listing", "SELECT p_partkey AS k, 'condition_' || p_partkey || '.bin' AS condition FROM part WHERE p_size % 3 <> 0 AND p_size % 5 <> 0")
+def src15_listing(spark, d):
+    """SRC-15: files of three folders, a sample where all have it; latent_X goes with condition_X. Part by size."""
+    at, p = _folder(spark, "sources"), read(spark, d, "part")
+    for folder, rows, prefix in (("latents", p, "latent_"), ("conditions", p.where("p_size % 3 <> 0"), "condition_"), ("audio", p.where("p_size % 5 <> 0"), "latent_")):
+        sinks.write_named(rows.select(F.format_string(f"{prefix}%d.bin", "p_partkey").alias("name"), F.col("p_name").alias("value")), f"{at}/{folder}")
+    got = readers.co_listed(spark, at, {"conditions": "c", "audio": "a", "latents": "l"}, ".bin")
+    name = F.substring_index("sample", "/", -1)
+    return got.select(F.regexp_extract(name, r"(\d+)", 1).cast("bigint").alias("k"), F.substring_index("c", "/", -1).alias("condition"))
+
+
+@query("snk15_table", """SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'NEW' WHEN c_custkey % 10 = 3 THEN 'PATCHED' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 10 = 0 THEN 0 ELSE c_nationkey END AS c_nationkey, CASE WHEN c_custkey % 100 = 1 THEN 'late' ELSE 'active' END AS status
+FROM (SELECT c_custkey, c_mktsegment, c_nationkey FROM customer UNION ALL SELECT c_custkey + 10000000, 'NEW', 0 FROM customer WHERE c_custkey % 100 = 0) WHERE c_custkey % 7 <> 0 UNION ALL SELECT c_custkey + 20000001, 'APPENDED', 1, 'late' FROM customer WHERE c_custkey % 100 = 0""")
+def snk15_table(spark, d):
+    """SNK-09, SNK-15, SNK-16: a table by commits: upsert, delete, a column with a default, a patch, an append."""
+    t = VersionedTable(spark, _folder(spark, "table"))
+    c = read(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    key = ["c_custkey"]
+    t.create(c.repartitionByRange(8, "c_custkey"))
+    fresh = c.where("c_custkey % 10 = 0").unionByName(c.where("c_custkey % 100 = 0").withColumn("c_custkey", F.col("c_custkey") + 10000000))
+    t.upsert(fresh.select("c_custkey", F.lit("NEW").alias("c_mktsegment"), F.lit(0).cast(c.schema["c_nationkey"].dataType).alias("c_nationkey")), key)
+    t.delete(t.read().where("c_custkey % 7 = 0"), key)
+    t.add_columns({"status": ("string", "active")})
+    t.patch(c.where("c_custkey % 10 = 3").select("c_custkey", F.lit("PATCHED").alias("c_mktsegment")), key, ["c_mktsegment", "status"])
+    t.patch(c.where("c_custkey % 100 = 1").select("c_custkey", F.lit("late").alias("status")), key, ["c_mktsegment", "status"])
+    t.append(c.where("c_custkey % 100 = 0").select((F.col("c_custkey") + 20000001).alias("c_custkey"), F.lit("APPENDED").alias("c_mktsegment"), F.lit(1).cast(c.schema["c_nationkey"].dataType).alias("c_nationkey"), F.lit("late").alias("status")))
+    return t.read()
+
+
 @query("src21_store", "SELECT o_orderstatus AS status, c_mktsegment AS dataset, count(*) AS n, max(o_orderdate) AS newest FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 1000 GROUP BY 1, 2")
 def src21_store(spark, d):
     """SRC-21: tables of a store, selected by SQL."""

@@ -343,11 +343,11 @@ def flt18(spark, d):
     return _records(spark, d).select(reason.alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("flt19_same_identity", "SELECT event_type, count(DISTINCT (user_id % 2, event_type)) = 1 AS same FROM events WHERE user_id % 2 = 0 GROUP BY 1")
+@query("flt19_same_identity", "SELECT o_custkey, count(DISTINCT (o_orderstatus, o_orderpriority)) = 1 AS same FROM orders GROUP BY 1")
 def flt19(spark, d):
-    """FLT-19: whether a batch has one identity."""
-    e = read(spark, d, "events").where("user_id % 2 = 0")
-    return e.groupBy("event_type").agg((F.countDistinct(F.struct((F.col("user_id") % 2), "event_type")) == 1).alias("same"))
+    """FLT-19: whether all rows of a batch (a customer's orders) have one identity."""
+    identity = F.struct("o_orderstatus", "o_orderpriority")
+    return read(spark, d, "orders").groupBy("o_custkey").agg((F.min(identity) == F.max(identity)).alias("same"))
 
 
 @query("prj04_normalised", "SELECT event_id, substr(md5(event_id::VARCHAR), 1, 7) AS config_id, coalesce(nullif(event_type, 'view'), '') AS branch FROM events")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +10,8 @@ from pyspark.sql import types as T
 
 from tessera.operators import joins
 from tessera.operators.filters import kept_by_hash
+from tessera.operators.scans import scan
+from tessera.sources import arrow_files
 
 
 def parquet_tree(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -20,17 +21,26 @@ def parquet_tree(spark: SparkSession, path: str, schema: T.StructType | None = N
 
 
 def file_counts(df: DataFrame) -> DataFrame:
-    """SRC-01: rows of each file, in order of path."""
-    return df.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n")).orderBy("path")
+    """SRC-01: rows of each file. No column is read: the footers give the rows of each row group."""
+    return df.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n"))
+
+
+def file_index(df: DataFrame) -> DataFrame:
+    """SRC-01, SRC-03: each file's path, rows (n) and the number of its first row over all files in order of path
+    (first); a running sum over ranges, so the list of files stays in Spark."""
+    return joins.cumulated(file_counts(df), [], ["path"], F.col("n"), "upto").select("path", "n", (F.col("upto") - F.col("n")).alias("first"))
 
 
 def parse_path_specs(specs: str | list[str] | dict[str, int]) -> list[tuple[str, int]]:
-    """SRC-02: ``dir:2,dir2``, a list or a mapping as (path, times); times of zero or less drop out."""
+    """SRC-02: ``dir:2,dir2``, a list (paths as they are, once each) or a mapping as (path, times); times of zero or
+    less drop out."""
     if isinstance(specs, dict):
         pairs = [(p, int(n)) for p, n in specs.items()]
+    elif not isinstance(specs, str):
+        pairs = [(str(s), 1) for s in specs]
     else:
         pairs = []
-        for s in specs.split(",") if isinstance(specs, str) else specs:
+        for s in specs.split(","):
             head, sep, tail = s.strip().rpartition(":")
             if sep and not tail.startswith("/"):
                 if not tail.lstrip("-").isdigit():
@@ -51,7 +61,7 @@ def mixed(frames: list[tuple[DataFrame, int]]) -> DataFrame:
 
 
 def by_suffix(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-05: .csv, .json (rows under ``data``), .jsonl or .parquet; others are refused."""
+    """SRC-05: .csv, .json (rows under ``data``), .jsonl, .parquet or .arrow; others are refused."""
     suffix = path.rstrip("/").rpartition(".")[2].lower()
     if suffix == "csv":
         return spark.read.option("header", True).csv(path)
@@ -61,6 +71,9 @@ def by_suffix(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.json(path)
     if suffix == "parquet":
         return spark.read.parquet(path)
+    if suffix == "arrow":
+        arrow_files.register(spark)
+        return spark.read.format("arrow_ipc").load(path)
     raise ValueError(f"no reader for .{suffix} files")
 
 
@@ -103,17 +116,47 @@ def common_samples(sources: dict[str, DataFrame], key: str) -> DataFrame:
 
 def point_lookup(df: DataFrame, places: list[int]) -> DataFrame:
     """SRC-03: the rows of Parquet files at the given numbers over all files, in order of path: ``pos`` and the
-    columns. Footers give the files' row counts, so only the files asked for are read, and no row is sorted."""
-    files, start, wanted = file_counts(df).collect(), 0, []  # a row a file
-    for f in files:
-        wanted += [(f["path"], p - start, p) for p in places if start <= p < start + f["n"]]
-        start += f["n"]
-    if outside := [p for p in places if not 0 <= p < start]:
-        raise IndexError(f"no rows {outside} among {start}")
+    columns.
+
+    Places and files meet in one ordered scan (each place takes the last file that begins at or before it), so no list
+    of files reaches the driver, only the names of those asked for; these alone are read, and their rows meet the
+    places in a broadcast join. A place outside is an error.
+    """
+    spark, index = df.sparkSession, file_index(df)
+    wanted = spark.createDataFrame([(p,) for p in sorted(set(places))], "pos bigint")
+    starts = index.where("n > 0").select(F.col("first").alias("at"), F.lit(0).alias("kind"), F.struct("path", "first", "n").alias("file"), F.lit(None).cast("bigint").alias("pos"))
+    asked = wanted.select(F.col("pos").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(starts.schema["file"].dataType).alias("file"), "pos")
+    met = scan(starts.unionByName(asked), [], ["at", "kind"]).add(held=("last", F.col("file"))).rows.where("kind = 1")
+    found = [r for r in met.select("pos", "held.*").collect()]  # a row a place asked for
+    if outside := [r.pos for r in found if r.path is None or not 0 <= r.pos < r.first + r.n]:
+        raise IndexError(f"no rows {sorted(outside)}")
+    at = spark.createDataFrame([(r.path, r.pos - r.first, r.pos) for r in found], "_f string, _i bigint, pos bigint")
     rows = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
-    hit = reduce(lambda a, b: a | b, [(F.col("_f") == f) & (F.col("_i") == i) for f, i, _ in wanted], F.lit(False))
-    at = F.create_map(*[x for f, i, p in wanted for x in (F.lit(f"{f}#{i}"), F.lit(p))]) if wanted else F.create_map().cast("map<string,int>")
-    return rows.where(hit).withColumn("pos", at[F.concat_ws("#", "_f", "_i")].cast("bigint")).drop("_f", "_i")
+    return rows.where(F.col("_f").isin(sorted({r.path for r in found}))).join(F.broadcast(at), ["_f", "_i"]).drop("_f", "_i")
+
+
+def co_listed(spark: SparkSession, root: str, sources: dict[str, str], suffix: str = ".pt", renamed: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """SRC-15: the samples of which every source has its file: one row with the path in each source (column names are
+    the values of ``sources``, folders below ``root`` its keys). The first source, or ``latents``, says which samples
+    there are; ``renamed`` maps a folder to the prefixes (in the first source, in this one) by which names differ.
+    Files are listed, not read."""
+    lead = "latents" if "latents" in sources else next(iter(sources))
+    renamed = {"conditions": ("latent_", "condition_")} if renamed is None else renamed
+    out = None
+    for folder, column in sorted(sources.items(), key=lambda x: x[0] != lead):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(f"{root}/{folder}").select("path")
+        rel = F.substring_index(F.col("path"), f"/{folder}/", -1)
+        files = files.select(rel.alias("rel"), F.col("path").alias(column))
+        if out is None:
+            out = files
+            continue
+        key = F.col("rel")
+        if folder in renamed:
+            there, here = renamed[folder]
+            name = F.substring_index("rel", "/", -1)
+            key = F.when(F.startswith(name, F.lit(there)), F.concat(F.lit(here), F.substr(name, F.lit(len(there) + 1)))).otherwise(F.col("rel"))
+        out = out.withColumn("_k", key).join(files.withColumnRenamed("rel", "_k"), "_k").drop("_k")
+    return out.withColumnRenamed("rel", "sample")
 
 
 def annotations(spark: SparkSession, merge: str, schema: str) -> DataFrame:

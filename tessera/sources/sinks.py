@@ -54,6 +54,24 @@ def write_records(df: DataFrame, path: str, by: str) -> None:
     df.write.partitionBy(by).json(path)
 
 
+def write_named(df: DataFrame, path: str) -> None:
+    """SNK-12: a file each for the texts of (name, value), under the row's own name; small files, written by tasks
+    to the store that ``path`` names."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+        for batch in batches:
+            store.create_dir(at, recursive=True)
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_output_stream(f"{at}/{name}") as out:  # whole on close; a second try writes the same
+                    out.write((value or "").encode())
+            yield batch.slice(0, 0)
+
+    df.select("name", "value").mapInArrow(run, "name string, value string").write.format("noop").mode("overwrite").save()
+
+
 def upsert(base: DataFrame, updates: DataFrame, key: list[str]) -> DataFrame:
     """SNK-15: rows of ``updates`` replace those of their key."""
     return base.join(updates, key, "left_anti").unionByName(updates)
