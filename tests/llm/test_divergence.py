@@ -59,7 +59,9 @@ def test_counts_beyond_a_long(spark):
     """10**9 times a count of 4 * 10**12 passes a long; probabilities are exact all the same."""
     n = [4 * 10**12, 7, 0]
     counts = spark.createDataFrame([("en", s, f"t{i}", v if s == "a" else i + 1, 3) for s in "ab" for i, v in enumerate(n)], "lang string, source string, term string, n bigint, docs bigint")
-    _, dense, q = d.probabilities(d.table(counts, "counts"), 3)
-    got = {(r.source, r.term): r.p for r in dense.collect()}
+    kept = d.table(d.vocabulary(counts, 3), "kept")
+    groups = d.table(d.group_sizes(counts.select("lang", "source").distinct(), kept), "groups")
+    got = {(r.source, r.term): r.p for r in d.dense(kept, groups).collect()}
     assert got == {("a", f"t{i}"): 1 + 10**9 * (v + 1) // (sum(n) + 3) for i, v in enumerate(n)} | {("b", f"t{i}"): 1 + 10**9 * (i + 2) // 9 for i in range(3)}
+    q = kept.join(groups.where("source = 'a'"), "lang").select("term", d.probability("n", "lang_total").alias("q"))
     assert {r.term: r.q for r in q.collect()} == {f"t{i}": 1 + 10**9 * (v + i + 2) // (sum(n) + 9) for i, v in enumerate(n)}
