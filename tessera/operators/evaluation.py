@@ -17,11 +17,13 @@ from tessera.operators.cohorts import group_quantiles, linear, with_halo
 
 @dataclass(frozen=True)
 class Metric:
-    """UDF-01, UDF-02: ``score`` is a column per row (null is a skipped row); ``reduce`` its aggregate."""
+    """UDF-01, UDF-02: ``score`` is a column per row (null is a skipped row); ``reduce`` its aggregate; ``skipped``
+    the reason why a row has no score (null: it has one)."""
 
     name: str
     score: Callable[[], Column]
     reduce: Callable[[Column], Column] = F.avg
+    skipped: Callable[[], Column] | None = None
 
 
 _METRICS: dict[str, Metric] = {}
@@ -51,6 +53,38 @@ def evaluate_rows(df: DataFrame, key: list[str], metrics: list[Metric]) -> DataF
     return long.withColumn("metric", F.replace("metric", F.lit("__"), F.lit("."))).withColumn("skipped", F.col("score").isNull())
 
 
+def explained_rows(df: DataFrame, key: list[str], metrics: list[Metric]) -> DataFrame:
+    """UDF-01: long form (key, metric, score, reason): a row is skipped where its metric gives a reason, and its score is
+    null then; a null score without one has the reason ``no score``."""
+
+    def result(m: Metric) -> Column:
+        why = m.skipped() if m.skipped else F.lit(None).cast("string")
+        score = F.when(why.isNull(), m.score().cast("double"))
+        return F.struct(F.lit(m.name).alias("metric"), score.alias("score"), F.coalesce(why, F.when(score.isNull(), "no score")).alias("reason"))
+
+    return df.select(*key, F.inline(F.array(*map(result, metrics))))
+
+
+def spatial_masks(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
+    """ARR-10: over a clip's frames (rows with two masks as arrays of 0 and 1) the IoU of the places that any frame
+    marks (spatial), and of how often each is marked (weighted); 1 where neither marks any."""
+    pixels = df.select(group, F.posexplode(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b"))).alias("i", "z"))
+    each = pixels.groupBy(group, "i").agg(F.max("z.a").alias("any_a"), F.max("z.b").alias("any_b"), F.sum("z.a").alias("a"), F.sum("z.b").alias("b"))
+    iou = lambda low, high: F.coalesce(F.try_divide(F.sum(low), F.nullif(F.sum(high), F.lit(0))), F.lit(1.0))
+    return each.groupBy(group).agg(iou(F.least("any_a", "any_b"), F.greatest("any_a", "any_b")).alias("spatial_iou"), iou(F.least("a", "b"), F.greatest("a", "b")).alias("weighted_spatial_iou"))
+
+
+def block_correlation(df: DataFrame, key: str, a: str, b: str, width: int, height: int, factor: int) -> DataFrame:
+    """ARR-13: Pearson correlation of two frames (arrays of ``height`` rows) after means over blocks of ``factor`` by
+    ``factor``, what is left over at the ends trimmed; NaN if a side is constant or a single block."""
+    x, y = F.col("i") % width, F.floor(F.col("i") / width)
+    pixels = df.select(key, F.posexplode(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b"))).alias("i", "z")).where((x < width // factor * factor) & (y < height // factor * factor))
+    blocks = pixels.groupBy(key, F.floor(x / factor).alias("x"), F.floor(y / factor).alias("y")).agg(F.avg("z.a").alias("a"), F.avg("z.b").alias("b"))
+    flat = (F.min("a") == F.max("a")) | (F.min("b") == F.max("b"))
+    safe = F.when(flat, F.lit(float("nan"))).otherwise(F.try_divide(F.covar_pop("a", "b"), F.nullif(F.stddev_pop("a") * F.stddev_pop("b"), F.lit(0.0))))
+    return blocks.groupBy(key).agg(F.coalesce(safe, F.lit(float("nan"))).alias("r"))
+
+
 def evaluate_corpus(df: DataFrame, by: list[str], metrics: list[Metric]) -> DataFrame:
     """UDF-02, UDF-05: one aggregate for each metric; partial aggregation merges what tasks accumulated."""
     return df.groupBy(*by).agg(*[m.reduce(m.score()).alias(m.name.replace(".", "_")) for m in metrics])

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class ValidatorChain:
@@ -69,6 +71,34 @@ def valid_size(width: Column, height: Column) -> Column:
     return width.isNotNull() & height.isNotNull()
 
 
+def classified(df: DataFrame, text: str, classify, threshold: float, unsafe: str = "unsafe") -> DataFrame:
+    """UDF-08: label, score, decision and reason of each row's text by any classifier.
+
+    ``classify`` is a function of a list of texts (line ends as blanks) that gives a label and a score of each; it runs
+    on Arrow batches, and may load its model the first time. None as classifier is one that is not there. BLOCK is an
+    unsafe label with a score at the threshold or over; a batch on which the classifier fails has no decision.
+    """
+    kind = T.StructType().add("label", "string").add("score", "double").add("reason", "string")
+
+    @F.arrow_udf(kind)
+    def run(texts: pa.Array) -> pa.Array:
+        values = [(v or "").replace("\n", " ") for v in texts.to_pylist()]
+        try:
+            got = classify(values)
+            rows = [{"label": label, "score": float(score), "reason": None} for label, score in got]
+            if len(rows) != len(values):
+                raise ValueError(f"{len(rows)} labels for {len(values)} texts")
+        except Exception as e:  # the classifier is the user's: what fails in it is their rows' reason
+            rows = [{"label": None, "score": None, "reason": f"classifier error: {e}"}] * len(values)
+        return pa.array(rows, pa.struct([("label", pa.string()), ("score", pa.float64()), ("reason", pa.string())]))
+
+    none = F.struct(F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("score"), F.lit("no classifier").alias("reason"))
+    out = df.withColumn("_c", run(text) if classify is not None else none)
+    label, score, reason = F.col("_c.label"), F.col("_c.score"), F.col("_c.reason")
+    decision = F.when(reason.isNotNull(), "UNAVAILABLE").when((label == unsafe) & (score >= threshold), "BLOCK").otherwise("ALLOW")
+    return out.withColumns({"label": label, "score": score, "decision": decision, "reason": reason}).drop("_c")
+
+
 def safety_decision(score: Column, threshold: float) -> Column:
     """UDF-08: BLOCK at the threshold or above, ALLOW below it, UNAVAILABLE without a score."""
     return F.when(score.isNull() | F.isnan(score), "UNAVAILABLE").when(score >= threshold, "BLOCK").otherwise("ALLOW")
