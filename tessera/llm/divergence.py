@@ -87,12 +87,14 @@ def divergence(docs: DataFrame, least_docs: int = 3, most_terms: int = 200) -> D
     """
     kept = table(vocabulary(term_counts(docs), least_docs), "kept")
     groups = table(group_sizes(docs.select(_empty("lang"), _empty("source")).distinct(), kept), "groups")
-    share = F.expr("(p - q) * (p - q) div q")
+    share, back = F.expr("(p - q) * (p - q) div q"), F.expr("(p - q) * (p - q) div p")
 
     rows = dense(kept, groups).repartition("lang", "term")
     other = rows.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
-    met = rows.join(other.hint("shuffle_hash"), ["lang", "term"]).where("source <> item")
-    sums = met.groupBy("lang", "source", "item").agg(F.sum(share).alias("value"))
+    met = rows.join(other.hint("shuffle_hash"), ["lang", "term"]).where("source < item")  # a pair once, both ways
+    both = met.groupBy("lang", "source", "item").agg(F.sum(share).alias("to"), F.sum(back).alias("fro"))
+    ways = F.array(F.struct("source", "item", F.col("to").alias("value")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("fro").alias("value")))
+    sums = both.select("lang", F.explode(ways).alias("w")).select("lang", "w.*")
     pairs = groups.select("lang", "source").join(groups.select("lang", F.col("source").alias("item")), "lang").where("source <> item")
     pairs = pairs.join(sums, ["lang", "source", "item"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).cast("bigint").alias("value"))
 
