@@ -37,6 +37,7 @@ from tessera.llm.common import byte_view, components, keyed_join, mix, shingle_h
 NGRAM = 3
 THRESHOLD = (90, 100)
 BLOCK = 1024
+DEALS = 4
 _CHUNK = 1 << 20
 
 IS_WORD = np.ones(256, dtype=bool)
@@ -59,9 +60,12 @@ class Segments:
     """Signatures of sets: one for each segment of hashes, for the band of the set's size and the next.
 
     Linked sets of up to ``hi`` shingles differ in at most k = 2 * hi * (1 - t) / (1 + t) of them, so they
-    agree in ``1 + spare`` or more of ``k + 1 + spare`` segments. A segment without shingles says little;
-    it is signed only by sets that have more than ``spare`` of those. A set that shares fewer signatures
-    than ``needs`` with all others together has no link.
+    agree in ``1 + spare`` or more of ``k + 1 + spare`` segments. A segment without shingles says nothing and is not
+    signed. A set with ``spare`` of those or fewer shares a signed segment with each set linked to it; a sparse
+    one, with more, might miss other sparse ones, so those are dealt anew, by another hash, up to ``DEALS`` times,
+    and what is sparse in all of them signs its prefix: the least of its shingles, so many that linked sets have
+    one in common. A set that shares fewer signatures than ``needs`` with all others together has no link, and
+    sets of a size at which only equal ones link sign the whole of themselves.
     """
 
     def __init__(self, t: tuple[int, int]):
@@ -78,27 +82,40 @@ class Segments:
         return int(np.searchsorted(self.edges, size, side="right")) - 1
 
     @staticmethod
-    def _deal(s: np.ndarray, n: int) -> np.ndarray:
+    def _deal(s: np.ndarray, n: int, deal: int = 0) -> np.ndarray:
+        s = mix(s + np.uint64(deal)) if deal else s
         return (((s * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
+    def links(self, size: int) -> bool:
+        """Whether sets of this size can be linked to a different set."""
+        return any(needed(size, b, self.t) <= min(size, b) - (size == b) for b in (size - 1, size, size + 1) if b)
+
     def needs(self, s: np.ndarray) -> int:
         at, out = self.band(len(s)), []
         for n, spare in self.plan[at : at + 2]:
             empty = int((np.bincount(self._deal(s, n), minlength=n) == 0).sum())
-            out.append(1 + spare - empty if empty <= spare else 1)  # a fuller partner signs none of the empty segments
+            out.append(1 + spare - empty if empty <= spare else 1)
         return min(out)
 
     def sign(self, s: np.ndarray) -> np.ndarray:
         out, at = [], self.band(len(s))
+        if not self.links(len(s)):
+            return mix(s.sum(keepdims=True) + np.uint64(len(s))).view(np.int64)
         low, high = (s & np.uint64(0xFFFFFFFF)).astype(np.float64), (s >> np.uint64(32)).astype(np.float64)
         for band in (at, at + 1):
             n, spare = self.plan[band]
-            seg = self._deal(s, n)
-            count = np.bincount(seg, minlength=n)
-            total = np.bincount(seg, low, minlength=n).astype(np.uint64) + (np.bincount(seg, high, minlength=n).astype(np.uint64) << np.uint64(32))
-            keep = np.arange(n) if (count == 0).sum() > spare else np.flatnonzero(count)
-            where = np.uint64(band << 32) + keep.astype(np.uint64)
-            out.append(mix(mix(total[keep]) + mix(where + np.uint64(1))))
+            for deal in range(DEALS):
+                seg = self._deal(s, n, deal)
+                count = np.bincount(seg, minlength=n)
+                total = np.bincount(seg, low, minlength=n).astype(np.uint64) + (np.bincount(seg, high, minlength=n).astype(np.uint64) << np.uint64(32))
+                keep = np.flatnonzero(count)
+                where = np.uint64((deal << 48) + (band << 32)) + keep.astype(np.uint64)
+                out.append(mix(mix(total[keep]) + mix(where + np.uint64(1))))
+                if n - len(keep) <= spare:
+                    break
+            else:
+                least = needed(len(s), -(-len(s) * self.t[0] // self.t[1]), self.t)
+                out.append(mix(mix(s[: len(s) - least + 1]) + mix(np.array([(DEALS << 48) + (band << 32)], dtype=np.uint64))))
         return np.concatenate(out).view(np.int64)
 
 

@@ -128,3 +128,31 @@ def test_one_hot_set(spark):
     rows = [(i, "one and the same text") for i in range(3000)] + [(10_000 + i, f"text {i} of its own kind") for i in range(6000)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in j.jaccard_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
     assert got == {i: (3, 0) if i < 10_000 else (4, i) for i, _ in rows}
+
+
+def test_sets_without_link_share_no_signature():
+    """Small sets of unrelated shingles: what is empty in them must not bring them together, at any size of table."""
+    rng = np.random.default_rng(7)
+    for t in ((80, 100), (90, 100), (50, 100)):
+        plan = j.Segments(t)
+        for size in (*range(1, 13), 30):
+            sigs = np.concatenate([plan.sign(np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))) for _ in range(3000)])
+            assert len(np.unique(sigs)) == len(sigs)
+
+
+def test_sparse_sets_are_found(monkeypatch):
+    """Linked sets share a signature whatever the deal: by brute force with few segments hit, down to the prefix."""
+    rng = np.random.default_rng(8)
+    for deals in (1, 2, 4):
+        monkeypatch.setattr(j, "DEALS", deals)
+        for t in ((80, 100), (50, 100)):
+            plan = j.Segments(t)
+            for size in range(2, 40):
+                for _ in range(60):
+                    a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+                    own = rng.integers(0, 2**63, int(rng.integers(0, size)) + 1, dtype=np.uint64)
+                    b = np.unique(np.concatenate([rng.permutation(a)[: int(rng.integers(1, size + 1))], own[: int(rng.integers(0, len(own) + 1))]]))
+                    both = len(np.intersect1d(a, b))
+                    if t[1] * both >= t[0] * (len(a) + len(b) - both) and len(np.setxor1d(a, b)):
+                        assert plan.links(len(a)) and plan.links(len(b))  # unequal ones
+                        assert len(np.intersect1d(plan.sign(a), plan.sign(b))) >= max(plan.needs(a), plan.needs(b)) >= 1
