@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, small_side, table
+from tessera.llm.common import components, keyed_join, small_side, table
 
 THRESHOLD = 0.98
 TILE = 4096
@@ -219,7 +219,7 @@ def embedding_links(vectors: DataFrame, t: float = THRESHOLD, tile: int = TILE)
     classes = rows.where("dims > 0").groupBy("key").agg(F.min("nid").alias("rep"), F.count("*").alias("w"), F.min("vec_id").alias("low"))
     classes = table(classes, "classes")
     several = classes.where("w > 1")
-    copies = table(rows.where("dims > 0").select("nid", "key").join(several, "key").where("nid != rep").select("nid"), "copies")
+    copies = table(keyed_join(rows.where("dims > 0").select("nid", "key"), several.select("key", "rep", F.col("w").alias("size")), "key").where("nid != rep").select("nid"), "copies")
     weights = several.select(F.col("rep").alias("nid"), "w")
     axes = vectors.sparkSession.sparkContext.broadcast(principal_axes(rows))
     reps = rows.where("dims > 0").join(small_side(copies), "nid", "left_anti").join(weights, "nid", "left").withColumn("w", F.coalesce("w", F.lit(1)).cast("bigint"))
@@ -228,8 +228,12 @@ def embedding_links(vectors: DataFrame, t: float = THRESHOLD, tile: int = TILE)
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     comps = components(found.where("b is not null"))
     rooted = classes.join(comps, classes["rep"] == comps["node"], "left").select("key", "rep", "w", "low", F.coalesce("root", "rep").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component")), "root").join(links, "rep", "left")
-    named = named.select("key", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), "component")
-    out = rows.select("vec_id", "key").join(named, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component"))
+    rooted = table(rooted, "rooted")
+    least = table(rooted.groupBy("root").agg(F.min("low").alias("component"), F.count("*").alias("size")), "least")
+    named = keyed_join(rooted, least, "root").join(links, "rep", "left")
+    named = table(named.select("key", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), "component", F.col("w").alias("size")), "named")
+    # vectors that link with nothing have no key and stay where they are
+    alone = rows.where("key is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component"))
+    out = keyed_join(rows.where("key is not null").select("vec_id", "key"), named, "key").select("vec_id", "n_links", "component").unionByName(alone)
+    component = F.col("component")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -60,8 +60,9 @@ def plan_records(pages: DataFrame) -> DataFrame:
     copies = table(copies, "copies")
     if copies.count() <= MOST_COPIES:
         joined = rows.join(F.broadcast(copies.drop("size")), "digest", "left")
-    else:
-        joined = keyed_join(rows, copies, "digest", how="left")
+    else:  # what cannot be a copy, such as all empty pages, has no part in the shuffle
+        single = (F.octet_length("payload") < LEAST) | F.col("page_id").isNull()
+        joined = keyed_join(rows.where(~single), copies, "digest", how="left").unionByName(rows.where(single).withColumn("first_id", F.lit(None).cast(rows.schema["page_id"].dataType)))
     refers = F.when(F.col("first_id") < F.col("page_id"), F.col("first_id"))
     return joined.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), F.octet_length("payload").cast("bigint").alias("n"), "digest", refers.alias("refers_to"))
 

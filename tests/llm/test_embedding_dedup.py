@@ -55,3 +55,14 @@ def test_against_brute_force(spark, t, tile):
 
 def test_empty_table(spark):
     assert e.embedding_links(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_hot_keys_and_clashing_columns(spark):
+    """One vector in a third of all rows, another third that links with nothing, and one component of many."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=16)
+    rows = [(i, base.tolist(), 1) for i in range(150)] + [(200 + i, None if i % 2 else [0.0] * 16, 1) for i in range(150)]
+    rows += [(400 + i, (base + rng.normal(size=16) * 0.02).tolist(), 1) for i in range(100)] + [(600 + i, rng.normal(size=16).tolist(), 1) for i in range(50)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5).selectExpr("*", "1 AS nid", "2 AS key", "3 AS w", "4 AS size", "5 AS root", "6 AS component")
+    got = sorted((tuple(r) for r in e.embedding_links(df).collect()), key=repr)
+    assert got == brute(rows, 0.98)
