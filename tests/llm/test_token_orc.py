@@ -99,3 +99,18 @@ def test_stripes_are_read_apart(spark, tmp_path, monkeypatch):
         assert sorted(r.doc_id for r in parts.select("doc_id").collect()) == list(range(6000))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_random_texts_against_the_library(library):
+    """Where pieces are cut, with contractions, marks, digits, composed letters and special strings side by side."""
+    rng = np.random.default_rng(5)
+    bits = ["a", "s", "'", "'s", "'re", "ll", "D", "É", "é", "e", "́", "̸", "×", "÷", "=", "(", ")", ".", ",", "-", "7", "42", " ", "\n", "\xa0", " ", "…", "“", "中", "🙂", "ß", "İ", "ŉ", "ſ", "Σ", "ȡ", "<|endoftext|>", "<|ENDOFTEXT|>", "<", "|", ">", "\x1c", "\x85", "_", "`", "K", "ɐ"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 14))) for _ in range(6000)] + ["", None]
+    encoder = t.Encoder(open(PATH, encoding="utf-8").read())
+    for lo in range(0, len(texts), 500):
+        part = [x or "" for x in texts[lo : lo + 500]]
+        raw = [x.encode() for x in part]
+        rows = np.cumsum([0] + [len(x) for x in raw])
+        ids, at = encoder.encode(np.frombuffer(b"".join(raw), dtype=np.uint8), rows, 1, np.array(["<|" in x for x in part]))
+        for i, x in enumerate(part):
+            assert ids[at[i] : at[i + 1]].tolist() == [*library.encode(x, add_special_tokens=False).ids, 1], x
