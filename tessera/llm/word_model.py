@@ -9,7 +9,8 @@ ln p of a word is a sum over the n-grams that end at it or at the word before: w
 where weight is the logarithm of a context's back-off weight and gain what an n-gram's own probability is
 above that of backing off. So each n-gram of a document is looked up by itself: one join of the documents'
 n-grams, counted by text, with the model on the n-gram's key finds all orders; the row of a text's length is
-salted.
+salted. N-grams with over 1 / ``HOT`` of the trusted words, fewer than ``HOT`` an order and role (the end of a
+text, the starts, frequent words), are broadcast: a task sums them up by text, and only that sum travels.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from tessera.llm.common import byte_view, slices, table, word_hashes, word_spans
 START, END = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
 TAGS = (0x3C6EF372FE94F82B, 0x1F83D9ABFB41BD6B, 0x510E527FADE682D1)
 SALTS = 1024
+HOT = 1 << 16
 PIECE = 1 << 21
 _CHUNK = 1 << 19
 
@@ -111,40 +113,46 @@ def _discount(counts: DataFrame) -> Column:
     return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
 
 
-def train(texts: DataFrame) -> DataFrame:
-    """key and ln: what each n-gram known from the texts adds to ln p, as in the head of this file (a key may
-    have two rows, as n-gram and as context), and the logarithm of an unknown word's probability under the
-    salted keys 0 to ``SALTS`` - 1."""
+def train(texts: DataFrame, hot: int = HOT) -> DataFrame:
+    """key, ln and hot: what each n-gram known from the texts adds to ln p, as in the head of this file (a key may
+    have two rows, as n-gram and as context), the logarithm of an unknown word's probability under the
+    salted keys 0 to ``SALTS`` - 1, and whether the n-gram has over 1 / ``hot`` of all words.
+
+    An n-gram is followed by a word wherever it occurs, unless it ends a text, and then it is never a context; so both
+    rows of a key have one number of occurrences and are hot together.
+    """
     c3 = table(count_trigrams(texts), "trigrams")
-    c2 = table(c3.groupBy("v", "w").agg(F.count("*").alias("c")), "bigrams")
-    c1 = table(c2.groupBy("w").agg(F.count("*").alias("c")), "words")
+    c2 = table(c3.groupBy("v", "w").agg(F.count("*").alias("c"), F.sum("c").alias("raw")), "bigrams")
+    c1 = table(c2.groupBy("w").agg(F.count("*").alias("c"), F.sum("raw").alias("raw")), "words")
     d3, d2, d1 = (_discount(c) for c in (c3, c2, c1))
     of3 = table(c3.groupBy("u", "v").agg((F.sum(d3) / F.sum("c")).alias("gamma"), F.sum("c").alias("total")), "contexts")
-    of2 = table(c2.groupBy("v").agg((F.sum(d2) / F.sum("c")).alias("gamma"), F.sum("c").alias("total")), "contexts")
-    total, kinds, taken = c1.agg(F.sum("c"), F.count("*"), F.sum(d1)).first()  # three numbers
+    of2 = table(c2.groupBy("v").agg((F.sum(d2) / F.sum("c")).alias("gamma"), F.sum("c").alias("total"), F.sum("raw").alias("occurs")), "contexts")
+    total, kinds, taken, words = c1.agg(F.sum("c"), F.count("*"), F.sum(d1), F.sum("raw")).first()  # four numbers
     unknown = taken / total / (kinds + 1) if kinds else 1.0
-    p1 = c1.select("w", ((F.col("c") - d1) / F.lit(float(total or 1)) + unknown).alias("q"))
-    p2 = c2.withColumn("own", F.col("c") - d2).join(of2, "v").join(p1, "w").withColumn("p", F.col("own") / F.col("total") + F.col("gamma") * F.col("q"))
-    p2 = table(p2.select("v", "w", "p", (F.ln("p") - F.ln("gamma") - F.ln("q")).alias("ln")), "bigrams")
+    p1 = c1.select("w", ((F.col("c") - d1) / F.lit(float(total or 1)) + unknown).alias("q"), F.col("raw").alias("occurs"))
+    p2 = c2.withColumn("own", F.col("c") - d2).join(of2.drop("occurs"), "v").join(p1.drop("occurs"), "w").withColumn("p", F.col("own") / F.col("total") + F.col("gamma") * F.col("q"))
+    p2 = table(p2.select("v", "w", "p", (F.ln("p") - F.ln("gamma") - F.ln("q")).alias("ln"), F.col("raw").alias("occurs")), "bigrams")
     p3 = c3.withColumn("own", F.col("c") - d3).join(of3, ["u", "v"]).join(p2.select("v", "w", F.col("p").alias("q")), ["v", "w"])
     p3 = p3.withColumn("p", F.col("own") / F.col("total") + F.col("gamma") * F.col("q"))
     parts = [
-        p3.select(key_column("u", "v", "w").alias("key"), (F.ln("p") - F.ln("gamma") - F.ln("q")).alias("ln")),
-        of3.select(key_column("u", "v").alias("key"), F.ln("gamma").alias("ln")),
-        p2.select(key_column("v", "w").alias("key"), "ln"),
-        of2.select(key_column("v").alias("key"), F.ln("gamma").alias("ln")),
-        p1.select(key_column("w").alias("key"), (F.ln("q") - float(np.log(unknown))).alias("ln")),
-        texts.sparkSession.range(SALTS).select(F.col("id").alias("key"), F.lit(float(np.log(unknown))).alias("ln")),
+        p3.select(key_column("u", "v", "w").alias("key"), (F.ln("p") - F.ln("gamma") - F.ln("q")).alias("ln"), F.col("c").alias("occurs")),
+        of3.select(key_column("u", "v").alias("key"), F.ln("gamma").alias("ln"), F.col("total").alias("occurs")),
+        p2.select(key_column("v", "w").alias("key"), "ln", "occurs"),
+        of2.select(key_column("v").alias("key"), F.ln("gamma").alias("ln"), "occurs"),
+        p1.select(key_column("w").alias("key"), (F.ln("q") - float(np.log(unknown))).alias("ln"), "occurs"),
+        texts.sparkSession.range(SALTS).select(F.col("id").alias("key"), F.lit(float(np.log(unknown))).alias("ln"), F.lit(0).cast("bigint").alias("occurs")),
     ]
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
-    return out
+    return out.select("key", "ln", (F.col("occurs") > (words or 0) / hot).alias("hot"))
 
 
-def document_grams(texts: DataFrame) -> DataFrame:
-    """key, id, n: how often each n-gram is in each text of the rows (id, text), and a row of a text with a salted
-    key and its number of words to predict. A text has an n-gram once, so no n-gram has more rows than texts."""
+def document_grams(texts: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """key, id, n, sum: how often each n-gram is in each text of the rows (id, text), and a row of a text with a salted
+    key, its number of words to predict and the sum over its n-grams in ``known`` (ascending keys, and what
+    each adds), which have no rows of their own. A text has an n-gram once."""
+    hot, gain = known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,21 +170,26 @@ def document_grams(texts: DataFrame) -> DataFrame:
                 new[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])
                 at = np.flatnonzero(new)
                 n = np.diff(np.append(at, len(key))).astype(np.int32)
-                out = pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(names[lo + who[at]]), pa.array(n)], names=["key", "id", "n"])
+                key, who = key[at].view(np.int64), who[at]
+                place = np.minimum(np.searchsorted(hot, key), max(0, len(hot) - 1))
+                near = hot[place] == key if len(hot) else np.zeros(len(key), dtype=bool)
+                got = np.bincount(who[near], gain[place[near]] * n[near], minlength=int(who[-1]) + 1)
+                total = np.where((key >= 0) & (key < SALTS), got[who], 0.0)
+                out = pa.RecordBatch.from_arrays([pa.array(x[~near]) for x in (key, names[lo + who], n, total)], names=["key", "id", "n", "sum"])
                 for k in range(0, out.num_rows, 1 << 16):
                     yield out.slice(k, 1 << 16)
 
-    return texts.select("id", "text").mapInArrow(run, "key bigint, id bigint, n int")
+    return texts.select("id", "text").mapInArrow(run, "key bigint, id bigint, n int, sum double")
 
 
 def perplexity(docs: DataFrame, model: DataFrame) -> DataFrame:
     """The rows of ``docs`` without their text, and perplexity (per word; null for texts without any).
 
-    A text is known by its 64-bit hash; equal texts have equal perplexities, and both sums run over all of
-    their copies.
+    A text is known by the number of its row in a written table, so no two share one.
     """
-    rows = docs.withColumn("id", F.xxhash64("text"))
-    found = document_grams(rows).join(model, "key")
+    rows = table(docs.withColumn("id", F.monotonically_increasing_id()), "texts")
+    hot = model.where("hot").groupBy("key").agg(F.sum("ln").alias("ln")).toPandas().sort_values("key")  # under HOT an order and role
+    found = document_grams(rows, (hot["key"].to_numpy(np.int64), hot["ln"].to_numpy(np.float64))).join(model.where("not hot").drop("hot"), "key")
     n = F.when(F.col("key").between(0, SALTS - 1), F.col("n")).otherwise(0)
-    sums = found.groupBy("id").agg(F.sum(F.col("ln") * F.col("n")).alias("ln"), F.sum(n).alias("n"))
+    sums = found.groupBy("id").agg(F.sum(F.col("ln") * F.col("n") + F.col("sum")).alias("ln"), F.sum(n).alias("n"))
     return rows.drop("text").join(sums, "id", "left").withColumn("perplexity", F.exp(-F.col("ln") / F.col("n"))).drop("id", "ln", "n")
