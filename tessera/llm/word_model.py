@@ -27,7 +27,7 @@ from tessera.llm.common import byte_view, slices, table, word_hashes, word_spans
 START, END = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
 TAGS = (0x3C6EF372FE94F82B, 0x1F83D9ABFB41BD6B, 0x510E527FADE682D1)
 SALTS = 1024
-HOT = 1 << 16
+HOT = 1 << 18
 PIECE = 1 << 21
 _CHUNK = 1 << 19
 
@@ -113,13 +113,13 @@ def _discount(counts: DataFrame) -> Column:
     return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
 
 
-def train(texts: DataFrame, hot: int = HOT) -> DataFrame:
-    """key, ln and hot: what each n-gram known from the texts adds to ln p, as in the head of this file (a key may
-    have two rows, as n-gram and as context), the logarithm of an unknown word's probability under the
-    salted keys 0 to ``SALTS`` - 1, and whether the n-gram has over 1 / ``hot`` of all words.
+def train(texts: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """Two frames key and ln: what each n-gram known from the texts adds to ln p, as in the head of this file (a key may
+    have two rows, as n-gram and as context), and the logarithm of an unknown word's probability under the
+    salted keys 0 to ``SALTS`` - 1. N-grams with over 1 / ``hot`` of all words are in the second frame alone.
 
     An n-gram is followed by a word wherever it occurs, unless it ends a text, and then it is never a context; so both
-    rows of a key have one number of occurrences and are hot together.
+    rows of a key have one number of occurrences and are in one frame.
     """
     c3 = table(count_trigrams(texts), "trigrams")
     c2 = table(c3.groupBy("v", "w").agg(F.count("*").alias("c"), F.sum("c").alias("raw")), "bigrams")
@@ -132,20 +132,27 @@ def train(texts: DataFrame, hot: int = HOT) -> DataFrame:
     p1 = c1.select("w", ((F.col("c") - d1) / F.lit(float(total or 1)) + unknown).alias("q"), F.col("raw").alias("occurs"))
     p2 = c2.withColumn("own", F.col("c") - d2).join(of2.drop("occurs"), "v").join(p1.drop("occurs"), "w").withColumn("p", F.col("own") / F.col("total") + F.col("gamma") * F.col("q"))
     p2 = table(p2.select("v", "w", "p", (F.ln("p") - F.ln("gamma") - F.ln("q")).alias("ln"), F.col("raw").alias("occurs")), "bigrams")
-    p3 = c3.withColumn("own", F.col("c") - d3).join(of3, ["u", "v"]).join(p2.select("v", "w", F.col("p").alias("q")), ["v", "w"])
-    p3 = p3.withColumn("p", F.col("own") / F.col("total") + F.col("gamma") * F.col("q"))
-    parts = [
-        p3.select(key_column("u", "v", "w").alias("key"), (F.ln("p") - F.ln("gamma") - F.ln("q")).alias("ln"), F.col("c").alias("occurs")),
-        of3.select(key_column("u", "v").alias("key"), F.ln("gamma").alias("ln"), F.col("total").alias("occurs")),
-        p2.select(key_column("v", "w").alias("key"), "ln", "occurs"),
-        of2.select(key_column("v").alias("key"), F.ln("gamma").alias("ln"), "occurs"),
-        p1.select(key_column("w").alias("key"), (F.ln("q") - float(np.log(unknown))).alias("ln"), "occurs"),
-        texts.sparkSession.range(SALTS).select(F.col("id").alias("key"), F.lit(float(np.log(unknown))).alias("ln"), F.lit(0).cast("bigint").alias("occurs")),
-    ]
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out.select("key", "ln", (F.col("occurs") > (words or 0) / hot).alias("hot"))
+    low = float(np.log(unknown))
+    bar = (words or 0) / hot
+
+    def rows(few: bool) -> DataFrame:
+        side = lambda df, n: df.where(F.col(n) > bar if few else F.col(n) <= bar)
+        p3 = side(c3, "c").withColumn("own", F.col("c") - d3)
+        p3 = (F.broadcast(p3) if few else p3).join(of3, ["u", "v"])
+        p3 = (F.broadcast(p3) if few else p3).join(p2.select("v", "w", F.col("p").alias("q")), ["v", "w"])
+        p3 = p3.withColumn("p", F.col("own") / F.col("total") + F.col("gamma") * F.col("q"))
+        out = p3.select(key_column("u", "v", "w").alias("key"), (F.ln("p") - F.ln("gamma") - F.ln("q")).alias("ln"))
+        for more in (
+            side(of3, "total").select(key_column("u", "v").alias("key"), F.ln("gamma").alias("ln")),
+            side(p2, "occurs").select(key_column("v", "w").alias("key"), "ln"),
+            side(of2, "occurs").select(key_column("v").alias("key"), F.ln("gamma").alias("ln")),
+            side(p1, "occurs").select(key_column("w").alias("key"), (F.ln("q") - low).alias("ln")),
+        ):
+            out = out.unionByName(more)
+        return out
+
+    salted = texts.sparkSession.range(SALTS).select(F.col("id").alias("key"), F.lit(low).alias("ln"))
+    return rows(False).unionByName(salted), rows(True)
 
 
 def document_grams(texts: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -182,14 +189,15 @@ def document_grams(texts: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> Da
     return texts.select("id", "text").mapInArrow(run, "key bigint, id bigint, n int, sum double")
 
 
-def perplexity(docs: DataFrame, model: DataFrame) -> DataFrame:
+def perplexity(docs: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
     """The rows of ``docs`` without their text, and perplexity (per word; null for texts without any).
 
     A text is known by the number of its row in a written table, so no two share one.
     """
     rows = table(docs.withColumn("id", F.monotonically_increasing_id()), "texts")
-    hot = model.where("hot").groupBy("key").agg(F.sum("ln").alias("ln")).toPandas().sort_values("key")  # under HOT an order and role
-    found = document_grams(rows, (hot["key"].to_numpy(np.int64), hot["ln"].to_numpy(np.float64))).join(model.where("not hot").drop("hot"), "key")
+    light, few = model
+    hot = few.groupBy("key").agg(F.sum("ln").alias("ln")).toPandas().sort_values("key")  # under HOT an order and role
+    found = document_grams(rows, (hot["key"].to_numpy(np.int64), hot["ln"].to_numpy(np.float64))).join(light, "key")
     n = F.when(F.col("key").between(0, SALTS - 1), F.col("n")).otherwise(0)
     sums = found.groupBy("id").agg(F.sum(F.col("ln") * F.col("n") + F.col("sum")).alias("ln"), F.sum(n).alias("n"))
     return rows.drop("text").join(sums, "id", "left").withColumn("perplexity", F.exp(-F.col("ln") / F.col("n"))).drop("id", "ln", "n")
