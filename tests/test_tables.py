@@ -102,3 +102,14 @@ def test_co_listed_samples(spark, tmp_path):
     sinks.write_named(names.where("name <> 'latent_4.pt'"), str(tmp_path / "audio"))
     got = readers.co_listed(spark, str(tmp_path), {"conditions": "c", "latents": "l", "audio": "a"})
     assert {r["sample"]: r.c.rpartition("/")[2] for r in got.collect()} == {"latent_0.pt": "condition_0.pt", "latent_1.pt": "condition_1.pt", "latent_3.pt": "condition_3.pt", "odd.pt": "odd.pt"}
+
+
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    """Folders in folders, hidden names, and no list of the files with the driver."""
+    names = spark.createDataFrame([(f"{i % 3}/deep/latent_{i}.pt", "x") for i in range(9)] + [("_no/latent_90.pt", "x"), (".latent_91.pt", "x"), ("0/other.txt", "x")], "name string, value string")
+    sinks.write_named(names, str(tmp_path / "latents"))
+    sinks.write_named(spark.createDataFrame([(f"condition_{i}.pt", "x") for i in range(1, 99)], "name string, value string"), str(tmp_path / "conditions"))
+    got = readers.co_listed(spark, str(tmp_path), {"conditions": "c", "latents": "l"})
+    assert {(r["sample"], r.c.rpartition("/")[2]) for r in got.collect()} == {(f"{i % 3}/deep/latent_{i}.pt", f"condition_{i}.pt") for i in range(1, 9)}
+    assert all(r.l.endswith(f"/latents/{r['sample']}") and spark.read.text(r.l).count() == 1 for r in got.limit(2).collect())
+    assert not any(f.endswith(".pt") for f in got.inputFiles())
