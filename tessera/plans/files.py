@@ -16,6 +16,7 @@ from tessera.streaming import sessions
 
 LIST_ROWS = 500
 FOLDER_FILES = 1000
+FILE_LISTS = 50
 
 
 def _folder(spark, name: str) -> str:
@@ -160,13 +161,18 @@ def src18(spark, d):
 
 @query("src20_segment_tree", "SELECT o_orderpriority[1:1] AS segment, o_orderstatus AS source, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1, 2")
 def src20_tree(spark, d):
-    """SRC-20: metadata files of segments, exploded to candidates by node, with their provenance."""
+    """SRC-20: metadata files of segments, each a JSON list of at most ``FILE_LISTS`` records a source, exploded to
+    candidates by node, with their provenance."""
     at = _folder(spark, "segments")
     o = read(spark, d, "orders").select(F.concat(F.lit("seg_"), F.substring("o_orderpriority", 1, 1)).alias("seg"), F.col("o_orderstatus").alias("source"), F.col("o_orderkey").alias("k"))
-    part = F.pmod(F.xxhash64("k"), F.lit(-(-o.count() // LIST_ROWS) or 1))
-    nodes = o.groupBy("seg", "source", part.alias("p")).agg(F.collect_list("k").alias("nodes")).drop("p")
-    for r in nodes.select("seg").distinct().collect():  # five priorities
-        nodes.where(F.col("seg") == r["seg"]).drop("seg").write.option("maxRecordsPerFile", 1).json(f"{at}/{r['seg']}")
+    n = o.groupBy("seg", "source").agg(F.ceil(F.count("*") / LIST_ROWS).alias("lists"))  # five priorities, three states
+    part = F.pmod(F.xxhash64("k"), "lists")
+    met = o.join(F.broadcast(n.toDF("_seg", "_source", "lists")), F.col("seg").eqNullSafe(F.col("_seg")) & F.col("source").eqNullSafe(F.col("_source")))
+    nodes = met.groupBy("seg", "source", part.alias("p")).agg(F.collect_list("k").alias("nodes"))
+    file = F.floor(F.col("p") / FILE_LISTS).alias("file")
+    files = joins.settled(nodes.groupBy("seg", file).agg(F.to_json(F.collect_list(F.struct("source", "nodes"))).alias("value")))
+    for r in n.select("seg").distinct().collect():
+        files.where(F.col("seg") == r["seg"]).select("value").write.option("maxRecordsPerFile", 1).text(f"{at}/{r['seg']}")
     rows = readers.segment_tree(spark, at, "source string, nodes array<bigint>")
     return rows.groupBy("segment", "source").agg(F.count("*").alias("n"), F.sum("node").alias("keys"))
 

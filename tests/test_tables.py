@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.plans import files
 from tessera.sources import arrow_files, readers, sinks
 from tessera.sources.versioned import CommitConflict, VersionedTable
 
@@ -113,3 +114,17 @@ def test_files_are_listed_by_tasks(spark, tmp_path):
     assert {(r["sample"], r.c.rpartition("/")[2]) for r in got.collect()} == {(f"{i % 3}/deep/latent_{i}.pt", f"condition_{i}.pt") for i in range(1, 9)}
     assert all(r.l.endswith(f"/latents/{r['sample']}") and spark.read.text(r.l).count() == 1 for r in got.limit(2).collect())
     assert not any(f.endswith(".pt") for f in got.inputFiles())
+
+
+def test_lists_of_segments_are_full(spark, tmp_path, monkeypatch):
+    """As many lists as a group of rows needs, many in a file; a missing status is kept."""
+    rows = spark.range(12_000).select(F.col("id").alias("o_orderkey"), F.format_string("%d-X", F.col("id") % 4).alias("o_orderpriority"), F.when(F.col("id") % 5 != 0, "F").alias("o_orderstatus"))
+    rows.write.parquet(str(tmp_path / "orders.parquet"))
+    seen, tree = [], readers.segment_tree
+    monkeypatch.setattr(readers, "segment_tree", lambda s, at, schema: seen.append(at) or tree(s, at, schema))
+    got = {(r.segment, r.source): (r.n, r["keys"]) for r in files.src20_tree(spark, str(tmp_path)).collect()}
+    assert got == {(str(s), t): (len(k), sum(k)) for s in range(4) for t in ("F", None) for k in [[i for i in range(12_000) if i % 4 == s and (i % 5 != 0) == (t == "F")]]}
+    lists = spark.read.option("multiLine", True).json(f"{seen[0]}/seg_*").select(F.size("nodes").alias("n"), F.col("_metadata.file_path").alias("f"))
+    sizes = [r.n for r in lists.collect()]
+    assert len(sizes) == 4 * (5 + 2) and max(sizes) < 700
+    assert lists.select("f").distinct().count() == 4
