@@ -3,6 +3,7 @@
 import threading
 
 import pyarrow as pa
+import pyarrow.parquet
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,23 @@ def test_lists_of_segments_are_full(spark, tmp_path, monkeypatch):
     sizes = [r.n for r in lists.collect()]
     assert len(sizes) == 4 * (5 + 2) and max(sizes) < 700
     assert lists.select("f").distinct().count() == 4
+
+
+def test_chunks_of_workers_are_files_of_their_own(spark, tmp_path):
+    """Chunks over several batches, rows in order, a shorter last one; no rows make no chunk."""
+    df = spark.range(0, 206, 2).select((F.col("id") * 7 % 206).alias("k"), F.when(F.col("id") % 3 != 0, F.lit("x")).alias("v"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        sinks.write_worker_chunks(df, str(tmp_path / "w"), ["k"], 10, 3)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, v = sorted(r.k for r in df.collect()), {r.k: r.v for r in df.collect()}
+    found = sorted((tmp_path / "w").rglob("*.parquet"))
+    assert sorted(str(f.relative_to(tmp_path / "w")) for f in found) == sorted(f"worker={i // 4}/data_chunk_{i % 4}.parquet" for i in range(11))
+    for i in range(11):
+        rows = pa.parquet.read_table(tmp_path / "w" / f"worker={i // 4}" / f"data_chunk_{i % 4}.parquet", partitioning=None).to_pylist()
+        assert [r["k"] for r in rows] == want[10 * i : 10 * i + 10] and all(r["v"] == v[r["k"]] for r in rows)
+    back = readers.worker_chunks(spark, str(tmp_path / "w"), df.schema)
+    assert {(r.k, 4 * r.worker + r.chunk) for r in back.collect()} == {(k, i // 10) for i, k in enumerate(want)}
+    sinks.write_worker_chunks(df.limit(0), str(tmp_path / "none"), ["k"], 10, 3)
+    assert readers.worker_chunks(spark, str(tmp_path / "none"), df.schema).count() == 0
