@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from tessera.operators.joins import group_positions, positions, settled
 from tessera.operators.scans import scan
 
+NEAR_UNITS = 64
+
 
 def order_key(seed: int | str, *keys: Column) -> Column:
     """HSH-04: the stable order of rows for a seed."""
@@ -193,21 +195,33 @@ def quota_cells(rows: DataFrame, cell: str, unit: str, order: str, quota: int, s
 
     The walk, in which each cell takes its first free units before the next one chooses, gives the stable outcome
     for units that all prefer the earlier cell, and there is only one. So all cells propose at once: each to its first
-    units that have not turned it down; a unit keeps the first cell that asks and turns down the others; until nobody
-    is turned down. A round is a limited rank and a partial minimum over ``quota`` rows a cell; the pairs turned down
-    are the conflicts.
+    units that no earlier cell holds; a unit keeps the first cell that asks and is lost to all later ones, asked or
+    not; until no unit is asked twice. A round ranks a cell's first ``near`` units alone, whatever the table's size; in
+    which order cells propose does not matter, so those that use theirs up go on later with four times as many. Rows without a
+    unit have no part.
     """
-    pairs = rows.select(F.struct(F.col(cell).alias("cell")).alias("c"), F.col(unit).alias("unit"), F.struct(order, unit).alias("o")).groupBy("c", "unit").agg(F.min("o").alias("o"))
-    pairs, refused = settled(pairs), None
+    pairs = rows.where(F.col(unit).isNotNull()).select(F.struct(F.col(cell).alias("cell")).alias("c"), F.col(unit).alias("unit"), F.struct(order, unit).alias("o")).groupBy("c", "unit").agg(F.min("o").alias("o"))
+    pairs, asked = settled(pairs), None
     w = Window.partitionBy("c").orderBy("o")
+
+    def first(df: DataFrame, n: int) -> DataFrame:
+        return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+    near = max(NEAR_UNITS, 8 * quota)
     while True:
-        open_ = pairs if refused is None else pairs.join(refused, ["c", "unit"], "left_anti")
-        asked = settled(open_.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= quota).select("c", "unit"))
-        kept = asked.groupBy("unit").agg(F.min("c").alias("c"))
-        turned = settled(asked.join(kept, ["c", "unit"], "left_anti"))
-        if turned.isEmpty():
+        some = settled(first(pairs, near))
+        while True:
+            free = some
+            if asked is not None:
+                held = asked.groupBy("unit").agg(F.min("c").alias("_h"))  # a cell asks on for what it holds
+                free = some.join(held, "unit", "left").where("_h is null or c <= _h").drop("_h")
+            asked = settled(first(free, quota).select("c", "unit"))
+            if asked.groupBy("unit").count().where("count > 1").isEmpty():
+                break
+        full = some.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") == near)
+        if full.join(asked.groupBy("c").count(), "c", "left").where(F.coalesce("count", F.lit(0)) < quota).isEmpty():
             break
-        refused = turned if refused is None else settled(refused.unionByName(turned))
+        near *= 4
     if strict:
         short = pairs.select("c").distinct().join(asked.groupBy("c").count(), "c", "left").where(F.coalesce("count", F.lit(0)) < quota).first()
         if short:

@@ -85,3 +85,18 @@ def test_plans_are_kept(spark, tmp_path):
     for shard in range(3):
         places = sorted(r.place for r in first if r.shard == shard)
         assert places == list(range(len(places)))
+
+
+def test_cells_rank_only_near_units(spark, monkeypatch):
+    """A round ranks the first units of each cell; cells that use theirs up get further ones; a null unit is none."""
+    rng = random.Random(5)
+    rows = [(c, u, f"{u:03}") for c in range(8) for u in rng.sample(range(60), 40)]
+    df = spark.createDataFrame([*rows, (1, None, "000"), (2, None, "000")], "c int, u int, o string")
+    settled, seen = s.settled, []
+    monkeypatch.setattr(s, "settled", lambda f: (out := settled(f), seen.append(out.count()))[0])
+    monkeypatch.setattr(s, "NEAR_UNITS", 4)
+    for quota, near in ((1, 8), (2, 64)):
+        seen.clear()
+        assert {(r.cell, r.unit) for r in s.quota_cells(df, "c", "u", "o", quota).collect()} == cells_walk(rows, quota)
+        assert seen[0] == 320 and max(seen[1:]) <= 8 * near
+    assert len(seen) < 20
