@@ -3,7 +3,9 @@
 import math
 import random
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import common_rows
 import pytest
@@ -72,6 +74,42 @@ def test_perplexity_against_brute_force(spark, hot):
     assert [r.perplexity for r in rows] == [w if w is None else pytest.approx(w, rel=1e-9) for w in want]
 
 
+def test_rounds_share_the_n_grams_and_agree_with_brute_force(spark, monkeypatch):
+    """Three rounds, so that signed and unsigned residues differ: every n-gram is in one, and the sums are whole."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["the", "a", "cat", "dog", "sat.", "on", "mat", f"w{rng.randint(0, 30)}"]) for _ in range(rng.randint(1, 15))) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    none = word_model.np.zeros(0, word_model.np.int64), word_model.np.zeros(0)
+    of = lambda *turn: {(r.key, r.id): r.n for r in word_model.document_grams(docs, none, *turn).where(f"key not between 0 and {word_model.SALTS - 1}").collect()}
+    turns = [of(3, k) for k in range(3)]
+    whole = of()
+    assert all(turns) and sum(map(len, turns)) == len(whole) and turns[0] | turns[1] | turns[2] == whole
+    monkeypatch.setattr(word_model, "ROUNDS", 3)
+    monkeypatch.setattr(word_model, "ROUND_ROWS", 1)
+    model = word_model.train(docs.where("id < 50").select("text"), 40)
+    got = {r.doc_id: r.perplexity for r in word_model.perplexity(docs.withColumnRenamed("id", "doc_id"), model).collect()}
+    assert [got[i] for i in range(80)] == [pytest.approx(w, rel=1e-9) for w in brute(texts[:50], texts)]
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randint(0, 5000)}" for _ in range(150))) for i in range(400)], "doc_id long, text string")
+    folders = [f.getPath() for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def held():
+        return {p: p.stat().st_size for f in folders for p in Path(f).rglob("shuffle_*.data")}
+
+    was = held()
+    rows = word_model.perplexity(docs, word_model.train(docs.select("text"), 1))
+    for _ in range(40):  # executors remove them by and by
+        left = sum(n for p, n in held().items() if p not in was)
+        if left < 300_000:
+            break
+        time.sleep(0.5)
+    assert left < 300_000  # sums of a few rows; the n-grams alone shuffle several MB
+    assert rows.where("perplexity > 0").count() == 400
+
+
 def test_what_is_in_every_text_is_not_shuffled(spark):
     """The end of a text, its starts and a word of all texts have no rows that travel; the rest has."""
     texts = spark.createDataFrame([(i, f"same w{i} x{i} y{i}") for i in range(300)], "id long, text string")
