@@ -1,6 +1,7 @@
 """Tables by commits, Arrow files, the index of files."""
 
 import threading
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.parquet
@@ -117,6 +118,45 @@ def test_files_are_listed_by_tasks(spark, tmp_path):
     assert not any(f.endswith(".pt") for f in got.inputFiles())
 
 
+def test_listing_holds_few_files(spark, tmp_path, monkeypatch):
+    """Samples are written and listed in rounds: the files there at once do not grow with the table, and a table of
+    which a source has no file is listed too."""
+    monkeypatch.setattr(files, "FOLDER_FILES", 10)
+    monkeypatch.setattr(files, "ROUND_FOLDERS", 10, raising=False)
+    held, roots, listing = [], [], readers.co_listed
+
+    def counted(spark, root, *args, **kwargs):
+        there = [p for r in {*roots, root} for p in Path(r).rglob("*.bin")]
+        roots.append(root)
+        held.append(len(there))
+        return listing(spark, root, *args, **kwargs)
+
+    monkeypatch.setattr(readers, "co_listed", counted)
+    for n, size in ((300, "1 + id % 50"), (20, "3"), (0, "1")):
+        held.clear()
+        at = tmp_path / f"{n}-{size}"
+        spark.range(n).select(F.col("id").alias("p_partkey"), F.format_string("part %d", "id").alias("p_name"), F.expr(f"cast({size} as int)").alias("p_size")).write.parquet(f"{at}/part.parquet")
+        sizes = {r.p_partkey: r.p_size for r in spark.read.parquet(f"{at}/part.parquet").collect()}
+        got = [(r.k, r.condition) for r in files.src15_listing(spark, str(at)).collect()]
+        assert sorted(got) == [(k, f"condition_{k}.bin") for k, s in sorted(sizes.items()) if s % 3 and s % 5]
+        assert max(held) < 400 and len(held) == max(1, -(-n // 100))  # 744 files in all of the first
+        assert sum(held) == sum(1 + (s % 3 > 0) + (s % 5 > 0) for s in sizes.values())
+    assert not any(Path(r).exists() for r in roots)
+
+
+def test_names_of_one_text(spark, tmp_path):
+    """Further names of a text, written twice over; other rows' files stay when those of some go."""
+    rows = spark.createDataFrame([(f"a/{i}.bin", f"é {i}", [f"b/c/{i}.bin", f"{i}.bin"] if i % 2 else None) for i in range(20)], "name string, value string, links array<string>")
+    for _ in range(2):
+        sinks.write_named(rows, str(tmp_path))
+    for i in range(20):
+        assert all((tmp_path / d / f"{i}.bin").read_text() == f"é {i}" for d in (("a", "b/c", ".") if i % 2 else ("a",)))
+    assert len(list(tmp_path.rglob("*.bin"))) == 40
+    for _ in range(2):
+        sinks.remove_named(rows.where("name <> 'a/7.bin'"), str(tmp_path))
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*.bin")) == ["7.bin", "a/7.bin", "b/c/7.bin"]
+
+
 def test_lists_of_segments_are_full(spark, tmp_path, monkeypatch):
     """As many lists as a group of rows needs, many in a file; a missing status is kept."""
     rows = spark.range(12_000).select(F.col("id").alias("o_orderkey"), F.format_string("%d-X", F.col("id") % 4).alias("o_orderpriority"), F.when(F.col("id") % 5 != 0, "F").alias("o_orderstatus"))
